@@ -1,0 +1,39 @@
+"""Queries of the data-quality problems that belong to the core (2 to 6)."""
+
+from __future__ import annotations
+
+from placewright.operators import survivorship, topn
+from placewright.session import table
+
+
+def p5_found(spark, sf_dir):
+    return topn.best_emails(table(spark, sf_dir, "emails")).select("business_key", "email")
+
+
+def p6_found(spark, sf_dir):
+    return survivorship.surviving_contacts(table(spark, sf_dir, "businesses"))
+
+
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found}
+
+SQL = {
+    "p5_found": """
+WITH i AS (
+  SELECT business_key, lower(trim(email, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) AS email, max(confidence) AS confidence
+  FROM emails WHERE business_key IS NOT NULL AND confidence IS NOT NULL AND email IS NOT NULL GROUP BY 1, 2)
+SELECT business_key, email FROM (
+  SELECT *, row_number() OVER (PARTITION BY business_key ORDER BY confidence DESC, email) AS r FROM i WHERE email <> '')
+WHERE r <= 3""",
+    "p6_found": r"""
+WITH k AS (SELECT key FROM businesses WHERE key IS NOT NULL GROUP BY key HAVING count(*) > 1),
+d AS (SELECT b.*, regexp_replace(regexp_replace(lower(phone), '(extension|ext|x|#).*$', ''), '[^0-9]', '', 'g') AS dig,
+        regexp_replace(regexp_extract(regexp_replace(lower(trim(website)), '^[a-z][a-z0-9+.-]*:/*', ''), '^([^/?#]*)', 1), '^www[0-9]?\.', '') AS host
+      FROM businesses b JOIN k USING (key)),
+u AS (SELECT key, 'phone' AS field, business_id, updated_at FROM (SELECT *, CASE WHEN length(dig) = 11 AND dig LIKE '1%' THEN substr(dig, 2)
+        WHEN length(dig) = 13 AND dig LIKE '001%' THEN substr(dig, 4) ELSE dig END AS ten FROM d)
+      WHERE length(ten) = 10 AND ten NOT IN ('1234567890', '0123456789', '9876543210', '0987654321') AND ten <> repeat(substr(ten, 1, 1), 10)
+      UNION ALL
+      SELECT key, 'website', business_id, updated_at FROM d WHERE regexp_matches(host, '^([a-z0-9_-]+\.)+[a-z]+$'))
+SELECT key, field, business_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY key, field ORDER BY updated_at DESC NULLS LAST, business_id) AS r FROM u) WHERE r = 1""",
+}
