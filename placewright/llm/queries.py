@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placewright.llm import mainbody, mixing, tokenizer
+from placewright.llm import abuse, mainbody, mixing, tokenizer
 from placewright.session import table
 
 
@@ -29,5 +29,17 @@ def p9_shares(spark, sf_dir):
     return mixing.shares(*_mixture(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+def p10_scores(spark, sf_dir):
+    return abuse.score_documents(table(spark, sf_dir, "documents"))
+
+
+def p10_found(spark, sf_dir):
+    return abuse.flagged(p10_scores(spark, sf_dir))
+
+
+def p10_source_rates(spark, sf_dir):
+    return abuse.source_rates(p10_scores(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_source_rates": p10_source_rates}
 SQL: dict[str, str] = {}
