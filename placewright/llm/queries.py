@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placewright.llm import abuse, mainbody, mixing, tokenizer
+from placewright.llm import abuse, mainbody, mixing, residue, tokenizer
 from placewright.session import table
 
 
@@ -10,6 +10,14 @@ def p1_found(spark, sf_dir):
     return mainbody.main_bodies(table(spark, sf_dir, "pages"))
 
 
+def p7_scores(spark, sf_dir):
+    return residue.score_pages(table(spark, sf_dir, "pages"))
+
+
+def p7_found(spark, sf_dir):
+    return residue.residue_pages(p7_scores(spark, sf_dir))
+
+
 def p8_ids(spark, sf_dir):
     return tokenizer.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
@@ -41,5 +49,5 @@ def p10_source_rates(spark, sf_dir):
     return abuse.source_rates(p10_scores(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_source_rates": p10_source_rates}
+QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p7_scores": p7_scores, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_source_rates": p10_source_rates}
 SQL: dict[str, str] = {}
