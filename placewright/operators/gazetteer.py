@@ -1,0 +1,93 @@
+"""Postal addresses that denote the same building (problem 3): a gazetteer built from the addresses themselves."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from placewright.functions.postal import parse, place_name, state_code, zip5
+from placewright.operators.triejoin import canonical_spellings
+
+_ADDRESS = "struct<number:string,street:string,kind:string,direction:string,unit:string,city:string,state:string,zip:string>"
+#: Gazetteer entries kept for an address while it is resolved.
+BEAM = 4
+
+
+def parsed(df: DataFrame, id_col: str, address: Column, city: str = "city", state: str = "state", code: str = "postal_code") -> DataFrame:
+    """(id, number, street, kind, direction, unit, city, state, zip) of rows with a written address; locality columns fill gaps of the text."""
+
+    @F.pandas_udf(_ADDRESS)
+    def split(a: pd.Series, c: pd.Series, s: pd.Series, z: pd.Series) -> pd.DataFrame:
+        rows = [parse(*x) or (None,) * 8 for x in zip(a, c, s, z)]
+        return pd.DataFrame(rows, columns=["number", "street", "kind", "direction", "unit", "city", "state", "zip"])
+
+    src = df.where(F.col(id_col).isNotNull() & address.isNotNull())
+    return src.select(F.col(id_col).alias("id"), split(address, F.col(city), F.col(state), F.col(code)).alias("a")).select("id", "a.*").where("street IS NOT NULL")
+
+
+def zip_cities(addresses: DataFrame) -> DataFrame:
+    """(zip, zip_city): the city most rows with a postal code name (ties: the smaller name)."""
+    counted = addresses.where("zip <> '' AND city <> ''").groupBy("zip", "city").agg(F.count("*").alias("n"))
+    return counted.groupBy("zip").agg(F.min(F.struct((-F.col("n")).alias("neg"), "city")).alias("m")).select("zip", F.col("m.city").alias("zip_city"))
+
+
+def resolve(addresses: DataFrame, beam: int = BEAM) -> DataFrame:
+    """Adds to parsed addresses their gazetteer entries: (..., locality, street_id), up to ``beam`` rows for an address.
+
+    Localities of an address are its own city and the usual city of its postal code, so one of the two may be wrong or
+    missing. Within each locality street spellings are clustered; a cluster is a street, named by its most frequent
+    spelling. The beam holds, in this order, the entry of own city and code together, own city, city of the code.
+    """
+    by_zip = zip_cities(addresses)
+    placed = addresses.join(by_zip, "zip", "left").withColumn("localities", F.array_distinct(F.array_compact(F.array(F.nullif("city", F.lit("")), "zip_city"))))
+    entries = placed.withColumn("locality", F.explode(F.slice("localities", 1, beam)))
+    cities = canonical_spellings(entries.select(F.lit("").alias("shard"), F.col("locality").alias("text"), F.lit(1).alias("n")).groupBy("shard", "text").agg(F.sum("n").alias("n")))
+    entries = entries.join(cities.select(F.col("text").alias("locality"), F.col("canon").alias("town")), "locality").drop("locality").withColumnRenamed("town", "locality")
+    streets = canonical_spellings(entries.groupBy(F.col("locality").alias("shard"), F.col("street").alias("text")).agg(F.count("*").alias("n")))
+    return entries.join(streets.select(F.col("shard").alias("locality"), F.col("text").alias("street"), F.col("canon").alias("street_id")), ["locality", "street"]).drop("localities")
+
+
+def agree(a: str, b: str) -> Column:
+    """Whether two parsed addresses at one street and number can be one building: what both state must not differ."""
+
+    def same(field: str) -> Column:
+        x, y = F.col(f"{a}.{field}"), F.col(f"{b}.{field}")
+        return (x == "") | (y == "") | (x == y)
+
+    place = (F.col(f"{a}.zip") == F.col(f"{b}.zip")) & (F.col(f"{a}.zip") != "") | (F.levenshtein(F.col(f"{a}.city"), F.col(f"{b}.city")) <= 2)
+    return same("kind") & same("direction") & (same("state") | place)
+
+
+def same_building(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_id, right_id): addresses of ``left`` and ``right`` (both from :func:`resolve` over their union) at the same building.
+
+    Join on locality, street and number; street type, direction and state must agree where both are stated; unit and
+    tenant do not matter. Addresses without a number match only others without. Every pair comes out once.
+    """
+    # address texts repeat: distinct forms are joined and compared, then rows join back to forms
+    form = ["number", "street", "kind", "direction", "city", "state", "zip"]
+    key = ["locality", "street_id", "number"]
+    lf = left.select(*key, *[c for c in form if c != "number"]).distinct().select(*key, F.struct(*form).alias("a"))
+    rf = right.select(*key, *[c for c in form if c != "number"]).distinct().select(*key, F.struct(*form).alias("b"))
+    pairs = lf.join(rf, key).where(agree("a", "b")).select("a", "b").distinct()
+    la = left.select(F.col("id").alias("left_id"), F.struct(*form).alias("a")).distinct()
+    ra = right.select(F.col("id").alias("right_id"), F.struct(*form).alias("b")).distinct()
+    return pairs.join(la, "a").join(ra, "b").select("left_id", "right_id").distinct()
+
+
+def address_frames(businesses: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Resolved addresses of both tables over one gazetteer; places use street, else address."""
+    b = parsed(businesses, "business_id", F.col("address")).withColumn("side", F.lit("b"))
+    p = parsed(places, "listing_id", F.coalesce(F.nullif(F.trim("street"), F.lit("")), F.col("address"))).withColumn("side", F.lit("p"))
+    both = resolve(b.unionByName(p))
+    return both.where("side = 'b'").drop("side"), both.where("side = 'p'").drop("side")
+
+
+def matching_addresses(businesses: DataFrame, places: DataFrame) -> DataFrame:
+    """(business_id, listing_id) of rows whose written addresses denote the same building."""
+    b, p = address_frames(businesses, places)
+    return same_building(b, p).select(F.col("left_id").alias("business_id"), F.col("right_id").alias("listing_id"))
+
+
+__all__ = ["parsed", "resolve", "same_building", "address_frames", "matching_addresses", "place_name", "state_code", "zip5"]

@@ -1,0 +1,156 @@
+"""Similarity join of strings within shards: tries traversed with Levenshtein automata."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Texts of a shard joined in one task; larger shards are cut by segments of their texts, which loses no pair.
+BLOCK = 1000
+#: Greatest distance the automata are built for.
+MOST = 2
+
+
+def build_trie(texts: list[str]) -> dict:
+    """Nested dictionaries by character; the key "" holds the positions of the texts that end there."""
+    root: dict = {}
+    for i, t in enumerate(texts):
+        node = root
+        for ch in t:
+            node = node.setdefault(ch, {})
+        node.setdefault("", []).append(i)
+    return root
+
+
+def neighbours(trie: dict, word: str, k: int) -> list[tuple[int, int]]:
+    """(position, distance) of every text of the trie within Levenshtein distance ``k`` of ``word``.
+
+    The automaton's state is one bit mask for each number of errors: bit i says that i characters of the word are read. It
+    runs down all branches at once and leaves a branch when no state is alive.
+    """
+    m = len(word)
+    marks: dict[str, int] = {}
+    for i, ch in enumerate(word):
+        marks[ch] = marks.get(ch, 0) | 1 << i
+    end, full = 1 << m, (1 << (m + 1)) - 1
+    out: list[tuple[int, int]] = []
+    stack = [(trie, tuple((1 << (d + 1)) - 1 for d in range(k + 1)))]
+    while stack:
+        node, state = stack.pop()
+        for ch, child in node.items():
+            if ch == "":
+                for d in range(k + 1):
+                    if state[d] & end:
+                        out += [(i, d) for i in child]
+                        break
+                continue
+            mark = marks.get(ch, 0)
+            new = (state[0] & mark) << 1
+            row = [new]
+            for d in range(1, k + 1):
+                new = ((state[d] & mark) << 1 | state[d - 1] | state[d - 1] << 1 | new << 1) & full
+                row.append(new)
+            if row[-1]:
+                stack.append((child, tuple(row)))
+    return out
+
+
+def bound(text: Column) -> Column:
+    """Errors allowed for a text of this length: one up to seven characters (none up to two), two beyond."""
+    return F.when(F.length(text) <= 2, 0).when(F.length(text) <= 7, 1).otherwise(MOST)
+
+
+def _bound(n: int) -> int:
+    return 0 if n <= 2 else 1 if n <= 7 else MOST
+
+
+_PAIRS = "array<struct<a:string,b:string,d:int>>"
+
+
+def _join_lists(indexed: list[str], queries: list[str]) -> list[tuple[str, str, int]]:
+    trie, out = build_trie(indexed), []
+    for q in queries:
+        k = _bound(len(q))
+        for i, d in neighbours(trie, q, k):
+            t = indexed[i]
+            if q < t and d <= min(k, _bound(len(t))):
+                out.append((q, t, d))
+    return out
+
+
+def _segments(n: int) -> list[tuple[int, int]]:
+    """(start, length) of the MOST + 1 segments of a text of length n."""
+    parts, base, extra = [], n // (MOST + 1), n % (MOST + 1)
+    start = 0
+    for i in range(MOST + 1):
+        size = base + (1 if i >= MOST + 1 - extra else 0)
+        parts.append((start, size))
+        start += size
+    return parts
+
+
+def _index_keys(t: str) -> list[str]:
+    return [f"{len(t)}|{i}|{t[s : s + n]}" for i, (s, n) in enumerate(_segments(len(t)))]
+
+
+def _query_keys(t: str) -> list[str]:
+    keys: set[str] = set()
+    for n in range(max(0, len(t) - MOST), len(t) + MOST + 1):
+        for i, (s, size) in enumerate(_segments(n)):
+            for p in range(max(0, s - MOST), min(len(t) - size, s + MOST) + 1):
+                keys.add(f"{n}|{i}|{t[p : p + size]}")
+    return sorted(keys)
+
+
+def trie_join(entries: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``entries``: (shard, text) -> (shard, a, b, distance), a < b: texts of one shard within the distance both lengths allow.
+
+    Null or empty texts and null shards do not take part; repeated entries count once. A shard of at most ``block``
+    texts is one trie. Texts of larger shards go by the segments in which two texts within distance 2 must agree (three
+    segments, so one is free of errors), and each segment gets a trie of its own: no task holds a hot shard and no pair is lost.
+    """
+    once = entries.where("shard IS NOT NULL AND text IS NOT NULL AND text <> ''").select("shard", "text").distinct()
+    sizes = once.groupBy("shard").agg(F.count("*").alias("texts")).where("texts > 1")
+
+    @F.pandas_udf(_PAIRS)
+    def within(texts: pd.Series) -> pd.Series:
+        return pd.Series([_join_lists(sorted(ts), sorted(ts)) for ts in texts])
+
+    @F.pandas_udf(_PAIRS)
+    def across(indexed: pd.Series, queries: pd.Series) -> pd.Series:
+        return pd.Series([_join_lists(sorted(a), sorted(b)) for a, b in zip(indexed, queries)])
+
+    @F.pandas_udf("array<string>")
+    def index_keys(texts: pd.Series) -> pd.Series:
+        return texts.map(_index_keys)
+
+    @F.pandas_udf("array<string>")
+    def query_keys(texts: pd.Series) -> pd.Series:
+        return texts.map(_query_keys)
+
+    sized = once.join(sizes, "shard")
+    small = sized.where(F.col("texts") <= block).groupBy("shard").agg(F.collect_list("text").alias("ts")).select("shard", F.explode(within("ts")).alias("p"))
+    large = sized.where(F.col("texts") > block)
+    left = large.select("shard", "text", F.explode(index_keys("text")).alias("segment"))
+    right = large.select("shard", F.col("text").alias("query"), F.explode(query_keys("text")).alias("segment"))
+    held = left.groupBy("shard", "segment").agg(F.collect_list("text").alias("indexed"))
+    # a query batch of bounded size meets the texts of its segment
+    asked = right.join(held.select("shard", "segment"), ["shard", "segment"], "left_semi").groupBy("shard", "segment", F.pmod(F.xxhash64("query"), F.lit(16)).alias("part")).agg(F.collect_list("query").alias("queries"))
+    big = held.join(asked, ["shard", "segment"]).select("shard", F.explode(across("indexed", "queries")).alias("p"))
+    pairs = small.unionByName(big.distinct())
+    return pairs.select("shard", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("p.d").alias("distance"))
+
+
+def canonical_spellings(counted: DataFrame) -> DataFrame:
+    """``counted``: (shard, text, n) -> (shard, text, canon): each spelling goes to the most frequent spelling near it that is at
+    least as frequent as itself (ties: the smaller text). Not transitive: chains of near spellings do not melt together."""
+    near = trie_join(counted)
+    both = near.select("shard", F.col("a").alias("text"), F.col("b").alias("other")).unionByName(near.select("shard", F.col("b").alias("text"), F.col("a").alias("other")))
+    n = counted.where("shard IS NOT NULL AND text IS NOT NULL").groupBy("shard", "text").agg(F.sum("n").alias("n"))
+    rated = both.join(n.select("shard", F.col("text").alias("other"), F.col("n").alias("of_other")), ["shard", "other"])
+    best = rated.groupBy("shard", "text").agg(F.min(F.struct((-F.col("of_other")).alias("neg"), "other")).alias("m"))
+    return (
+        n.join(best, ["shard", "text"], "left")
+        .select("shard", "text", F.when((-F.col("m.neg") > F.col("n")) | ((-F.col("m.neg") == F.col("n")) & (F.col("m.other") < F.col("text"))), F.col("m.other")).otherwise(F.col("text")).alias("canon"))
+    )

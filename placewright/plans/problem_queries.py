@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from placewright.operators import survivorship, topn
+from placewright.operators import gazetteer, survivorship, topn
 from placewright.session import table
 
 
+def p3_found(spark, sf_dir):
+    return gazetteer.matching_addresses(table(spark, sf_dir, "businesses"), table(spark, sf_dir, "places"))
+
+
 def p5_found(spark, sf_dir):
     return topn.best_emails(table(spark, sf_dir, "emails")).select("business_key", "email")
 
@@ -14,7 +18,7 @@ def p6_found(spark, sf_dir):
     return survivorship.surviving_contacts(table(spark, sf_dir, "businesses"))
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
 
 SQL = {
     "p5_found": """
