@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from placewright.functions.postal import parse, place_name, state_code, zip5
 from placewright.operators.triejoin import canonical_spellings
+from placewright.session import cut
 
 _ADDRESS = "struct<number:string,street:string,kind:string,direction:string,unit:string,city:string,state:string,zip:string>"
 #: Gazetteer entries kept for an address while it is resolved.
@@ -39,13 +40,14 @@ def resolve(addresses: DataFrame, beam: int = BEAM) -> DataFrame:
     missing. Within each locality street spellings are clustered; a cluster is a street, named by its most frequent
     spelling. The beam holds, in this order, the entry of own city and code together, own city, city of the code.
     """
+    addresses = cut(addresses)
     by_zip = zip_cities(addresses)
     placed = addresses.join(by_zip, "zip", "left").withColumn("localities", F.array_distinct(F.array_compact(F.array(F.nullif("city", F.lit("")), "zip_city"))))
     entries = placed.withColumn("locality", F.explode(F.slice("localities", 1, beam)))
     cities = canonical_spellings(entries.select(F.lit("").alias("shard"), F.col("locality").alias("text"), F.lit(1).alias("n")).groupBy("shard", "text").agg(F.sum("n").alias("n")))
-    entries = entries.join(cities.select(F.col("text").alias("locality"), F.col("canon").alias("town")), "locality").drop("locality").withColumnRenamed("town", "locality")
+    entries = cut(entries.join(cities.select(F.col("text").alias("locality"), F.col("canon").alias("town")), "locality").drop("locality").withColumnRenamed("town", "locality"))
     streets = canonical_spellings(entries.groupBy(F.col("locality").alias("shard"), F.col("street").alias("text")).agg(F.count("*").alias("n")))
-    return entries.join(streets.select(F.col("shard").alias("locality"), F.col("text").alias("street"), F.col("canon").alias("street_id")), ["locality", "street"]).drop("localities")
+    return cut(entries.join(streets.select(F.col("shard").alias("locality"), F.col("text").alias("street"), F.col("canon").alias("street_id")), ["locality", "street"]).drop("localities"))
 
 
 def agree(a: str, b: str) -> Column:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placewright.session import cut
+
 #: Texts of a shard joined in one task; larger shards are cut by segments of their texts, which loses no pair.
 BLOCK = 1000
 #: Greatest distance the automata are built for.
@@ -111,6 +113,7 @@ def trie_join(entries: DataFrame, block: int = BLOCK) -> DataFrame:
     segments, so one is free of errors), and each segment gets a trie of its own: no task holds a hot shard and no pair is lost.
     """
     once = entries.where("shard IS NOT NULL AND text IS NOT NULL AND text <> ''").select("shard", "text").distinct()
+    once = cut(once)
     sizes = once.groupBy("shard").agg(F.count("*").alias("texts")).where("texts > 1")
 
     @F.pandas_udf(_PAIRS)
@@ -145,7 +148,8 @@ def trie_join(entries: DataFrame, block: int = BLOCK) -> DataFrame:
 def canonical_spellings(counted: DataFrame) -> DataFrame:
     """``counted``: (shard, text, n) -> (shard, text, canon): each spelling goes to the most frequent spelling near it that is at
     least as frequent as itself (ties: the smaller text). Not transitive: chains of near spellings do not melt together."""
-    near = trie_join(counted)
+    counted = cut(counted)
+    near = cut(trie_join(counted))
     both = near.select("shard", F.col("a").alias("text"), F.col("b").alias("other")).unionByName(near.select("shard", F.col("b").alias("text"), F.col("a").alias("other")))
     n = counted.where("shard IS NOT NULL AND text IS NOT NULL").groupBy("shard", "text").agg(F.sum("n").alias("n"))
     rated = both.join(n.select("shard", F.col("text").alias("other"), F.col("n").alias("of_other")), ["shard", "other"])
