@@ -1,0 +1,173 @@
+"""Which records describe the same business: within one source (problem 2) and across sources without keys (problem 4)."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from placewright.functions.contact import phone_digits, site_key
+from placewright.functions.names import business_forms
+from placewright.functions.postal import place_name, zip5
+from placewright.operators.components import components
+from placewright.operators.gazetteer import address_frames
+from placewright.operators.triejoin import trie_join
+from placewright.session import cut
+
+#: A phone or site seen in more cities than this is a brand's: it links records of one city only.
+BRAND_CITIES = 3
+#: Rules in the order of the cascade, strongest first.
+RULES = ("phone_and_name", "building_and_name", "site_and_name", "city_and_name")
+
+
+def evidence(businesses: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, attributes).
+
+    rows: (side, id, gid): ``gid`` is a listing: the rows of one key of businesses, or of one provider id of places (rows without
+    are listings of their own). attributes: (gid, type, value, kind, direction): distinct phones, sites, buildings,
+    cities and name forms of a listing, so that a copy with a gap is helped by the other copies.
+    """
+
+    @F.pandas_udf("struct<forms:array<string>,city:string,zip:string>")
+    def normal(name: pd.Series, city: pd.Series, code: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"forms": [business_forms(n) for n in name], "city": [place_name(c) for c in city], "zip": [zip5(z) for z in code]})
+
+    def side(df: DataFrame, s: str, id_col: str, group: str):
+        gid = F.concat(F.lit(s), F.when(F.col(group).isNull(), F.concat(F.lit("#"), F.col(id_col).cast("string"))).otherwise(F.concat(F.lit(":"), F.col(group))))
+        return df.where(F.col(id_col).isNotNull()).select(
+            F.lit(s).alias("side"), F.col(id_col).alias("id"), gid.alias("gid"), phone_digits("phone").alias("phone"), site_key("website").alias("site"), normal("name", "city", "postal_code").alias("n")
+        )
+
+    rows = cut(side(businesses, "b", "business_id", "key").unionByName(side(places, "p", "listing_id", "place_id")).select("side", "id", "gid", "phone", "site", "n.forms", "n.city", "n.zip"))
+    b, p = address_frames(businesses, places)
+    built = b.withColumn("side", F.lit("b")).unionByName(p.withColumn("side", F.lit("p"))).where("number <> ''")
+    located = rows.select("side", "id", "gid").join(built, ["side", "id"]).select("gid", "locality", "street_id", "number", "kind", "direction", "city", "zip")
+    zips = rows.where("zip <> '' AND city <> ''").groupBy("zip", "city").agg(F.count("*").alias("n"))
+    by_zip = zips.groupBy("zip").agg(F.min(F.struct((-F.col("n")).alias("neg"), "city")).alias("m")).select("zip", F.col("m.city").alias("zip_city"))
+    blank = F.lit("")
+
+    def attr(df: DataFrame, kind: str, value, k=blank, d=blank) -> DataFrame:
+        return df.select("gid", F.lit(kind).alias("type"), value.alias("value"), k.alias("kind"), d.alias("direction")).where("value IS NOT NULL AND value <> ''")
+
+    attributes = (
+        attr(rows, "phone", F.col("phone"))
+        .unionByName(attr(rows, "site", F.col("site")))
+        .unionByName(attr(rows, "city", F.col("city")))
+        .unionByName(attr(rows.where("city = '' AND zip <> ''").join(by_zip, "zip"), "city", F.col("zip_city")))
+        .unionByName(attr(located, "city", F.col("locality")))
+        .unionByName(attr(located, "building", F.concat_ws("|", "locality", "street_id", "number"), F.col("kind"), F.col("direction")))
+        .unionByName(attr(rows.select("gid", F.explode("forms").alias("form")), "form", F.col("form")))
+        .distinct()
+    )
+    return rows.select("side", "id", "gid"), cut(attributes)
+
+
+def name_neighbours(attributes: DataFrame) -> DataFrame:
+    """(g, h), g < h: listings that share a phone, site, building or (with exactly equal usual form) city and whose names are near.
+
+    Names are sharded by what the listings share, each shard's forms (usual order, sorted words, initials) go into a trie
+    and are joined with Levenshtein automata. Phones and sites of more than ``BRAND_CITIES`` cities are divided by city.
+    """
+    of = {t: attributes.where(F.col("type") == t).select("gid", "value") for t in ("phone", "site", "building", "city", "form")}
+    city = of["city"].withColumnRenamed("value", "city")
+    shards = of["building"].select("gid", F.concat(F.lit("building|"), "value").alias("shard"))
+    for t in ("phone", "site"):
+        wide = of[t].join(city, "gid").groupBy("value").agg(F.count_distinct("city").alias("cities")).where(F.col("cities") > BRAND_CITIES).select("value")
+        shards = shards.unionByName(of[t].join(wide, "value", "left_anti").select("gid", F.concat(F.lit(f"{t}|"), "value").alias("shard")))
+        shards = shards.unionByName(of[t].join(wide, "value", "left_semi").join(city, "gid").select("gid", F.concat_ws("|", F.lit(t), "value", "city").alias("shard")))
+    shards = cut(shards.distinct())
+    shared = shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard")
+    entries = cut(shards.join(shared, "shard").join(of["form"].select("gid", F.col("value").alias("text")), "gid").select("shard", "text", "gid"))
+    pairs = trie_join(entries.select("shard", "text"))
+    left = entries.select("shard", F.col("text").alias("a"), F.col("gid").alias("ga"))
+    right = entries.select("shard", F.col("text").alias("b"), F.col("gid").alias("gb"))
+    near = pairs.join(left, ["shard", "a"]).join(right, ["shard", "b"]).select("ga", "gb")
+    same = left.join(right.withColumnRenamed("b", "a"), ["shard", "a"]).where("ga < gb").select("ga", "gb")
+    usual = of["form"].where("value NOT LIKE '~%' AND length(value) >= 8").join(city, "gid").select("gid", "city", "value").distinct()
+    town = usual.alias("x").join(usual.alias("y"), (F.col("x.city") == F.col("y.city")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.gid") < F.col("y.gid"))).select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"))
+    every = near.unionByName(same).unionByName(town)
+    return cut(every.select(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h")).where("g <> h").distinct())
+
+
+def judged(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
+    """(g, h, phone, site, building, city): what each pair of listings says of each other: '=' some value shared, '!' both have values and none is shared, '?' one has none."""
+    a = attributes.where("type <> 'form'")
+    left = a.select(F.col("gid").alias("g"), "type", F.col("value").alias("v1"), F.col("kind").alias("k1"), F.col("direction").alias("d1"))
+    right = a.select(F.col("gid").alias("h"), "type", F.col("value").alias("v2"), F.col("kind").alias("k2"), F.col("direction").alias("d2"))
+    fits = (F.col("v1") == F.col("v2")) & ((F.col("k1") == "") | (F.col("k2") == "") | (F.col("k1") == F.col("k2"))) & ((F.col("d1") == "") | (F.col("d2") == "") | (F.col("d1") == F.col("d2")))
+    met = pairs.join(left, "g").join(right, ["h", "type"]).groupBy("g", "h", "type").agg(F.max(fits).alias("eq"))
+    cols = [F.coalesce(F.max(F.when(F.col("type") == t, F.when(F.col("eq"), "=").otherwise("!"))), F.lit("?")).alias(t) for t in ("phone", "site", "building", "city")]
+    return pairs.join(met.groupBy("g", "h").agg(*cols), ["g", "h"], "left").na.fill("?", ["phone", "site", "building", "city"])
+
+
+def ruled(judgements: DataFrame) -> DataFrame:
+    """Adds ``rule``, the strongest rule that links a pair of listings with near names; null where none does.
+
+    Branches of a brand and further offices share name and site, not phone and building: a differing building excludes every
+    rule but the phone's, a differing phone every rule but the building's, differing cities all but the building's.
+    """
+    c = F.col
+    return judgements.withColumn(
+        "rule",
+        F.when((c("phone") == "=") & (c("city") != "!"), RULES[0])
+        .when(c("building") == "=", RULES[1])
+        .when((c("site") == "=") & (c("phone") != "!") & (c("building") != "!") & (c("city") != "!"), RULES[2])
+        .when((c("city") == "=") & (c("phone") != "!") & (c("building") != "!") & (c("site") != "!"), RULES[3]),
+    )
+
+
+def precision(judgements: DataFrame, smoothing: float = 1.0) -> DataFrame:
+    """(rule, labelled, agreeing, confidence): how often an attribute that a rule does not use agrees on the pairs it links.
+
+    Labels are the data's own: for the phone rule whether building or site agree, for the others whether phones do (sites
+    where a phone is lacking). confidence = (agreeing + s) / (labelled + 2 s).
+    """
+    c = F.col
+    first = F.when(c("building") == "=", 1).when(c("site") == "=", 1).when((c("building") == "!") & (c("site") == "!"), 0)
+    other = F.when(c("phone") == "=", 1).when(c("phone") == "!", F.when(c("site") == "=", 1).otherwise(0)).when(c("site") == "=", 1).when(c("site") == "!", 0)
+    last = F.when(c("phone") == "=", 1).when(c("phone") == "!", 0)
+    label = F.when(c("rule") == RULES[0], first).when(c("rule") == RULES[1], other).otherwise(last)
+    rated = judgements.where("rule IS NOT NULL").select("rule", label.alias("y")).groupBy("rule").agg(F.count("y").alias("labelled"), F.coalesce(F.sum("y"), F.lit(0)).alias("agreeing"))
+    return rated.withColumn("confidence", (c("agreeing") + smoothing) / (c("labelled") + 2 * smoothing))
+
+
+class Resolution:
+    """Listings resolved to businesses; every step is written once and used by the queries of both problems."""
+
+    def __init__(self, businesses: DataFrame, places: DataFrame):
+        self.rows, self.attributes = evidence(businesses, places)
+        self.judgements = cut(ruled(judged(name_neighbours(self.attributes), self.attributes)))
+        own = self.judgements.where("rule IS NOT NULL AND g LIKE 'b%' AND h LIKE 'b%'")
+        self.clusters = cut(components(own.select(F.col("g").alias("a"), F.col("h").alias("b"))))
+
+    def business_of(self) -> DataFrame:
+        """(gid, business): every listing of businesses and the business it belongs to."""
+        mine = self.rows.where("side = 'b'").select("gid").distinct()
+        return mine.join(self.clusters.withColumnRenamed("node", "gid"), "gid", "left").select("gid", F.coalesce("component", "gid").alias("business"))
+
+    def place_links(self) -> DataFrame:
+        """(gid, business, rule, confidence): the cascade: each rule links listings of places that no stronger rule has resolved."""
+        edges = self.judgements.where("rule IS NOT NULL AND g LIKE 'b%' AND h LIKE 'p%'").select(F.col("g").alias("gid"), F.col("h").alias("place"), "rule")
+        known = edges.join(self.business_of(), "gid").select(F.col("place").alias("gid"), "business", "rule").distinct()
+        resolved = None
+        for rule in RULES:
+            now = known.where(F.col("rule") == rule)
+            if resolved is not None:
+                now = now.join(resolved.select("gid").distinct(), "gid", "left_anti")
+            resolved = now if resolved is None else resolved.unionByName(now)
+        return resolved.join(precision(self.judgements).select("rule", "confidence"), "rule", "left").select("gid", "business", "rule", "confidence")
+
+
+def matched_pairs(res: Resolution) -> DataFrame:
+    """(business_id, listing_id, rule, confidence): all rows of a business with all rows of the places listings linked to it."""
+    b = res.rows.where("side = 'b'").join(res.business_of(), "gid").select(F.col("id").alias("business_id"), "business")
+    p = res.rows.where("side = 'p'").join(res.place_links(), "gid").select(F.col("id").alias("listing_id"), "business", "rule", "confidence")
+    return b.join(p, "business").select("business_id", "listing_id", "rule", "confidence")
+
+
+def variant_pairs(res: Resolution, businesses: DataFrame) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: rows of one business with different key and differing names as stored."""
+    named = businesses.where("business_id IS NOT NULL AND name IS NOT NULL").select(F.col("business_id").alias("id"), "key", "name")
+    rows = res.rows.where("side = 'b'").join(res.clusters.withColumnRenamed("node", "gid"), "gid").join(named, "id").select("id", "key", "name", F.col("component").alias("business"))
+    x, y = rows.alias("x"), rows.alias("y")
+    return x.join(y, (F.col("x.business") == F.col("y.business")) & (F.col("x.id") < F.col("y.id"))).where("NOT (x.key <=> y.key) AND x.name <> y.name").select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))

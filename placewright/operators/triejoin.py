@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placewright.session import cut
@@ -58,13 +58,29 @@ def neighbours(trie: dict, word: str, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def bound(text: Column) -> Column:
-    """Errors allowed for a text of this length: one up to seven characters (none up to two), two beyond."""
-    return F.when(F.length(text) <= 2, 0).when(F.length(text) <= 7, 1).otherwise(MOST)
+def _bound(n: int) -> int:
+    """Levenshtein errors looked for: a swap of neighbouring letters takes two."""
+    return 0 if n <= 2 else 1 if n <= 4 else MOST
 
 
-def _bound(n: int) -> int:
-    return 0 if n <= 2 else 1 if n <= 7 else MOST
+def swaps(a: str, b: str) -> int:
+    """Edit distance in which swapping two neighbouring letters is one edit."""
+    before, row = None, list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            v = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
+            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                v = min(v, before[j - 2] + 1)
+            new.append(v)
+        before, row = row, new
+    return row[-1]
+
+
+def near(a: str, b: str, d: int) -> bool:
+    """Texts at Levenshtein distance ``d`` are near within one edit up to seven characters (none up to two), two beyond; a swap is one edit."""
+    limit = min(0 if n <= 2 else 1 if n <= 7 else MOST for n in (len(a), len(b)))
+    return d <= limit or (d == limit + 1 and swaps(a, b) <= limit)
 
 
 _PAIRS = "array<struct<a:string,b:string,d:int>>"
@@ -76,7 +92,7 @@ def _join_lists(indexed: list[str], queries: list[str]) -> list[tuple[str, str,
         k = _bound(len(q))
         for i, d in neighbours(trie, q, k):
             t = indexed[i]
-            if q < t and d <= min(k, _bound(len(t))):
+            if q < t and near(q, t, d):
                 out.append((q, t, d))
     return out
 
@@ -106,10 +122,10 @@ def _query_keys(t: str) -> list[str]:
 
 
 def trie_join(entries: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``entries``: (shard, text) -> (shard, a, b, distance), a < b: texts of one shard within the distance both lengths allow.
+    """``entries``: (shard, text) -> (shard, a, b, distance), a < b: texts of one shard that are :func:`near` each other.
 
     Null or empty texts and null shards do not take part; repeated entries count once. A shard of at most ``block``
-    texts is one trie. Texts of larger shards go by the segments in which two texts within distance 2 must agree (three
+    texts is one trie. Texts of larger shards go by the segments in which two texts within Levenshtein distance 2 must agree (three
     segments, so one is free of errors), and each segment gets a trie of its own: no task holds a hot shard and no pair is lost.
     """
     once = entries.where("shard IS NOT NULL AND text IS NOT NULL AND text <> ''").select("shard", "text").distinct()
@@ -147,14 +163,14 @@ def trie_join(entries: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def canonical_spellings(counted: DataFrame) -> DataFrame:
     """``counted``: (shard, text, n) -> (shard, text, canon): each spelling goes to the most frequent spelling near it that is at
-    least as frequent as itself (ties: the smaller text). Not transitive: chains of near spellings do not melt together."""
+    least as frequent as itself (ties: the smaller text), and on from there once more. Longer chains of near spellings do not melt together."""
     counted = cut(counted)
-    near = cut(trie_join(counted))
-    both = near.select("shard", F.col("a").alias("text"), F.col("b").alias("other")).unionByName(near.select("shard", F.col("b").alias("text"), F.col("a").alias("other")))
+    found = cut(trie_join(counted))
+    both = found.select("shard", F.col("a").alias("text"), F.col("b").alias("other")).unionByName(found.select("shard", F.col("b").alias("text"), F.col("a").alias("other")))
     n = counted.where("shard IS NOT NULL AND text IS NOT NULL").groupBy("shard", "text").agg(F.sum("n").alias("n"))
     rated = both.join(n.select("shard", F.col("text").alias("other"), F.col("n").alias("of_other")), ["shard", "other"])
     best = rated.groupBy("shard", "text").agg(F.min(F.struct((-F.col("of_other")).alias("neg"), "other")).alias("m"))
-    return (
-        n.join(best, ["shard", "text"], "left")
-        .select("shard", "text", F.when((-F.col("m.neg") > F.col("n")) | ((-F.col("m.neg") == F.col("n")) & (F.col("m.other") < F.col("text"))), F.col("m.other")).otherwise(F.col("text")).alias("canon"))
-    )
+    more = (-F.col("m.neg") > F.col("n")) | ((-F.col("m.neg") == F.col("n")) & (F.col("m.other") < F.col("text")))
+    once = n.join(best, ["shard", "text"], "left").select("shard", "text", F.when(more, F.col("m.other")).otherwise(F.col("text")).alias("first"))
+    again = once.select("shard", F.col("text").alias("first"), F.col("first").alias("canon"))
+    return once.join(again, ["shard", "first"]).select("shard", "text", "canon")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placewright.operators import gazetteer, survivorship, topn
+from placewright.operators import gazetteer, matching, survivorship, topn
 from placewright.session import table
 
 
@@ -10,6 +10,18 @@ def p3_found(spark, sf_dir):
     return gazetteer.matching_addresses(table(spark, sf_dir, "businesses"), table(spark, sf_dir, "places"))
 
 
+def _resolution(spark, sf_dir):
+    return matching.Resolution(table(spark, sf_dir, "businesses"), table(spark, sf_dir, "places"))
+
+
+def p4_found(spark, sf_dir):
+    return p4_matches(spark, sf_dir).select("business_id", "listing_id").distinct()
+
+
+def p4_matches(spark, sf_dir):
+    return matching.matched_pairs(_resolution(spark, sf_dir))
+
+
 def p5_found(spark, sf_dir):
     return topn.best_emails(table(spark, sf_dir, "emails")).select("business_key", "email")
 
@@ -18,7 +30,7 @@ def p6_found(spark, sf_dir):
     return survivorship.surviving_contacts(table(spark, sf_dir, "businesses"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p6_found": p6_found}
 
 SQL = {
     "p5_found": """
