@@ -78,12 +78,18 @@ def name_neighbours(attributes: DataFrame) -> DataFrame:
     shards = cut(shards.distinct())
     shared = shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard")
     entries = cut(shards.join(shared, "shard").join(of["form"].select("gid", F.col("value").alias("text")), "gid").select("shard", "text", "gid"))
+    # one trie for each kind of form: initials meet initials, words meet words
+    kind = F.substring("text", 1, 1)
+    entries = cut(entries.select("gid", F.concat(F.when(kind.isin("a", "d"), "~").otherwise(kind), F.lit("|"), "shard").alias("shard"), F.substring("text", 2, 1000).alias("text"), kind.alias("role")).distinct())
     pairs = trie_join(entries.select("shard", "text"))
-    left = entries.select("shard", F.col("text").alias("a"), F.col("gid").alias("ga"))
-    right = entries.select("shard", F.col("text").alias("b"), F.col("gid").alias("gb"))
-    near = pairs.join(left, ["shard", "a"]).join(right, ["shard", "b"]).select("ga", "gb")
-    same = left.join(right.withColumnRenamed("b", "a"), ["shard", "a"]).where("ga < gb").select("ga", "gb")
-    usual = of["form"].where("value NOT LIKE '~%' AND length(value) >= 8").join(city, "gid").select("gid", "city", "value").distinct()
+    initials = F.split(F.col("a"), "~")[1] == F.split(F.col("b"), "~")[1]
+    close = pairs.where(F.when(F.col("shard").startswith("~"), initials & (F.col("distance") <= 1)).when(F.col("shard").startswith("k"), (F.col("distance") <= 1) | (F.length("a") >= 12)).otherwise(True))
+    left = entries.select("shard", F.col("text").alias("a"), F.col("gid").alias("ga"), F.col("role").alias("ra"))
+    right = entries.select("shard", F.col("text").alias("b"), F.col("gid").alias("gb"), F.col("role").alias("rb"))
+    typed = "ra <> 'd' OR rb <> 'd'"
+    near = close.join(left, ["shard", "a"]).join(right, ["shard", "b"]).where(typed).select("ga", "gb")
+    same = left.join(right.withColumnRenamed("b", "a"), ["shard", "a"]).where("ga < gb").where(typed).select("ga", "gb")
+    usual = of["form"].where("value LIKE 'n%' AND length(value) >= 9").join(city, "gid").select("gid", "city", "value").distinct()
     town = usual.alias("x").join(usual.alias("y"), (F.col("x.city") == F.col("y.city")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.gid") < F.col("y.gid"))).select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"))
     every = near.unionByName(same).unionByName(town)
     return cut(every.select(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h")).where("g <> h").distinct())
@@ -104,30 +110,37 @@ def ruled(judgements: DataFrame) -> DataFrame:
     """Adds ``rule``, the strongest rule that links a pair of listings with near names; null where none does.
 
     Branches of a brand and further offices share name and site, not phone and building: a differing building excludes every
-    rule but the phone's, a differing phone every rule but the building's, differing cities all but the building's.
+    rule but the phone's, a differing phone every rule but the building's, differing cities all but the building's, and two
+    differing attributes every rule.
     """
     c = F.col
+    apart = (c("building") == "!").cast("int") + (c("site") == "!").cast("int") + (c("phone") == "!").cast("int") >= 2
     return judgements.withColumn(
         "rule",
-        F.when((c("phone") == "=") & (c("city") != "!"), RULES[0])
-        .when(c("building") == "=", RULES[1])
+        F.when((c("phone") == "=") & (c("city") != "!") & ~apart, RULES[0])
+        .when((c("building") == "=") & ~apart, RULES[1])
         .when((c("site") == "=") & (c("phone") != "!") & (c("building") != "!") & (c("city") != "!"), RULES[2])
         .when((c("city") == "=") & (c("phone") != "!") & (c("building") != "!") & (c("site") != "!"), RULES[3]),
     )
 
 
 def precision(judgements: DataFrame, smoothing: float = 1.0) -> DataFrame:
-    """(rule, labelled, agreeing, confidence): how often an attribute that a rule does not use agrees on the pairs it links.
+    """(rule, labelled, agreeing, confidence): how often an attribute that a rule does not use agrees where its other conditions hold.
 
-    Labels are the data's own: for the phone rule whether building or site agree, for the others whether phones do (sites
-    where a phone is lacking). confidence = (agreeing + s) / (labelled + 2 s).
+    The data label themselves: for the phone rule by building and site, for the others by the phone where both listings
+    have one. confidence = (agreeing + s) / (labelled + 2 s), so a rule without labelled pairs has one half.
     """
     c = F.col
-    first = F.when(c("building") == "=", 1).when(c("site") == "=", 1).when((c("building") == "!") & (c("site") == "!"), 0)
-    other = F.when(c("phone") == "=", 1).when(c("phone") == "!", F.when(c("site") == "=", 1).otherwise(0)).when(c("site") == "=", 1).when(c("site") == "!", 0)
-    last = F.when(c("phone") == "=", 1).when(c("phone") == "!", 0)
-    label = F.when(c("rule") == RULES[0], first).when(c("rule") == RULES[1], other).otherwise(last)
-    rated = judgements.where("rule IS NOT NULL").select("rule", label.alias("y")).groupBy("rule").agg(F.count("y").alias("labelled"), F.coalesce(F.sum("y"), F.lit(0)).alias("agreeing"))
+    phone = F.when(c("phone") == "=", 1).when(c("phone") == "!", 0)
+    other = F.when((c("building") == "=") | (c("site") == "="), 1).when((c("building") == "!") | (c("site") == "!"), 0)
+    holds = {
+        RULES[0]: ((c("phone") == "=") & (c("city") != "!"), other),
+        RULES[1]: (c("building") == "=", phone),
+        RULES[2]: ((c("site") == "=") & (c("building") != "!") & (c("city") != "!"), phone),
+        RULES[3]: ((c("city") == "=") & (c("building") != "!") & (c("site") != "!"), phone),
+    }
+    cases = F.explode(F.array_compact(F.array(*(F.when(cond, F.struct(F.lit(r).alias("rule"), y.alias("y"))) for r, (cond, y) in holds.items()))))
+    rated = judgements.select(cases.alias("c")).groupBy(c("c.rule").alias("rule")).agg(F.count("c.y").alias("labelled"), F.coalesce(F.sum("c.y"), F.lit(0)).alias("agreeing"))
     return rated.withColumn("confidence", (c("agreeing") + smoothing) / (c("labelled") + 2 * smoothing))
 
 

@@ -11,7 +11,7 @@ from placewright.session import cut
 #: Texts of a shard joined in one task; larger shards are cut by segments of their texts, which loses no pair.
 BLOCK = 1000
 #: Greatest distance the automata are built for.
-MOST = 2
+MOST = 3
 
 
 def build_trie(texts: list[str]) -> dict:
@@ -60,7 +60,7 @@ def neighbours(trie: dict, word: str, k: int) -> list[tuple[int, int]]:
 
 def _bound(n: int) -> int:
     """Levenshtein errors looked for: a swap of neighbouring letters takes two."""
-    return 0 if n <= 2 else 1 if n <= 4 else MOST
+    return 0 if n <= 2 else 1 if n <= 4 else 2 if n <= 7 else MOST
 
 
 def swaps(a: str, b: str) -> int:
@@ -78,8 +78,8 @@ def swaps(a: str, b: str) -> int:
 
 
 def near(a: str, b: str, d: int) -> bool:
-    """Texts at Levenshtein distance ``d`` are near within one edit up to seven characters (none up to two), two beyond; a swap is one edit."""
-    limit = min(0 if n <= 2 else 1 if n <= 7 else MOST for n in (len(a), len(b)))
+    """Texts at Levenshtein distance ``d`` are near within one edit up to seven characters (none up to two), two up to seventeen, three beyond; a swap is one edit."""
+    limit = min(0 if n <= 2 else 1 if n <= 7 else 2 if n <= 17 else 3 for n in (len(a), len(b)))
     return d <= limit or (d == limit + 1 and swaps(a, b) <= limit)
 
 
@@ -125,7 +125,7 @@ def trie_join(entries: DataFrame, block: int = BLOCK) -> DataFrame:
     """``entries``: (shard, text) -> (shard, a, b, distance), a < b: texts of one shard that are :func:`near` each other.
 
     Null or empty texts and null shards do not take part; repeated entries count once. A shard of at most ``block``
-    texts is one trie. Texts of larger shards go by the segments in which two texts within Levenshtein distance 2 must agree (three
+    texts is one trie. Texts of larger shards go by the segments in which two texts within Levenshtein distance 3 must agree (four
     segments, so one is free of errors), and each segment gets a trie of its own: no task holds a hot shard and no pair is lost.
     """
     once = entries.where("shard IS NOT NULL AND text IS NOT NULL AND text <> ''").select("shard", "text").distinct()

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from placewright.operators import gazetteer, matching, survivorship, topn
+from pyspark.sql import functions as F
+
+from placewright.operators import gazetteer, matching, people, survivorship, topn
 from placewright.session import table
 
 
+def p2_found(spark, sf_dir):
+    business = matching.variant_pairs(_resolution(spark, sf_dir), table(spark, sf_dir, "businesses"))
+    owner = people.person_pairs(table(spark, sf_dir, "owner_candidates"))
+    kinds = [df.select(F.lit(k).alias("kind"), "id_a", "id_b") for k, df in (("business", business), ("owner", owner))]
+    return kinds[0].unionByName(kinds[1])
+
+
 def p3_found(spark, sf_dir):
     return gazetteer.matching_addresses(table(spark, sf_dir, "businesses"), table(spark, sf_dir, "places"))
 
@@ -30,7 +39,7 @@ def p6_found(spark, sf_dir):
     return survivorship.surviving_contacts(table(spark, sf_dir, "businesses"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p6_found": p6_found}
 
 SQL = {
     "p5_found": """
