@@ -95,7 +95,12 @@ def person_pairs(mentions: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<struct<given:string,middle:string,family:string,suffix:string>>")
     def read(names: pd.Series) -> pd.Series:
-        return pd.Series([person(n) for n in names])
+        out = []
+        for n in names:
+            found = person(n)
+            # a double family name is also looked up under each of its parts
+            out.append(found + [(g, m, part, s) for g, m, f, s in found if "-" in f and len(g) > 1 for part in f.split("-")])
+        return pd.Series(out)
 
     @F.pandas_udf("array<int>")
     def sort_out(groups: pd.Series) -> pd.Series:
