@@ -30,7 +30,7 @@ STATES = {
 _CODES = set(STATES.values())
 _ORDINALS = ("zeroth first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth").split()
 _TENS = {"twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
-_PLACEHOLDER = {"", "na", "none", "unknown", "tbd", "null", "address", "see website", "online", "coming soon", "various"}
+_PLACEHOLDER = {"", "na", "n a", "none", "unknown", "tbd", "null", "address", "see website", "online", "coming soon", "various"}
 
 
 class Address(NamedTuple):

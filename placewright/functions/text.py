@@ -94,7 +94,7 @@ def split_name(x: Column | str) -> Column:
 
 def brand_display_name(x: Column | str) -> Column:
     """A listing's name without store numbers."""
-    cut = F.regexp_replace(F.regexp_replace(_c(x), r"(?i)(?:#|\bno\.?\s*|\bstore\s*|\blocation\s*|\bunit\s*)\d{2,6}\b", ""), r"\s[-–]\s*\d{2,6}$", "")
+    cut = F.regexp_replace(F.regexp_replace(_c(x), r"(?i)(?:\b(?:no\.?|store|location|unit)\s*#?\s*|#\s*)\d{2,6}\b", ""), r"\s[-–]\s*\d{2,6}$", "")
     name = F.regexp_replace(cut, r"^[\s\-–—,]+|[\s\-–—,]+$", "")
     return F.when(name == "", _c(x)).otherwise(name)
 

@@ -60,7 +60,7 @@ def neighbours(trie: dict, word: str, k: int) -> list[tuple[int, int]]:
 
 def _bound(n: int) -> int:
     """Levenshtein errors looked for: a swap of neighbouring letters takes two."""
-    return 0 if n <= 2 else 1 if n <= 4 else 2 if n <= 7 else MOST
+    return 0 if n <= 2 else 2 if n <= 7 else MOST
 
 
 def swaps(a: str, b: str) -> int:

@@ -19,7 +19,7 @@ def _norm(x: str) -> str:
 
 
 def _brand(x: str) -> str:
-    cut = f"regexp_replace(regexp_replace({x}, '(?i)(?:#|\\bno\\.?\\s*|\\bstore\\s*|\\blocation\\s*|\\bunit\\s*)\\d{{2,6}}\\b', '', 'g'), '\\s[-–]\\s*\\d{{2,6}}$', '')"
+    cut = f"regexp_replace(regexp_replace({x}, '(?i)(?:\\b(?:no\\.?|store|location|unit)\\s*#?\\s*|#\\s*)\\d{{2,6}}\\b', '', 'g'), '\\s[-–]\\s*\\d{{2,6}}$', '')"
     name = f"regexp_replace({cut}, '^[\\s\\-–—,]+|[\\s\\-–—,]+$', '', 'g')"
     return f"CASE WHEN {name} = '' THEN {x} ELSE {name} END"
 

@@ -1,0 +1,191 @@
+"""Operators of problems 2 to 6 against brute force and on awkward input."""
+
+import random
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from placewright.functions.names import business_forms, person
+from placewright.functions.postal import parse
+from placewright.operators import components, gazetteer, matching, people, survivorship, topn, triejoin
+
+
+def lev(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+E_SCHEMA = "business_key string, email string, confidence int, rank int"
+
+
+def test_best_emails_ties_nulls_repeats(spark):
+    rows = [("a", " X@b.c ", 5, 1), ("a", "x@b.c", 9, 1), ("a", "y@b.c", 9, 1), ("a", "z@b.c", 9, 1), ("a", "w@b.c", 1, 1), ("b", None, 3, 1), ("b", "  ", 3, 1), ("b", "q@b.c", None, 1), (None, "n@b.c", 3, 1), ("c", " k@b.c\t", 0, 1)]
+    got = [(r.business_key, r.email, r["rank"]) for r in topn.best_emails(spark.createDataFrame(rows, E_SCHEMA)).collect()]
+    assert sorted(got) == [("a", "x@b.c", 1), ("a", "y@b.c", 2), ("a", "z@b.c", 3), ("c", "k@b.c", 1)]
+    assert topn.best_emails(spark.createDataFrame([], E_SCHEMA)).count() == 0
+
+
+def test_top_n_uses_group_limit(spark, small):
+    df = topn.best_emails(spark.read.parquet(f"{small}/emails.parquet"))
+    assert "WindowGroupLimit" in df._jdf.queryExecution().toString()
+
+
+def _values(spark, rows):
+    return spark.createDataFrame(rows, "key string, field string, id bigint, tokens array<string>, stamp bigint")
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_survivor_is_latest_value(spark, block):
+    rnd, rows = random.Random(3), []
+    for k in range(12):
+        for i in range(rnd.randint(1, 14)):
+            rows.append((f"k{k}", "site", len(rows), [rnd.choice("abcd"), rnd.choice("xyz"), *(["t"] if rnd.random() < 0.3 else [])], rnd.choice([None, 1, 2, 3, 4])))
+    want = {}
+    for key, _, i, _, stamp in rows:
+        rank = (-(10**9) if stamp is None else stamp, -i)
+        if key not in want or rank > want[key][0]:
+            want[key] = (rank, i)
+    got = {r.key: r.id for r in survivorship.consensus_survivor(_values(spark, rows), block=block).collect()}
+    assert got == {k: v[1] for k, v in want.items()}
+
+
+def test_survivor_by_support_and_awkward_rows(spark):
+    rows = [("k", "f", 1, ["a", "b"], 1), ("k", "f", 2, ["a", "b"], 2), ("k", "f", 3, ["a", "c"], 9), ("k", "f", 4, None, 99), ("k", "f", 5, [], 99), (None, "f", 6, ["z"], 1)]
+    got = survivorship.consensus_survivor(_values(spark, rows), by="support").collect()
+    assert [(r.key, r.id) for r in got] == [("k", 2)]
+    assert survivorship.consensus_survivor(_values(spark, [])).count() == 0
+
+
+def test_contacts_of_listings(spark):
+    t = lambda d: datetime(2024, 1, d)
+    rows = [(1, "k", "(299) 800-4177 x12", "http://", t(1)), (2, "k", "000-000-0000", "https://www.a.example.com/x", t(2)), (3, "k", "555", "n/a", None), (4, "solo", "299-800-4177", "b.example.com", t(1)), (5, None, "299-800-4177", "b.example.com", t(1))]
+    df = spark.createDataFrame(rows, "business_id bigint, key string, phone string, website string, updated_at timestamp")
+    assert sorted((r.field, r.business_id) for r in survivorship.surviving_contacts(df.withColumn("field", F.lit("clash"))).collect()) == [("phone", 1), ("website", 2)]
+
+
+@pytest.mark.parametrize("block", [1000, 5])
+def test_trie_join_is_exact(spark, block):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 9))) for _ in range(60)] + ["martinsquarebakery", "martinsqaurebakery", "martinsquarebakeries", "", None]
+    rows = [(s, w) for s in ("p", "q") for w in words]
+    got = {(r.shard, r.a, r.b) for r in triejoin.trie_join(spark.createDataFrame(rows, "shard string, text string"), block=block).collect()}
+    uniq = sorted({w for w in words if w})
+    want = {(s, a, b) for s in ("p", "q") for i, a in enumerate(uniq) for b in uniq[i + 1 :] if lev(a, b) <= 4 and triejoin.near(a, b, lev(a, b))}
+    assert got == want and want
+
+
+def test_automaton_distances():
+    texts = ["kitten", "sitting", "mitten", "k"]
+    found = dict(triejoin.neighbours(triejoin.build_trie(texts), "sitten", 3))
+    assert found == {i: lev("sitten", t) for i, t in enumerate(texts) if lev("sitten", t) <= 3}
+
+
+def test_canonical_spellings(spark):
+    rows = [("s", "birchgate", 5), ("s", "brichgate", 1), ("s", "birchgote", 1), ("s", "oak", 2), ("t", "brichgate", 1)]
+    got = {(r.shard, r.text): r.canon for r in triejoin.canonical_spellings(spark.createDataFrame(rows, "shard string, text string, n bigint")).collect()}
+    assert got == {("s", "birchgate"): "birchgate", ("s", "brichgate"): "birchgate", ("s", "birchgote"): "birchgate", ("s", "oak"): "oak", ("t", "brichgate"): "brichgate"}
+
+
+def test_components_against_union_find(spark):
+    rnd = random.Random(9)
+    edges = [(f"n{rnd.randint(0, 60):02}", f"n{rnd.randint(0, 60):02}") for _ in range(45)] + [(f"c{i:02}", f"c{i + 1:02}") for i in range(30)] + [(None, "x")]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a and b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {x: find(x) for x in parent}
+    assert components.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Suite 12A, 6896 Kestrel Pl., New Laurelview, ME 03003", ("6896", "kestrel", "place", "", "12a")),
+        ("29405 New Briarspring, 9466 So. Sixth road", ("9466", "sixth", "road", "s", "")),
+        ("9842 E 7th Boulevard", ("9842", "seventh", "boulevard", "e", "")),
+        ("1380 Garerly LN W, East Coppercreek, CO", ("1380", "garerly", "lane", "w", "")),
+        ("6965 Hwy. 40, Mt Valemouth, PA", ("6965", "highway 40", "highway", "", "")),
+        ("7576 W Wrenview, Otterhill, NJ 12602", ("7576", "wrenview", "", "w", "")),
+    ],
+)
+def test_address_parts(text, want):
+    assert tuple(parse(text, "New Briarspring" if "Briar" in text else None))[:5] == want
+
+
+@pytest.mark.parametrize("text", [None, "", "  ", "n/a", "unknown", "12345"])
+def test_no_address(text):
+    assert parse(text) is None
+
+
+B = "business_id bigint, key string, name string, address string, city string, state string, postal_code string, phone string, website string, place_id string"
+P = "listing_id bigint, place_id string, name string, street string, address string, city string, state string, postal_code string, phone string, website string"
+
+
+def _tables(spark):
+    b = [
+        (1, "k1", "Threnault & Daughters Bakery", "12 Oak St, Pineville, ME 01201", "Pineville", "ME", "01201", "(299) 800-4177", "https://tdb.example.com", None),
+        (2, "k2", "T&D Bakery", "12 Oak Street Ste 4, Pineville, ME 01201", "Pineville", "ME", None, None, None, None),
+        (3, "k3", "Bakery, Threnault & Daugthers LLC", None, "Pineville", "ME", "01201", "299.800.4177", None, None),
+        (4, "k4", "Threnault & Daughters Bakery", "77 Elm Ave, Pineville, ME 01201", "Pineville", "ME", "01201", "(299) 800-9999", "https://tdb.example.com", None),
+        (5, "k5", "Corner Barber Shop", "12 Oak Ct, Pineville, ME 01201", "Pineville", "ME", "01201", "(299) 800-1111", None, None),
+        (6, None, None, None, None, None, None, None, None, None),
+        (7, "k1", "Threnault & Daughters Bakery", None, None, None, None, None, None, None),
+    ]
+    p = [
+        (100, "x1", "Threnault and Daughters Bakery", "12 Oka St.", None, "Pineville", "ME", None, "299 800 4177", None),
+        (101, None, "Corner Barbershop", "12 Oak Court", None, "Pineville", None, "01201", None, None),
+        (102, None, "Something Else", None, None, None, None, None, None, None),
+    ]
+    return spark.createDataFrame(b, B), spark.createDataFrame(p, P)
+
+
+def test_same_building(spark):
+    got = {tuple(r) for r in gazetteer.matching_addresses(*_tables(spark)).collect()}
+    assert got == {(1, 100), (2, 100), (5, 101)}
+
+
+def test_businesses_resolved(spark):
+    b, p = _tables(spark)
+    res = matching.Resolution(b, p)
+    assert {tuple(r) for r in matching.variant_pairs(res, b).collect()} == {(1, 2), (1, 3), (2, 3), (2, 7), (3, 7)}
+    rows = matching.matched_pairs(res).collect()
+    assert {(r.business_id, r.listing_id) for r in rows} == {(1, 100), (2, 100), (3, 100), (7, 100), (5, 101)}
+    assert all(0 < r.confidence < 1 for r in rows)
+
+
+def test_empty_tables(spark):
+    b, p = spark.createDataFrame([], B), spark.createDataFrame([], P)
+    assert gazetteer.matching_addresses(b, p).count() == 0
+    assert matching.matched_pairs(matching.Resolution(b, p)).count() == 0
+
+
+def test_name_forms():
+    assert "d~td~bakery" in business_forms("Threnault & Daughters Bakery") and "a~td~bakery" in business_forms("T&D Bakery, LLC")
+    assert business_forms("Roofing Company, Bramian")[0] == business_forms("The Bramian Roofing Co.")[0]
+    assert business_forms(None) == [] and business_forms("***") == []
+
+
+def test_person_readings():
+    assert person("Norian, Len P") == [("leonard", "p", "norian", "")] and person("Dr. Lawrence V. Dravlach, Jr.") == [("lawrence", "v", "dravlach", "jr")]
+    assert person(None) == [] and person("Dr.") == [] and person("") == []
+
+
+def test_people_at_a_business(spark):
+    names = ["Anthony Froskin", "A. Froskin", "Froskin, Tony", "Zoë Froskin", "Chris Garlach Jr", "Christopher Garlach Sr", "GARLACH, C. JR", None, "", "Anthony Froskin"]
+    rows = [(i, "k", n) for i, n in enumerate(names)] + [(50, None, "Anthony Froskin"), (51, "k2", "Anthony Frosikn"), (52, "k2", "Anthony Froskin")]
+    got = {tuple(r) for r in people.person_pairs(spark.createDataFrame(rows, "candidate_id bigint, business_key string, name string")).collect()}
+    assert got == {(0, 1), (0, 2), (1, 2), (1, 9), (2, 9), (4, 6), (51, 52)}
