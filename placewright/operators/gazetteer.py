@@ -78,9 +78,11 @@ def same_building(left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.join(la, "a").join(ra, "b").select("left_id", "right_id").distinct()
 
 
-def address_frames(businesses: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+def address_frames(businesses: DataFrame, places: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Resolved addresses of both tables over one gazetteer; places use street, else address."""
     b = parsed(businesses, "business_id", F.col("address")).withColumn("side", F.lit("b"))
+    if places is None:
+        return resolve(b).drop("side"), None
     p = parsed(places, "listing_id", F.coalesce(F.nullif(F.trim("street"), F.lit("")), F.col("address"))).withColumn("side", F.lit("p"))
     both = resolve(b.unionByName(p))
     return both.where("side = 'b'").drop("side"), both.where("side = 'p'").drop("side")

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from placewright.functions.contact import phone_digits, site_key
 from placewright.functions.names import business_forms
 from placewright.functions.postal import place_name, zip5
+from placewright.operators import triejoin
 from placewright.operators.components import components
 from placewright.operators.gazetteer import address_frames
-from placewright.operators.triejoin import trie_join
 from placewright.session import cut
 
 #: A phone or site seen in more cities than this is a brand's: it links records of one city only.
@@ -20,90 +20,152 @@ BRAND_CITIES = 3
 RULES = ("phone_and_name", "building_and_name", "site_and_name", "city_and_name")
 
 
-def evidence(businesses: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, attributes).
+#: Entries of a shard whose names are compared in one task; larger shards go through the segment join.
+BLOCK = 3000
+PHONE, SITE, BUILDING, CITY = 1, 2, 3, 4
+#: Kinds of evidence and the column of a judgement that holds what a pair says of it.
+KINDS = {PHONE: "phone", SITE: "site", BUILDING: "building", CITY: "city"}
 
-    rows: (side, id, gid): ``gid`` is a listing: the rows of one key of businesses, or of one provider id of places (rows without
-    are listings of their own). attributes: (gid, type, value, kind, direction): distinct phones, sites, buildings,
-    cities and name forms of a listing, so that a copy with a gap is helped by the other copies.
+
+def evidence(businesses: DataFrame, places: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, attributes, forms).
+
+    rows: (side, id, gid): ``gid`` is a listing: the rows of one key of businesses (even numbers), or of one provider id of places
+    (odd numbers); rows without are listings of their own. Ids and values are 64-bit hashes, so that shuffles carry numbers.
+    attributes: (gid, type, value, kind, direction): distinct phones, sites, buildings and cities of a listing, so that a copy with a
+    gap is helped by the other copies. forms: (gid, role, text): the spellings of its names.
     """
 
     @F.pandas_udf("struct<forms:array<string>,city:string,zip:string>")
     def normal(name: pd.Series, city: pd.Series, code: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"forms": [business_forms(n) for n in name], "city": [place_name(c) for c in city], "zip": [zip5(z) for z in code]})
+        known: dict = {}
+        forms = [known[n] if n in known else known.setdefault(n, business_forms(n)) for n in name]
+        return pd.DataFrame({"forms": forms, "city": [place_name(c) for c in city], "zip": [zip5(z) for z in code]})
 
     def side(df: DataFrame, s: str, id_col: str, group: str):
-        gid = F.concat(F.lit(s), F.when(F.col(group).isNull(), F.concat(F.lit("#"), F.col(id_col).cast("string"))).otherwise(F.concat(F.lit(":"), F.col(group))))
+        named = F.when(F.col(group).isNull(), F.concat(F.lit("#"), F.col(id_col).cast("string"))).otherwise(F.concat(F.lit(":"), F.col(group)))
+        gid = F.shiftleft(F.xxhash64(F.lit(s), named), 1) + (1 if s == "p" else 0)
+        phone, site = phone_digits("phone"), site_key("website")
         return df.where(F.col(id_col).isNotNull()).select(
-            F.lit(s).alias("side"), F.col(id_col).alias("id"), gid.alias("gid"), phone_digits("phone").alias("phone"), site_key("website").alias("site"), normal("name", "city", "postal_code").alias("n")
+            F.lit(s).alias("side"), F.col(id_col).alias("id"), gid.alias("gid"), phone.alias("phone"), site.alias("site"), normal("name", "city", "postal_code").alias("n")
         )
 
-    rows = cut(side(businesses, "b", "business_id", "key").unionByName(side(places, "p", "listing_id", "place_id")).select("side", "id", "gid", "phone", "site", "n.forms", "n.city", "n.zip"))
+    rows = side(businesses, "b", "business_id", "key")
+    if places is not None:
+        rows = rows.unionByName(side(places, "p", "listing_id", "place_id"))
+    rows = cut(rows.select("side", "id", "gid", "phone", "site", "n.forms", "n.city", "n.zip"))
     b, p = address_frames(businesses, places)
-    built = b.withColumn("side", F.lit("b")).unionByName(p.withColumn("side", F.lit("p"))).where("number <> ''")
-    located = rows.select("side", "id", "gid").join(built, ["side", "id"]).select("gid", "locality", "street_id", "number", "kind", "direction", "city", "zip")
+    built = b.withColumn("side", F.lit("b"))
+    if places is not None:
+        built = built.unionByName(p.withColumn("side", F.lit("p")))
+    building = F.when(F.col("number") != "", F.xxhash64("locality", "street_id", "number"))
+    found = built.select("side", "id", "locality", building.alias("building"), "kind", "direction")
+    located = rows.select("side", "id", "gid").join(found, ["side", "id"]).select("gid", "locality", "building", "kind", "direction")
     zips = rows.where("zip <> '' AND city <> ''").groupBy("zip", "city").agg(F.count("*").alias("n"))
     by_zip = zips.groupBy("zip").agg(F.min(F.struct((-F.col("n")).alias("neg"), "city")).alias("m")).select("zip", F.col("m.city").alias("zip_city"))
     blank = F.lit("")
+    item = lambda t, v, k=blank, d=blank: F.when(v.isNotNull(), F.struct(F.lit(t).cast("tinyint").alias("type"), v.alias("value"), k.alias("kind"), d.alias("direction")))
+    town = lambda c: F.when(F.col(c) != "", F.xxhash64(c))
 
-    def attr(df: DataFrame, kind: str, value, k=blank, d=blank) -> DataFrame:
-        return df.select("gid", F.lit(kind).alias("type"), value.alias("value"), k.alias("kind"), d.alias("direction")).where("value IS NOT NULL AND value <> ''")
-
-    attributes = (
-        attr(rows, "phone", F.col("phone"))
-        .unionByName(attr(rows, "site", F.col("site")))
-        .unionByName(attr(rows, "city", F.col("city")))
-        .unionByName(attr(rows.where("city = '' AND zip <> ''").join(by_zip, "zip"), "city", F.col("zip_city")))
-        .unionByName(attr(located, "city", F.col("locality")))
-        .unionByName(attr(located, "building", F.concat_ws("|", "locality", "street_id", "number"), F.col("kind"), F.col("direction")))
-        .unionByName(attr(rows.select("gid", F.explode("forms").alias("form")), "form", F.col("form")))
-        .distinct()
-    )
-    return rows.select("side", "id", "gid"), cut(attributes)
-
+    def items(df: DataFrame, *cases) -> DataFrame:
+        return df.select("gid", F.explode(F.array_compact(F.array(*cases))).alias("i")).select("gid", "i.*")
 
-def name_neighbours(attributes: DataFrame) -> DataFrame:
+    number = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c))
+    with_city = rows.join(by_zip, "zip", "left").withColumn("town", F.when(F.col("city") != "", F.col("city")).otherwise(F.coalesce("zip_city", blank)))
+    attributes = items(with_city, item(PHONE, number("phone")), item(SITE, number("site")), item(CITY, town("town"))).unionByName(
+        items(located, item(CITY, town("locality")), item(BUILDING, F.col("building"), F.col("kind"), F.col("direction")))
+    )
+    forms = rows.select("gid", F.explode("forms").alias("f")).select("gid", F.substring("f", 1, 1).alias("role"), F.substring("f", 2, 1000).alias("text")).distinct()
+    return rows.select("side", "id", "gid"), cut(attributes.distinct()), cut(forms)
+
+
+def _pairs_of_shard(entries) -> list[tuple[int, int]]:
+    """Listings of one shard with near names: words with words in one trie, initials with initials in another."""
+    out: set[tuple[int, int]] = set()
+    for roles in ("n", "k", "ad"):
+        by_text: dict[str, list] = {}
+        for e in entries:
+            if e["role"] in roles:
+                by_text.setdefault(e["text"], []).append((e["gid"], e["role"]))
+        if len({g for holders in by_text.values() for g, _ in holders}) < 2 or (roles == "ad" and not any(r == "a" for h in by_text.values() for _, r in h)):
+            continue
+        texts = sorted(by_text)
+        trie = triejoin.build_trie(texts)
+        for q in texts:
+            k = min(1, triejoin.reach(q)) if roles == "ad" else triejoin.reach(q)
+            for i, d in triejoin.neighbours(trie, q, k):
+                t = texts[i]
+                if t < q or not _close(roles, q, t, d):
+                    continue
+                for g, r in by_text[q]:
+                    for h, o in by_text[t]:
+                        if g != h and (roles != "ad" or r == "a" or o == "a"):
+                            out.add((g, h) if g < h else (h, g))
+    return sorted(out)
+
+
+def _close(roles: str, a: str, b: str, d: int) -> bool:
+    if a == b:
+        return True
+    if roles == "ad":
+        return d <= 1 and a.split("~")[1] == b.split("~")[1]
+    return triejoin.near(a, b, d) and (roles == "n" or d <= 1 or min(len(a), len(b)) >= 12)
+
+
+def name_neighbours(attributes: DataFrame, forms: DataFrame, block: int = BLOCK) -> DataFrame:
     """(g, h), g < h: listings that share a phone, site, building or (with exactly equal usual form) city and whose names are near.
 
-    Names are sharded by what the listings share, each shard's forms (usual order, sorted words, initials) go into a trie
-    and are joined with Levenshtein automata. Phones and sites of more than ``BRAND_CITIES`` cities are divided by city.
+    Names are sharded by what the listings share, each shard's forms (usual order, sorted words, without vowels, initials) go
+    into tries and are joined with Levenshtein automata. Phones and sites of more than ``BRAND_CITIES`` cities are
+    divided by city. A shard of more than ``block`` entries goes through :func:`trie_join`, which divides it without loss.
     """
-    of = {t: attributes.where(F.col("type") == t).select("gid", "value") for t in ("phone", "site", "building", "city", "form")}
-    city = of["city"].withColumnRenamed("value", "city")
-    shards = of["building"].select("gid", F.concat(F.lit("building|"), "value").alias("shard"))
-    for t in ("phone", "site"):
-        wide = of[t].join(city, "gid").groupBy("value").agg(F.count_distinct("city").alias("cities")).where(F.col("cities") > BRAND_CITIES).select("value")
-        shards = shards.unionByName(of[t].join(wide, "value", "left_anti").select("gid", F.concat(F.lit(f"{t}|"), "value").alias("shard")))
-        shards = shards.unionByName(of[t].join(wide, "value", "left_semi").join(city, "gid").select("gid", F.concat_ws("|", F.lit(t), "value", "city").alias("shard")))
-    shards = cut(shards.distinct())
-    shared = shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard")
-    entries = cut(shards.join(shared, "shard").join(of["form"].select("gid", F.col("value").alias("text")), "gid").select("shard", "text", "gid"))
-    # one trie for each kind of form: initials meet initials, words meet words
-    kind = F.substring("text", 1, 1)
-    entries = cut(entries.select("gid", F.concat(F.when(kind.isin("a", "d"), "~").otherwise(kind), F.lit("|"), "shard").alias("shard"), F.substring("text", 2, 1000).alias("text"), kind.alias("role")).distinct())
-    pairs = trie_join(entries.select("shard", "text"))
+    of = {t: attributes.where(F.col("type") == t).select("gid", "value").distinct() for t in KINDS}
+    city = of[CITY].withColumnRenamed("value", "city")
+    shards = of[BUILDING].select("gid", F.xxhash64(F.lit(BUILDING), "value").alias("shard"))
+    for t in (PHONE, SITE):
+        wide = cut(of[t].join(city, "gid").groupBy("value").agg(F.count_distinct("city").alias("cities")).where(F.col("cities") > BRAND_CITIES).select("value"))
+        shards = shards.unionByName(of[t].join(wide, "value", "left_anti").select("gid", F.xxhash64(F.lit(t), "value").alias("shard")))
+        shards = shards.unionByName(of[t].join(wide, "value", "left_semi").join(city, "gid").select("gid", F.xxhash64(F.lit(t), "value", "city").alias("shard")))
+    shards = cut(shards)
+    sizes = shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(shards.join(sizes, "shard"))
+    # initials matter only where some listing of the shard is written with initials
+    typed = shared.join(forms.where("role = 'a'").select("gid").distinct(), "gid", "left_semi").select("shard").distinct()
+    short = shared.join(typed, "shard", "left_semi").select("gid", "shard", "n").join(forms.where("role IN ('a', 'd')"), "gid")
+    entries = shared.join(forms.where("role IN ('n', 'k')"), "gid").unionByName(short)
+
+    @F.pandas_udf("array<struct<g:bigint,h:bigint>>")
+    def near(groups: pd.Series) -> pd.Series:
+        return pd.Series([_pairs_of_shard(es) for es in groups])
+
+    entry = F.struct("gid", "role", "text")
+    few = entries.where(F.col("n") * 4 <= block).groupBy("shard").agg(F.collect_list(entry).alias("es")).select(F.explode(near("es")).alias("p")).select("p.g", "p.h")
+
+    many = cut(entries.where(F.col("n") * 4 > block).select("gid", "role", "text", F.concat(F.when(F.col("role").isin("a", "d"), "~").otherwise(F.col("role")), F.lit("|"), F.col("shard").cast("string")).alias("shard")))
+    pairs = triejoin.trie_join(many.select("shard", "text"))
     initials = F.split(F.col("a"), "~")[1] == F.split(F.col("b"), "~")[1]
-    close = pairs.where(F.when(F.col("shard").startswith("~"), initials & (F.col("distance") <= 1)).when(F.col("shard").startswith("k"), (F.col("distance") <= 1) | (F.length("a") >= 12)).otherwise(True))
-    left = entries.select("shard", F.col("text").alias("a"), F.col("gid").alias("ga"), F.col("role").alias("ra"))
-    right = entries.select("shard", F.col("text").alias("b"), F.col("gid").alias("gb"), F.col("role").alias("rb"))
-    typed = "ra <> 'd' OR rb <> 'd'"
-    near = close.join(left, ["shard", "a"]).join(right, ["shard", "b"]).where(typed).select("ga", "gb")
-    same = left.join(right.withColumnRenamed("b", "a"), ["shard", "a"]).where("ga < gb").where(typed).select("ga", "gb")
-    usual = of["form"].where("value LIKE 'n%' AND length(value) >= 9").join(city, "gid").select("gid", "city", "value").distinct()
-    town = usual.alias("x").join(usual.alias("y"), (F.col("x.city") == F.col("y.city")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.gid") < F.col("y.gid"))).select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"))
-    every = near.unionByName(same).unionByName(town)
-    return cut(every.select(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h")).where("g <> h").distinct())
+    close = pairs.where(F.when(F.col("shard").startswith("~"), initials & (F.col("distance") <= 1)).when(F.col("shard").startswith("k"), (F.col("distance") <= 1) | (F.least(F.length("a"), F.length("b")) >= 12)).otherwise(True))
+    left = many.select("shard", F.col("text").alias("a"), F.col("gid").alias("ga"), F.col("role").alias("ra"))
+    right = many.select("shard", F.col("text").alias("b"), F.col("gid").alias("gb"), F.col("role").alias("rb"))
+    some = "ra <> 'd' OR rb <> 'd'"
+    hot = close.join(left, ["shard", "a"]).join(right, ["shard", "b"]).where(some).select("ga", "gb")
+    hot = hot.unionByName(left.join(right.withColumnRenamed("b", "a"), ["shard", "a"]).where("ga < gb").where(some).select("ga", "gb"))
+
+    usual = forms.where("role = 'n' AND length(text) >= 8").join(city, "gid").select("gid", F.xxhash64("city", "text").alias("v")).distinct()
+    x, y = usual.alias("x"), usual.alias("y")
+    town = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.gid") < F.col("y.gid"))).select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"))
+    rest = hot.unionByName(town).select(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h"))
+    return cut(few.unionByName(rest).where("g <> h").distinct())
 
 
 def judged(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
     """(g, h, phone, site, building, city): what each pair of listings says of each other: '=' some value shared, '!' both have values and none is shared, '?' one has none."""
-    a = attributes.where("type <> 'form'")
-    left = a.select(F.col("gid").alias("g"), "type", F.col("value").alias("v1"), F.col("kind").alias("k1"), F.col("direction").alias("d1"))
-    right = a.select(F.col("gid").alias("h"), "type", F.col("value").alias("v2"), F.col("kind").alias("k2"), F.col("direction").alias("d2"))
+    left = attributes.select(F.col("gid").alias("g"), "type", F.col("value").alias("v1"), F.col("kind").alias("k1"), F.col("direction").alias("d1"))
+    right = attributes.select(F.col("gid").alias("h"), "type", F.col("value").alias("v2"), F.col("kind").alias("k2"), F.col("direction").alias("d2"))
     fits = (F.col("v1") == F.col("v2")) & ((F.col("k1") == "") | (F.col("k2") == "") | (F.col("k1") == F.col("k2"))) & ((F.col("d1") == "") | (F.col("d2") == "") | (F.col("d1") == F.col("d2")))
-    met = pairs.join(left, "g").join(right, ["h", "type"]).groupBy("g", "h", "type").agg(F.max(fits).alias("eq"))
-    cols = [F.coalesce(F.max(F.when(F.col("type") == t, F.when(F.col("eq"), "=").otherwise("!"))), F.lit("?")).alias(t) for t in ("phone", "site", "building", "city")]
-    return pairs.join(met.groupBy("g", "h").agg(*cols), ["g", "h"], "left").na.fill("?", ["phone", "site", "building", "city"])
+    says = [F.coalesce(F.when(F.max(F.when(F.col("type") == t, fits)), "=").when(F.max(F.when(F.col("type") == t, fits)) == F.lit(False), "!"), F.lit("?")).alias(name) for t, name in KINDS.items()]
+    met = pairs.join(left, "g").join(right, ["h", "type"]).groupBy("g", "h").agg(*says)
+    return pairs.join(met, ["g", "h"], "left").na.fill("?", list(KINDS.values()))
 
 
 def ruled(judgements: DataFrame) -> DataFrame:
@@ -147,10 +209,10 @@ def precision(judgements: DataFrame, smoothing: float = 1.0) -> DataFrame:
 class Resolution:
     """Listings resolved to businesses; every step is written once and used by the queries of both problems."""
 
-    def __init__(self, businesses: DataFrame, places: DataFrame):
-        self.rows, self.attributes = evidence(businesses, places)
-        self.judgements = cut(ruled(judged(name_neighbours(self.attributes), self.attributes)))
-        own = self.judgements.where("rule IS NOT NULL AND g LIKE 'b%' AND h LIKE 'b%'")
+    def __init__(self, businesses: DataFrame, places: DataFrame | None = None):
+        self.rows, self.attributes, self.forms = evidence(businesses, places)
+        self.judgements = cut(ruled(judged(name_neighbours(self.attributes, self.forms), self.attributes)))
+        own = self.judgements.where("rule IS NOT NULL AND g % 2 = 0 AND h % 2 = 0")
         self.clusters = cut(components(own.select(F.col("g").alias("a"), F.col("h").alias("b"))))
 
     def business_of(self) -> DataFrame:
@@ -160,7 +222,8 @@ class Resolution:
 
     def place_links(self) -> DataFrame:
         """(gid, business, rule, confidence): the cascade: each rule links listings of places that no stronger rule has resolved."""
-        edges = self.judgements.where("rule IS NOT NULL AND g LIKE 'b%' AND h LIKE 'p%'").select(F.col("g").alias("gid"), F.col("h").alias("place"), "rule")
+        mixed = self.judgements.where("rule IS NOT NULL AND (g % 2 = 0) <> (h % 2 = 0)")
+        edges = mixed.select(F.when(F.col("g") % 2 == 0, F.col("g")).otherwise(F.col("h")).alias("gid"), F.when(F.col("g") % 2 == 0, F.col("h")).otherwise(F.col("g")).alias("place"), "rule")
         known = edges.join(self.business_of(), "gid").select(F.col("place").alias("gid"), "business", "rule").distinct()
         resolved = None
         for rule in RULES:

@@ -58,6 +58,10 @@ def neighbours(trie: dict, word: str, k: int) -> list[tuple[int, int]]:
     return out
 
 
+def reach(text: str) -> int:
+    return _bound(len(text))
+
+
 def _bound(n: int) -> int:
     """Levenshtein errors looked for: a swap of neighbouring letters takes two."""
     return 0 if n <= 2 else 2 if n <= 7 else MOST

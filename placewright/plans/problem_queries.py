@@ -9,7 +9,8 @@ from placewright.session import table
 
 
 def p2_found(spark, sf_dir):
-    business = matching.variant_pairs(_resolution(spark, sf_dir), table(spark, sf_dir, "businesses"))
+    listings = table(spark, sf_dir, "businesses")
+    business = matching.variant_pairs(matching.Resolution(listings), listings)
     owner = people.person_pairs(table(spark, sf_dir, "owner_candidates"))
     kinds = [df.select(F.lit(k).alias("kind"), "id_a", "id_b") for k, df in (("business", business), ("owner", owner))]
     return kinds[0].unionByName(kinds[1])

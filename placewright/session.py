@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,13 +31,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WRITTEN: list[str] = []
+
+
+def _folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the cluster's shared one named by ``spark.checkpoint.dir``; only where the session
+    names none (tests, local runs) a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = os.path.join(tempfile.gettempdir(), "placewright-checkpoints")
+    return f"{shared.rstrip('/')}/placewright-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the folder named by ``spark.checkpoint.dir`` and forget how it was made.
-
-    The folder is the cluster's shared one; only where the session names none (tests, local runs) is a temporary
-    folder set.
-    """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "placewright-checkpoints"))
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a compressed table in the shared folder and read it from there: what follows neither depends on how it
+    was made nor on executors that made it. The folder is removed when the application's driver ends."""
+    spark = df.sparkSession
+    folder = _folder(spark)
+    if folder not in _WRITTEN:
+        _WRITTEN.append(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session is gone already: its folder is left to whoever owns the shared one
+        pass
