@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from placewright.functions.postal import fold
 
@@ -37,6 +38,7 @@ def _words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text)
 
 
+@lru_cache(50_000)
 def _nearly(word: str, target: str) -> bool:
     """A long word with few letters wrong: same first letter, at most two letters missing, added or out of place."""
     if word[:1] != target[:1] or abs(len(word) - len(target)) > 2 or len(word) < 5:
@@ -71,12 +73,13 @@ def business_tokens(name: str | None) -> list[str]:
     return kept or [w for w in words if w not in {"the", "and"}] or words
 
 
+@lru_cache(50_000)
 def _skeleton(word: str) -> str:
     return word[:1] + re.sub(r"[aeiou]", "", word[1:])
 
 
-def business_forms(name: str | None) -> list[str]:
-    """Spellings under which a business name is looked up, each with its role in the first letter.
+def business_forms(name: str | None, initials: bool = True) -> list[str]:
+    """Spellings under which a business name is looked up, each with its role in the first letter (d only with ``initials``).
 
     n: words in usual order, and sorted; k: without vowels, for shortened words; a: as typed with leading initials;
     d: leading words of a full name shortened to the initials they might be typed as. Forms a and d begin with "~".
@@ -95,7 +98,7 @@ def business_forms(name: str | None) -> list[str]:
         forms.append("a~" + "".join(words[:single]) + "~" + "".join(words[single:]))
         if words[0] == "t":  # the article's initial
             forms.append("a~" + "".join(words[1:single]) + "~" + "".join(words[single:]))
-    else:
+    elif initials:
         for n in range(1, min(len(words), 5) + 1):
             forms.append("d~" + "".join(w[0] for w in words[:n]) + "~" + "".join(words[n:]))
     return list(dict.fromkeys(forms))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 from typing import NamedTuple
 
 #: Street types, directions, units, compass and place abbreviations and states as commonly written.
@@ -46,10 +47,13 @@ class Address(NamedTuple):
 
 def fold(text: str | None) -> str:
     """Lower case, without accents."""
+    if text is None or text.isascii():
+        return (text or "").lower()
     t = unicodedata.normalize("NFKD", text or "")
     return "".join(c for c in t if not unicodedata.combining(c)).lower()
 
 
+@lru_cache(50_000)
 def place_name(city: str | None) -> str:
     """A locality's name with its abbreviations written out."""
     words = re.findall(r"[a-z0-9]+", fold(city).replace("'", ""))
@@ -59,11 +63,13 @@ def place_name(city: str | None) -> str:
     return "" if name in _PLACEHOLDER else name
 
 
+@lru_cache(5_000)
 def state_code(state: str | None) -> str:
     s = " ".join(re.findall(r"[a-z]+", fold(state)))
     return s if s in _CODES else STATES.get(s, "")
 
 
+@lru_cache(50_000)
 def zip5(code: str | None) -> str:
     """Five digits; codes that lost leading zeros in a number column get them back."""
     m = re.match(r"\s*(\d{3,5})(?:-\d{0,4}|\.0)?\s*$", code or "")

@@ -28,7 +28,7 @@ def parsed(df: DataFrame, id_col: str, address: Column, city: str = "city", stat
 
 
 def zip_cities(addresses: DataFrame) -> DataFrame:
-    """(zip, zip_city): the city most rows with a postal code name (ties: the smaller name)."""
+    """(zip, zip_city): the city most rows with a postal code name (ties: the smaller name). At most 100,000 rows: codes are five digits."""
     counted = addresses.where("zip <> '' AND city <> ''").groupBy("zip", "city").agg(F.count("*").alias("n"))
     return counted.groupBy("zip").agg(F.min(F.struct((-F.col("n")).alias("neg"), "city")).alias("m")).select("zip", F.col("m.city").alias("zip_city"))
 
@@ -42,7 +42,7 @@ def resolve(addresses: DataFrame, beam: int = BEAM) -> DataFrame:
     """
     addresses = cut(addresses)
     by_zip = zip_cities(addresses)
-    placed = addresses.join(by_zip, "zip", "left").withColumn("localities", F.array_distinct(F.array_compact(F.array(F.nullif("city", F.lit("")), "zip_city"))))
+    placed = addresses.join(F.broadcast(by_zip), "zip", "left").withColumn("localities", F.array_distinct(F.array_compact(F.array(F.nullif("city", F.lit("")), "zip_city"))))
     entries = placed.withColumn("locality", F.explode(F.slice("localities", 1, beam)))
     cities = canonical_spellings(entries.select(F.lit("").alias("shard"), F.col("locality").alias("text"), F.lit(1).alias("n")).groupBy("shard", "text").agg(F.sum("n").alias("n")))
     entries = cut(entries.join(cities.select(F.col("text").alias("locality"), F.col("canon").alias("town")), "locality").drop("locality").withColumnRenamed("town", "locality"))

@@ -11,7 +11,7 @@ from placewright.functions.names import business_forms
 from placewright.functions.postal import place_name, zip5
 from placewright.operators import triejoin
 from placewright.operators.components import components
-from placewright.operators.gazetteer import address_frames
+from placewright.operators.gazetteer import parsed, resolve, zip_cities
 from placewright.session import cut
 
 #: A phone or site seen in more cities than this is a brand's: it links records of one city only.
@@ -27,56 +27,61 @@ PHONE, SITE, BUILDING, CITY = 1, 2, 3, 4
 KINDS = {PHONE: "phone", SITE: "site", BUILDING: "building", CITY: "city"}
 
 
+def _listings(df: DataFrame, side: str, id_col: str, group: str, address) -> DataFrame:
+    named = F.when(F.col(group).isNull(), F.concat(F.lit("#"), F.col(id_col).cast("string"))).otherwise(F.concat(F.lit(":"), F.col(group)))
+    gid = F.shiftleft(F.xxhash64(F.lit(side), named), 1) + (1 if side == "p" else 0)
+    return df.where(F.col(id_col).isNotNull()).select(
+        F.lit(side).alias("side"), F.col(id_col).alias("id"), gid.alias("gid"), "name", phone_digits("phone").alias("phone"), site_key("website").alias("site"), address.alias("address"), "city", "state", "postal_code"
+    )
+
+
+def spellings(names: DataFrame, initials: bool) -> DataFrame:
+    """(gid, role, text) of (gid, name); with ``initials`` only the initials full names might be typed as (role d)."""
+
+    @F.pandas_udf("array<string>")
+    def forms(name: pd.Series) -> pd.Series:
+        return pd.Series([[f for f in business_forms(n, initials) if (f[0] == "d") == initials] for n in name])
+
+    return names.select("gid", F.explode(forms("name")).alias("f")).select("gid", F.substring("f", 1, 1).alias("role"), F.substring("f", 2, 1000).alias("text"))
+
+
 def evidence(businesses: DataFrame, places: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, attributes, forms).
+    """(rows, attributes, names).
 
     rows: (side, id, gid): ``gid`` is a listing: the rows of one key of businesses (even numbers), or of one provider id of places
     (odd numbers); rows without are listings of their own. Ids and values are 64-bit hashes, so that shuffles carry numbers.
     attributes: (gid, type, value, kind, direction): distinct phones, sites, buildings and cities of a listing, so that a copy with a
-    gap is helped by the other copies. forms: (gid, role, text): the spellings of its names.
+    gap is helped by the other copies. names: (gid, name), distinct. Names and addresses are parsed once for each listing, not
+    for each copy.
     """
 
-    @F.pandas_udf("struct<forms:array<string>,city:string,zip:string>")
-    def normal(name: pd.Series, city: pd.Series, code: pd.Series) -> pd.DataFrame:
-        known: dict = {}
-        forms = [known[n] if n in known else known.setdefault(n, business_forms(n)) for n in name]
-        return pd.DataFrame({"forms": forms, "city": [place_name(c) for c in city], "zip": [zip5(z) for z in code]})
-
-    def side(df: DataFrame, s: str, id_col: str, group: str):
-        named = F.when(F.col(group).isNull(), F.concat(F.lit("#"), F.col(id_col).cast("string"))).otherwise(F.concat(F.lit(":"), F.col(group)))
-        gid = F.shiftleft(F.xxhash64(F.lit(s), named), 1) + (1 if s == "p" else 0)
-        phone, site = phone_digits("phone"), site_key("website")
-        return df.where(F.col(id_col).isNotNull()).select(
-            F.lit(s).alias("side"), F.col(id_col).alias("id"), gid.alias("gid"), phone.alias("phone"), site.alias("site"), normal("name", "city", "postal_code").alias("n")
-        )
-
-    rows = side(businesses, "b", "business_id", "key")
-    if places is not None:
-        rows = rows.unionByName(side(places, "p", "listing_id", "place_id"))
-    rows = cut(rows.select("side", "id", "gid", "phone", "site", "n.forms", "n.city", "n.zip"))
-    b, p = address_frames(businesses, places)
-    built = b.withColumn("side", F.lit("b"))
+    @F.pandas_udf("struct<city:string,zip:string>")
+    def locality(city: pd.Series, code: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"city": [place_name(c) for c in city], "zip": [zip5(z) for z in code]})
+
+    base = _listings(businesses, "b", "business_id", "key", F.col("address"))
     if places is not None:
-        built = built.unionByName(p.withColumn("side", F.lit("p")))
+        base = base.unionByName(_listings(places, "p", "listing_id", "place_id", F.coalesce(F.nullif(F.trim("street"), F.lit("")), F.col("address"))))
+    base = cut(base)
+    names = cut(base.where("name IS NOT NULL").select("gid", "name").distinct())
+    written = base.where("address IS NOT NULL").select("gid", "address", "city", "state", "postal_code").distinct()
+    built = resolve(parsed(written, "gid", F.col("address")))
     building = F.when(F.col("number") != "", F.xxhash64("locality", "street_id", "number"))
-    found = built.select("side", "id", "locality", building.alias("building"), "kind", "direction")
-    located = rows.select("side", "id", "gid").join(found, ["side", "id"]).select("gid", "locality", "building", "kind", "direction")
-    zips = rows.where("zip <> '' AND city <> ''").groupBy("zip", "city").agg(F.count("*").alias("n"))
-    by_zip = zips.groupBy("zip").agg(F.min(F.struct((-F.col("n")).alias("neg"), "city")).alias("m")).select("zip", F.col("m.city").alias("zip_city"))
+    located = built.select(F.col("id").alias("gid"), "locality", building.alias("building"), "kind", "direction").distinct()
+    contact = cut(base.select("gid", "phone", "site", "city", "postal_code").distinct().select("gid", "phone", "site", locality("city", "postal_code").alias("l")).select("gid", "phone", "site", "l.city", "l.zip"))
+    by_zip = F.broadcast(zip_cities(contact))  # five digits: at most 100,000 rows
     blank = F.lit("")
     item = lambda t, v, k=blank, d=blank: F.when(v.isNotNull(), F.struct(F.lit(t).cast("tinyint").alias("type"), v.alias("value"), k.alias("kind"), d.alias("direction")))
-    town = lambda c: F.when(F.col(c) != "", F.xxhash64(c))
 
     def items(df: DataFrame, *cases) -> DataFrame:
         return df.select("gid", F.explode(F.array_compact(F.array(*cases))).alias("i")).select("gid", "i.*")
 
-    number = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c))
-    with_city = rows.join(by_zip, "zip", "left").withColumn("town", F.when(F.col("city") != "", F.col("city")).otherwise(F.coalesce("zip_city", blank)))
-    attributes = items(with_city, item(PHONE, number("phone")), item(SITE, number("site")), item(CITY, town("town"))).unionByName(
-        items(located, item(CITY, town("locality")), item(BUILDING, F.col("building"), F.col("kind"), F.col("direction")))
+    number = lambda c: F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.xxhash64(c))
+    with_city = contact.join(by_zip, "zip", "left").withColumn("town", F.when(F.col("city") != "", F.col("city")).otherwise(F.coalesce("zip_city", blank)))
+    attributes = items(with_city, item(PHONE, number("phone")), item(SITE, number("site")), item(CITY, number("town"))).unionByName(
+        items(located, item(CITY, number("locality")), item(BUILDING, F.col("building"), F.col("kind"), F.col("direction")))
     )
-    forms = rows.select("gid", F.explode("forms").alias("f")).select("gid", F.substring("f", 1, 1).alias("role"), F.substring("f", 2, 1000).alias("text")).distinct()
-    return rows.select("side", "id", "gid"), cut(attributes.distinct()), cut(forms)
+    return base.select("side", "id", "gid"), cut(attributes.distinct()), names
 
 
 def _pairs_of_shard(entries) -> list[tuple[int, int]]:
@@ -112,14 +117,16 @@ def _close(roles: str, a: str, b: str, d: int) -> bool:
     return triejoin.near(a, b, d) and (roles == "n" or d <= 1 or min(len(a), len(b)) >= 12)
 
 
-def name_neighbours(attributes: DataFrame, forms: DataFrame, block: int = BLOCK) -> DataFrame:
+def name_neighbours(attributes: DataFrame, names: DataFrame, block: int = BLOCK) -> DataFrame:
     """(g, h), g < h: listings that share a phone, site, building or (with exactly equal usual form) city and whose names are near.
 
     Names are sharded by what the listings share, each shard's forms (usual order, sorted words, without vowels, initials) go
     into tries and are joined with Levenshtein automata. Phones and sites of more than ``BRAND_CITIES`` cities are
-    divided by city. A shard of more than ``block`` entries goes through :func:`trie_join`, which divides it without loss.
+    divided by city. A shard of more than ``block`` entries (four a listing) goes through :func:`trie_join`, which divides it without loss.
     """
-    of = {t: attributes.where(F.col("type") == t).select("gid", "value").distinct() for t in KINDS}
+    forms = cut(spellings(names, initials=False))
+    of = {t: attributes.where(F.col("type") == t).select("gid", "value") for t in KINDS}
+    of[BUILDING] = of[BUILDING].distinct()  # written with and without street type
     city = of[CITY].withColumnRenamed("value", "city")
     shards = of[BUILDING].select("gid", F.xxhash64(F.lit(BUILDING), "value").alias("shard"))
     for t in (PHONE, SITE):
@@ -131,8 +138,9 @@ def name_neighbours(attributes: DataFrame, forms: DataFrame, block: int = BLOCK)
     shared = cut(shards.join(sizes, "shard"))
     # initials matter only where some listing of the shard is written with initials
     typed = shared.join(forms.where("role = 'a'").select("gid").distinct(), "gid", "left_semi").select("shard").distinct()
-    short = shared.join(typed, "shard", "left_semi").select("gid", "shard", "n").join(forms.where("role IN ('a', 'd')"), "gid")
-    entries = shared.join(forms.where("role IN ('n', 'k')"), "gid").unionByName(short)
+    short = cut(shared.join(typed, "shard", "left_semi").select("gid", "shard", "n"))
+    shorts = spellings(names.join(short.select("gid").distinct(), "gid", "left_semi"), initials=True).unionByName(forms.where("role = 'a'"))
+    entries = shared.join(forms.where("role IN ('n', 'k')"), "gid").unionByName(short.join(shorts, "gid"))
 
     @F.pandas_udf("array<struct<g:bigint,h:bigint>>")
     def near(groups: pd.Series) -> pd.Series:
@@ -210,8 +218,8 @@ class Resolution:
     """Listings resolved to businesses; every step is written once and used by the queries of both problems."""
 
     def __init__(self, businesses: DataFrame, places: DataFrame | None = None):
-        self.rows, self.attributes, self.forms = evidence(businesses, places)
-        self.judgements = cut(ruled(judged(name_neighbours(self.attributes, self.forms), self.attributes)))
+        self.rows, self.attributes, names = evidence(businesses, places)
+        self.judgements = cut(ruled(judged(name_neighbours(self.attributes, names), self.attributes)))
         own = self.judgements.where("rule IS NOT NULL AND g % 2 = 0 AND h % 2 = 0")
         self.clusters = cut(components(own.select(F.col("g").alias("a"), F.col("h").alias("b"))))
 
