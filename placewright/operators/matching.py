@@ -18,8 +18,6 @@ from placewright.session import cut
 BRAND_CITIES = 3
 #: Rules in the order of the cascade, strongest first.
 RULES = ("phone_and_name", "building_and_name", "site_and_name", "city_and_name")
-
-
 #: Entries of a shard whose names are compared in one task; larger shards go through the segment join.
 BLOCK = 3000
 PHONE, SITE, BUILDING, CITY = 1, 2, 3, 4
@@ -122,7 +120,7 @@ def name_neighbours(attributes: DataFrame, names: DataFrame, block: int = BLOCK)
 
     Names are sharded by what the listings share, each shard's forms (usual order, sorted words, without vowels, initials) go
     into tries and are joined with Levenshtein automata. Phones and sites of more than ``BRAND_CITIES`` cities are
-    divided by city. A shard of more than ``block`` entries (four a listing) goes through :func:`trie_join`, which divides it without loss.
+    divided by city. A shard of more than ``block`` entries (four a name) goes through :func:`trie_join`, which divides it without loss.
     """
     forms = cut(spellings(names, initials=False))
     of = {t: attributes.where(F.col("type") == t).select("gid", "value") for t in KINDS}
@@ -134,7 +132,8 @@ def name_neighbours(attributes: DataFrame, names: DataFrame, block: int = BLOCK)
         shards = shards.unionByName(of[t].join(wide, "value", "left_anti").select("gid", F.xxhash64(F.lit(t), "value").alias("shard")))
         shards = shards.unionByName(of[t].join(wide, "value", "left_semi").join(city, "gid").select("gid", F.xxhash64(F.lit(t), "value", "city").alias("shard")))
     shards = cut(shards)
-    sizes = shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
+    spelt = names.groupBy("gid").agg(F.count("*").alias("names"))
+    sizes = shards.join(spelt, "gid").groupBy("shard").agg(F.count("*").alias("listings"), (4 * F.sum("names")).alias("n")).where("listings > 1").select("shard", "n")
     shared = cut(shards.join(sizes, "shard"))
     # initials matter only where some listing of the shard is written with initials
     typed = shared.join(forms.where("role = 'a'").select("gid").distinct(), "gid", "left_semi").select("shard").distinct()
@@ -147,9 +146,9 @@ def name_neighbours(attributes: DataFrame, names: DataFrame, block: int = BLOCK)
         return pd.Series([_pairs_of_shard(es) for es in groups])
 
     entry = F.struct("gid", "role", "text")
-    few = entries.where(F.col("n") * 4 <= block).groupBy("shard").agg(F.collect_list(entry).alias("es")).select(F.explode(near("es")).alias("p")).select("p.g", "p.h")
+    few = entries.where(F.col("n") <= block).groupBy("shard").agg(F.collect_list(entry).alias("es")).select(F.explode(near("es")).alias("p")).select("p.g", "p.h")
 
-    many = cut(entries.where(F.col("n") * 4 > block).select("gid", "role", "text", F.concat(F.when(F.col("role").isin("a", "d"), "~").otherwise(F.col("role")), F.lit("|"), F.col("shard").cast("string")).alias("shard")))
+    many = cut(entries.where(F.col("n") > block).select("gid", "role", "text", F.concat(F.when(F.col("role").isin("a", "d"), "~").otherwise(F.col("role")), F.lit("|"), F.col("shard").cast("string")).alias("shard")))
     pairs = triejoin.trie_join(many.select("shard", "text"))
     initials = F.split(F.col("a"), "~")[1] == F.split(F.col("b"), "~")[1]
     close = pairs.where(F.when(F.col("shard").startswith("~"), initials & (F.col("distance") <= 1)).when(F.col("shard").startswith("k"), (F.col("distance") <= 1) | (F.least(F.length("a"), F.length("b")) >= 12)).otherwise(True))

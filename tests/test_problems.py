@@ -189,3 +189,10 @@ def test_people_at_a_business(spark):
     rows = [(i, "k", n) for i, n in enumerate(names)] + [(50, None, "Anthony Froskin"), (51, "k2", "Anthony Frosikn"), (52, "k2", "Anthony Froskin")]
     got = {tuple(r) for r in people.person_pairs(spark.createDataFrame(rows, "candidate_id bigint, business_key string, name string")).collect()}
     assert got == {(0, 1), (0, 2), (1, 2), (1, 9), (2, 9), (4, 6), (51, 52)}
+
+
+def test_large_shards_give_the_same_links(spark):
+    b, p = _tables(spark)
+    _, attributes, names = matching.evidence(b, p)
+    small = {tuple(r) for r in matching.name_neighbours(attributes, names).collect()}
+    assert small and small == {tuple(r) for r in matching.name_neighbours(attributes, names, block=1).collect()}
