@@ -83,14 +83,32 @@ def evidence(businesses: DataFrame, places: DataFrame | None = None) -> tuple[Da
 
 
 def _pairs_of_shard(entries) -> list[tuple[int, int]]:
-    """Listings of one shard with near names: words with words in one trie, initials with initials in another."""
+    """Listings of one shard with near names: words with words in one trie, initials with initials in another.
+
+    Equal spellings need no trie, and a trie is built only while some pair of listings is not linked yet.
+    """
+    held: dict[str, dict[str, list]] = {}
+    listings = set()
+    for e in entries:
+        role, gid = e["role"], e["gid"]
+        listings.add(gid)
+        held.setdefault("ad" if role in "ad" else role, {}).setdefault(e["text"], []).append((gid, role))
+    every = len(listings) * (len(listings) - 1) // 2
     out: set[tuple[int, int]] = set()
+
+    def link(some, others, roles: str) -> None:
+        for g, r in some:
+            for h, o in others:
+                if g != h and (roles != "ad" or r == "a" or o == "a"):
+                    out.add((g, h) if g < h else (h, g))
+
+    for roles, by_text in held.items():
+        for same in by_text.values():
+            if len(same) > 1:
+                link(same, same, roles)
     for roles in ("n", "k", "ad"):
-        by_text: dict[str, list] = {}
-        for e in entries:
-            if e["role"] in roles:
-                by_text.setdefault(e["text"], []).append((e["gid"], e["role"]))
-        if len({g for holders in by_text.values() for g, _ in holders}) < 2 or (roles == "ad" and not any(r == "a" for h in by_text.values() for _, r in h)):
+        by_text = held.get(roles)
+        if not by_text or len(out) == every or (roles == "ad" and not any(r == "a" for h in by_text.values() for _, r in h)):
             continue
         texts = sorted(by_text)
         trie = triejoin.build_trie(texts)
@@ -98,18 +116,12 @@ def _pairs_of_shard(entries) -> list[tuple[int, int]]:
             k = min(1, triejoin.reach(q)) if roles == "ad" else triejoin.reach(q)
             for i, d in triejoin.neighbours(trie, q, k):
                 t = texts[i]
-                if t < q or not _close(roles, q, t, d):
-                    continue
-                for g, r in by_text[q]:
-                    for h, o in by_text[t]:
-                        if g != h and (roles != "ad" or r == "a" or o == "a"):
-                            out.add((g, h) if g < h else (h, g))
+                if t > q and _close(roles, q, t, d):
+                    link(by_text[q], by_text[t], roles)
     return sorted(out)
 
 
 def _close(roles: str, a: str, b: str, d: int) -> bool:
-    if a == b:
-        return True
     if roles == "ad":
         return d <= 1 and a.split("~")[1] == b.split("~")[1]
     return triejoin.near(a, b, d) and (roles == "n" or d <= 1 or min(len(a), len(b)) >= 12)
