@@ -1,9 +1,8 @@
 """Main body of web pages by nearest-URL page differencing (problem 1).
 
 Pages of a host are ordered by URL path; the text lines of each page are aligned with those of its nearest neighbours by
-longest common subsequence, and shared lines are taken for frame. What markup says about a block decides which stretch of the
-page the unshared text belongs to, and keeps headings, paragraphs, list items, cells and quotations inside that stretch
-even if a neighbour happens to have the same one.
+longest common subsequence, and shared lines are taken for frame. Markup divides the page into stretches and names some frame;
+the stretches with unshared text are the body, and shared lines are deleted with the exceptions stated at :func:`main_body`.
 """
 
 from __future__ import annotations
@@ -113,31 +112,60 @@ def shared_lines(own: list[int], other: list[int]) -> set[int]:
     return got
 
 
+#: Share of the lines marked as frame that a neighbour of the same template has.
+FRAMED = 0.5
+#: Characters of unshared text that the stretch with the title counts for more.
+TITLE = 200
+_TEXT_TAGS = {"h1", "h2", "p", "li", "td", "th", "dd", "dt", "blockquote", "pre", "body"}
+
+
 def main_body(parts: list[tuple], neighbours: list[list[int]]) -> list[str]:
-    """Distinct block texts of the main body, in reading order."""
+    """Distinct block texts of the main body, in reading order.
+
+    Stretches with unshared text are the body, all of them if some neighbour has the page's frame, else the heaviest; shared
+    lines are deleted. Exceptions in the heaviest stretch: the title; text between its unshared lines; text at its ends that some neighbour lacks, or,
+    with a single neighbour, headings, paragraphs, list items and quotations. Without neighbours, or where nothing is unshared, markup decides.
+    """
     own = [mask(p[0]) for p in parts]
-    shared: set[int] = set()
+    hits: Counter = Counter()
+    framed = False  # some neighbour has the page's frame
+    marked = {i for i, p in enumerate(parts) if p[3] == FRAME}
     for other in neighbours:
-        shared |= shared_lines(own, list(other))
+        got = shared_lines(own, list(other))
+        framed = framed or len(got & marked) >= FRAMED * max(1, len(marked)) and bool(got)
+        hits.update(got)
     weight: Counter = Counter()
+    fresh: dict[int, list[int]] = {}
     title = None
     for i, (text, tag, stretch, state, linked) in enumerate(parts):
         if state == KEEP:
-            fresh = len(text) - linked
-            weight[stretch] += fresh * (0.15 if i in shared else 1.0) + (5 if tag in {"p", "td", "li", "blockquote"} else 0)
+            weight[stretch] += (len(text) - linked) * (0.15 if i in hits else 1.0) + (5 if tag in {"p", "td", "li", "blockquote"} else 0)
+            if i not in hits:
+                fresh.setdefault(stretch, []).append(i)
             if tag == "h1" and title is None:
-                title = stretch
-    if not weight:  # everything is marked as frame or side: only a message may be left
-        candidates = [p for i, p in enumerate(parts) if i not in shared and p[3] != FRAME] or [p for p in parts if p[3] == SIDE]
+                title = i
+    unshared_side = [p for i, p in enumerate(parts) if i not in hits and p[3] == SIDE]
+    if not weight or (neighbours and not fresh and unshared_side):  # everything is marked as frame or side, or shared: only a message may be left
+        candidates = unshared_side or [p for p in parts if p[3] == SIDE]
         return list(dict.fromkeys(p[0] for p in candidates))
-    best = title if title is not None else max(weight, key=lambda s: (weight[s], -s))
-    text_tags = {"h1", "h2", "p", "li", "td", "th", "dd", "dt", "blockquote", "pre", "body"}
+    if title is not None and (not fresh or not neighbours):
+        best = parts[title][2]
+    else:
+        if title is not None:
+            weight[parts[title][2]] += TITLE
+        best = max(fresh, key=lambda s: (weight[s], -s)) if fresh else max(weight, key=lambda s: (weight[s], -s))
+    chosen = {best, *fresh} if framed else {best}
     body = []
     for i, (text, tag, stretch, state, _) in enumerate(parts):
-        if stretch != best or state != KEEP:
-            continue
-        if i in shared and tag not in text_tags and len(text) <= 80:
+        if stretch not in chosen or state != KEEP:
             continue
+        if i in hits and i != title:
+            if stretch != best or (tag not in _TEXT_TAGS and len(text) <= 80):
+                continue
+            lines = fresh.get(best)
+            if lines and not lines[0] < i < lines[-1]:
+                if hits[i] == len(neighbours) and (len(neighbours) > 1 or tag not in {"h2", "p", "li", "blockquote"}):
+                    continue
         body.append(text)
     return list(dict.fromkeys(body))
 

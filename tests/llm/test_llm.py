@@ -138,6 +138,19 @@ def test_main_bodies(spark):
     assert mainbody.main_bodies(df.where("false")).count() == 0
 
 
+def test_differencing_decides_the_main_body():
+    def page(n):
+        frame = "<p>Bonded and insured.</p><p>Proudly powered by SiteKettle</p>"
+        return mainbody.layout(f"<body><nav>Home Shop</nav><div><div>x</div><h1>Head {'abc'[n]}</h1><p>Text {'abc'[n]}.</p><p>Same hours.</p><p>More {'abc'[n]}.</p>{frame}</div><hr><section><div>y</div><p>Outside {'abc'[n]}.</p>{frame}</section></body>")
+
+    pages = [page(n) for n in range(3)]
+    lines = [[mainbody.mask(p[0]) for p in ps] for ps in pages]
+    assert mainbody.main_body(pages[1], [lines[0], lines[2]]) == ["Head b", "Text b.", "Same hours.", "More b.", "Outside b."]
+    # all text of the stretch with the title is shared: the body is elsewhere
+    titled = [mainbody.layout(f"<body><nav>Home Shop</nav><div><div>x</div><h1>Our shop</h1><p>Bonded and insured.</p></div><section><div>y</div><p>Outside {c}.</p></section></body>") for c in "ab"]
+    assert mainbody.main_body(titled[0], [[mainbody.mask(p[0]) for p in titled[1]]]) == ["Outside a."]
+
+
 @pytest.fixture(scope="module")
 def residue_model():
     rnd = random.Random(6)
