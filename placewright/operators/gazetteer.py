@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewright.functions.postal import parse, place_name, state_code, zip5
-from placewright.operators.triejoin import canonical_spellings
+from placewright.operators.triejoin import canonical_spellings, trie_join
 from placewright.session import cut
 
 _ADDRESS = "struct<number:string,street:string,kind:string,direction:string,unit:string,city:string,state:string,zip:string>"
@@ -33,21 +33,76 @@ def zip_cities(addresses: DataFrame) -> DataFrame:
     return counted.groupBy("zip").agg(F.min(F.struct((-F.col("n")).alias("neg"), "city")).alias("m")).select("zip", F.col("m.city").alias("zip_city"))
 
 
+_FORM = ["number", "street", "kind", "direction", "city", "state", "zip"]
+
+
 def resolve(addresses: DataFrame, beam: int = BEAM) -> DataFrame:
-    """Adds to parsed addresses their gazetteer entries: (..., locality, street_id), up to ``beam`` rows for an address.
+    """Adds to parsed addresses their gazetteer entries: (..., locality, street_id), the ``beam`` best rows of an address.
 
-    Localities of an address are its own city and the usual city of its postal code, so one of the two may be wrong or
-    missing. Within each locality street spellings are clustered; a cluster is a street, named by its most frequent
-    spelling. The beam holds, in this order, the entry of own city and code together, own city, city of the code.
+    An entry is a street of a locality: street spellings are clustered within each locality and named by the most frequent one. Candidates of
+    an address are the entries of its own city and of the usual city of its postal code (those without either: of ``~`` and their
+    state), further near streets of these localities that have its number, and, if its locality is missing or only stated once and not
+    confirmed, near streets of its state (without state: of all) that have its number. See :func:`_candidates` for the scores.
     """
     addresses = cut(addresses)
     by_zip = zip_cities(addresses)
-    placed = addresses.join(F.broadcast(by_zip), "zip", "left").withColumn("localities", F.array_distinct(F.array_compact(F.array(F.nullif("city", F.lit("")), "zip_city"))))
-    entries = placed.withColumn("locality", F.explode(F.slice("localities", 1, beam)))
-    cities = canonical_spellings(entries.select(F.lit("").alias("shard"), F.col("locality").alias("text"), F.lit(1).alias("n")).groupBy("shard", "text").agg(F.sum("n").alias("n")))
-    entries = cut(entries.join(cities.select(F.col("text").alias("locality"), F.col("canon").alias("town")), "locality").drop("locality").withColumnRenamed("town", "locality"))
+    stated = F.array_distinct(F.array_compact(F.array(F.nullif("city", F.lit("")), "zip_city")))
+    placed = addresses.join(F.broadcast(by_zip), "zip", "left").withColumn("localities", stated)
+    placed = placed.withColumn("sure", (F.col("city") != "") & F.coalesce(F.levenshtein("city", "zip_city") <= 2, F.lit(False))).withColumn("once", (F.col("city") == "") | F.col("zip_city").isNull())
+    placed = placed.withColumn("localities", F.when(F.size("localities") == 0, F.array(F.concat(F.lit("~"), "state"))).otherwise(F.col("localities")))
+    entries = placed.withColumn("locality", F.explode("localities"))
+    named = entries.where(~F.col("locality").startswith("~"))
+    cities = canonical_spellings(named.select(F.lit("").alias("shard"), F.col("locality").alias("text"), F.lit(1).alias("n")).groupBy("shard", "text").agg(F.sum("n").alias("n")))
+    entries = entries.join(cities.select(F.col("text").alias("locality"), F.col("canon").alias("town")), "locality", "left")
+    entries = cut(entries.withColumn("locality", F.coalesce("town", "locality")).drop("town", "localities"))
     streets = canonical_spellings(entries.groupBy(F.col("locality").alias("shard"), F.col("street").alias("text")).agg(F.count("*").alias("n")))
-    return cut(entries.join(streets.select(F.col("shard").alias("locality"), F.col("text").alias("street"), F.col("canon").alias("street_id")), ["locality", "street"]).drop("localities"))
+    entries = cut(entries.join(streets.select(F.col("shard").alias("locality"), F.col("text").alias("street"), F.col("canon").alias("street_id")), ["locality", "street"]))
+    forms = cut(_candidates(entries.select(*_FORM, "sure", "once", "zip_city", "locality", "street_id").distinct(), beam))
+    return cut(addresses.join(forms, _FORM))
+
+
+def _candidates(entries: DataFrame, beam: int) -> DataFrame:
+    """(form columns, locality, street_id): the ``beam`` best entries of each distinct form of an address.
+
+    Scores: 20 for the own city, 10 for the city of the code; the other candidates one each for the same spelling of the street, a stated
+    street type and direction that the entry has, and a confirmed entry, four for a near name of the city. Contradicting type or
+    direction excludes these. An entry of another locality counts only if it alone has the best score, and, where the
+    address states a locality, if city and postal code of some address confirm the entry and none the stated one.
+    """
+    c = F.col
+    spots = cut(
+        entries.where(~c("locality").startswith("~")).groupBy("locality", "number", "street_id", "street")
+        .agg(F.max("sure").alias("confirmed"), F.collect_set("kind").alias("kinds"), F.collect_set("direction").alias("directions"))
+    )
+    counted = entries.where(~c("locality").startswith("~") & (c("state") != "")).groupBy("locality", "state").agg(F.count("*").alias("n"))
+    towns = counted.groupBy("locality").agg(F.max_by("state", F.struct("n", "state")).alias("of_state"))
+    confirmed = spots.where("confirmed").select("locality", "street_id", "number").distinct()
+    doubtful = entries.where("once").join(confirmed, ["locality", "street_id", "number"], "left_anti")
+    seekers = cut(doubtful.select(*_FORM, c("locality").alias("own"), F.concat_ws("|", F.lit("S"), F.when(c("state") == "", "*").otherwise(c("state")), "number").alias("shard")).distinct())
+    crowded = spots.groupBy("locality", "number").agg(F.count_distinct("street_id").alias("streets")).where("streets > 1").select("locality", "number")
+    local = lambda df: df.withColumn("shard", F.concat_ws("|", F.lit("L"), "locality", "number"))
+    states = F.array(F.coalesce("of_state", F.lit("")), F.lit("*"))
+    within_state = spots.join(towns, "locality", "left").withColumn("of", F.explode(states)).withColumn("shard", F.concat_ws("|", F.lit("S"), "of", "number")).drop("of", "of_state")
+    held = cut(within_state.join(seekers.select("shard").distinct(), "shard", "left_semi").unionByName(local(spots.join(crowded, ["locality", "number"], "left_semi"))))
+    asked = cut(seekers.unionByName(local(entries.join(crowded, ["locality", "number"], "left_semi")).select(*_FORM, c("locality").alias("own"), "shard").distinct()))
+    texts = held.select("shard", c("street").alias("text")).unionByName(asked.select("shard", c("street").alias("text")))
+    near = cut(trie_join(texts))
+    both = near.select("shard", c("a").alias("street"), c("b").alias("other")).unionByName(near.select("shard", c("b").alias("street"), c("a").alias("other")))
+    both = both.unionByName(asked.select("shard", "street", c("street").alias("other")).distinct())
+    met = asked.join(both, ["shard", "street"]).join(held.select("shard", c("street").alias("other"), "locality", "street_id", "confirmed", "kinds", "directions"), ["shard", "other"])
+    fits = lambda x, xs: (c(x) == "") | F.array_contains(xs, c(x)) | F.array_contains(xs, "")
+    has = lambda x, xs: ((c(x) != "") & F.array_contains(xs, c(x))).cast("int")
+    nearly = F.when((c("city") != "") & (F.levenshtein("city", "locality") <= 2), 4).otherwise(0)
+    score = (c("street") == c("other")).cast("int") + has("kind", "kinds") + has("direction", "directions") + c("confirmed").cast("int") + nearly
+    rated = met.where(fits("kind", "kinds") & fits("direction", "directions")).groupBy(*_FORM, "own", "locality", "street_id").agg(F.max(score).alias("score"), F.max("confirmed").alias("confirmed"))
+    inside = rated.where("own = locality").select(*_FORM, "locality", "street_id", "score")
+    away = rated.where((c("own") != c("locality")) & (c("own").startswith("~") | c("confirmed")))
+    best = away.withColumn("top", F.max("score").over(Window.partitionBy(*_FORM))).where("score = top")
+    alone = best.withColumn("ties", F.count("*").over(Window.partitionBy(*_FORM))).where("ties = 1").select(*_FORM, "locality", "street_id", "score")
+    given = entries.where("locality <> '~'").select(*_FORM, "locality", "street_id", F.when((c("city") != "") & (F.levenshtein("city", "locality") <= 3), 20).otherwise(10).alias("score"))
+    every = given.unionByName(inside).unionByName(alone).groupBy(*_FORM, "locality", "street_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy(*_FORM).orderBy(c("score").desc(), "locality", "street_id")
+    return every.withColumn("place", F.row_number().over(order)).where(c("place") <= beam).select(*_FORM, "locality", "street_id")
 
 
 def agree(a: str, b: str) -> Column:

@@ -77,7 +77,7 @@ def evidence(businesses: DataFrame, places: DataFrame | None = None) -> tuple[Da
     number = lambda c: F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.xxhash64(c))
     with_city = contact.join(by_zip, "zip", "left").withColumn("town", F.when(F.col("city") != "", F.col("city")).otherwise(F.coalesce("zip_city", blank)))
     attributes = items(with_city, item(PHONE, number("phone")), item(SITE, number("site")), item(CITY, number("town"))).unionByName(
-        items(located, item(CITY, number("locality")), item(BUILDING, F.col("building"), F.col("kind"), F.col("direction")))
+        items(located, item(CITY, F.when(~F.col("locality").startswith("~"), number("locality"))), item(BUILDING, F.col("building"), F.col("kind"), F.col("direction")))
     )
     return base.select("side", "id", "gid"), cut(attributes.distinct()), names
 

@@ -158,6 +158,23 @@ def test_same_building(spark):
     assert got == {(1, 100), (2, 100), (5, 101)}
 
 
+def test_addresses_get_their_best_entries(spark):
+    def row(i, address, city=None, state="ME", code=None):
+        return (i, f"k{i}", None, address, city, state, code, None, None, None)
+
+    b = [
+        row(1, "12 Oakridge St"), row(2, "31 Elmwood Ave", "Otterville"), row(3, "77 Birchgate Road"), row(4, "9 Harbor Lane"), row(5, "40 Moss Court"), row(6, "12 Oakridge Street", state="TX"),
+        row(7, "90 Calverton Rd", "Pineville", "ME", "01201"), row(8, "91 Calverton Rd", "Pineville", "ME", "01201"), row(9, "5 Calvertrum Rd", "Pineville", "ME", "01201"), row(10, "6 Calvertrum Rd", "Pineville", "ME", "01201"), row(11, "7 Calvertrum Rd", "Pineville", "ME", "01201"),
+    ]
+    p = [(100 + i, None, None, street, None, city, "ME", code, None, None) for i, (street, city, code) in enumerate([
+        ("12 Oakridge Street", "Pineville", "01201"), ("31 Elmwood Avenue", "Pineville", "01201"), ("77 Birchgate Rd", None, None), ("9 Harbor Ln", "Pineville", "01201"), ("9 Harbor Ln", "Otterville", "01299"),
+        ("40 Moss Avenue", "Pineville", "01201"), ("90 Calvertun Rd", "Pineville", "01201"),
+    ])]
+    # no locality (1, 3), a wrong city (2), near two streets (7); two towns alike (4), other street type (5) and other state (6) do not match
+    got = {tuple(r) for r in gazetteer.matching_addresses(spark.createDataFrame(b, B), spark.createDataFrame(p, P)).collect()}
+    assert got == {(1, 100), (2, 101), (3, 102), (7, 106)}
+
+
 def test_businesses_resolved(spark):
     b, p = _tables(spark)
     res = matching.Resolution(b, p)
