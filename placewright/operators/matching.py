@@ -128,11 +128,11 @@ def _close(roles: str, a: str, b: str, d: int) -> bool:
 
 
 def name_neighbours(attributes: DataFrame, names: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(g, h), g < h: listings that share a phone, site, building or (with exactly equal usual form) city and whose names are near.
+    """(g, h, same), g < h: listings that share a phone, site, building or city and whose names are near; same: equal in one city.
 
     Names are sharded by what the listings share, each shard's forms (usual order, sorted words, without vowels, initials) go
     into tries and are joined with Levenshtein automata. Phones and sites of more than ``BRAND_CITIES`` cities are
-    divided by city. A shard of more than ``block`` entries (four a name) goes through :func:`trie_join`, which divides it without loss.
+    divided by city. Listings of one city meet where no kind of evidence is on both sides, see :func:`_town_neighbours`. A shard of more than ``block`` entries (four a name) goes through :func:`trie_join`, which divides it without loss.
     """
     forms = cut(spellings(names, initials=False))
     of = {t: attributes.where(F.col("type") == t).select("gid", "value") for t in KINDS}
@@ -170,15 +170,45 @@ def name_neighbours(attributes: DataFrame, names: DataFrame, block: int = BLOCK)
     hot = close.join(left, ["shard", "a"]).join(right, ["shard", "b"]).where(some).select("ga", "gb")
     hot = hot.unionByName(left.join(right.withColumnRenamed("b", "a"), ["shard", "a"]).where("ga < gb").where(some).select("ga", "gb"))
 
-    usual = forms.where("role = 'n' AND length(text) >= 8").join(city, "gid").select("gid", F.xxhash64("city", "text").alias("v")).distinct()
+    usual = forms.where("role = 'n'").join(city, "gid").select("gid", F.xxhash64("city", "text").alias("v")).distinct()
     x, y = usual.alias("x"), usual.alias("y")
     town = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.gid") < F.col("y.gid"))).select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"))
-    rest = hot.unionByName(town).select(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h"))
-    return cut(few.unionByName(rest).where("g <> h").distinct())
+    rest = hot.unionByName(_town_neighbours(attributes, names, forms, city)).select(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h"))
+    alike = town.select(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h"), F.lit(True).alias("same"))
+    found = few.unionByName(rest).withColumn("same", F.lit(False)).unionByName(alike)
+    return cut(found.where("g <> h").groupBy("g", "h").agg(F.max("same").alias("same")))
+
+
+def _town_neighbours(attributes: DataFrame, names: DataFrame, forms: DataFrame, city: DataFrame) -> DataFrame:
+    """(ga, gb): listings of one city with near names of which no phone, site or building is on both sides: only their city can link them.
+
+    One of such two listings has at most one kind of evidence. These ask the names of their city, whatever its size, by segments.
+    """
+    bit = F.expr(f"bit_or(CASE type WHEN {PHONE} THEN 1 WHEN {SITE} THEN 2 WHEN {BUILDING} THEN 4 ELSE 0 END)")
+    towned = cut(attributes.groupBy("gid").agg(bit.alias("mask")).join(city, "gid"))
+    few = "bit_count(mask) <= 1"
+    typed = forms.where("role = 'a'")
+    asking = typed.join(towned.where(few), "gid").select("city").distinct()
+    wanted = towned.where(few).select("gid").unionByName(towned.join(asking, "city", "left_semi").select("gid")).distinct()
+    shorts = spellings(names.join(wanted, "gid", "left_semi"), initials=True)
+    roles = F.when(F.col("role").isin("a", "d"), "~").otherwise(F.col("role"))
+    of_town = forms.where("role IN ('n', 'k', 'a')").unionByName(shorts).where("text <> ''").join(towned, "gid")
+    entries = cut(of_town.select("gid", "mask", "role", "text", F.concat_ws("|", roles, F.col("city").cast("string")).alias("shard")).distinct())
+    asked = entries.where(few)
+    found = triejoin.trie_search(entries.select("shard", "text"), asked.select("shard", "text"))
+    initials = F.split("query", "~")[1] == F.split("text", "~")[1]
+    close = found.where(
+        F.when(F.col("shard").startswith("~"), initials & (F.col("distance") <= 1))
+        .when(F.col("shard").startswith("k"), (F.col("distance") <= 1) | (F.least(F.length("query"), F.length("text")) >= 12))
+        .otherwise(True)
+    )
+    left = asked.select("shard", F.col("text").alias("query"), F.col("gid").alias("ga"), F.col("mask").alias("ma"), F.col("role").alias("ra"))
+    right = entries.select("shard", "text", F.col("gid").alias("gb"), F.col("mask").alias("mb"), F.col("role").alias("rb"))
+    return close.join(left, ["shard", "query"]).join(right, ["shard", "text"]).where("ga <> gb AND ma & mb = 0 AND (ra <> 'd' OR rb <> 'd')").select("ga", "gb").distinct()
 
 
 def judged(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
-    """(g, h, phone, site, building, city): what each pair of listings says of each other: '=' some value shared, '!' both have values and none is shared, '?' one has none."""
+    """Adds to pairs (g, h) phone, site, building and city: what each pair of listings says of each other: '=' some value shared, '!' both have values and none is shared, '?' one has none."""
     left = attributes.select(F.col("gid").alias("g"), "type", F.col("value").alias("v1"), F.col("kind").alias("k1"), F.col("direction").alias("d1"))
     right = attributes.select(F.col("gid").alias("h"), "type", F.col("value").alias("v2"), F.col("kind").alias("k2"), F.col("direction").alias("d2"))
     fits = (F.col("v1") == F.col("v2")) & ((F.col("k1") == "") | (F.col("k2") == "") | (F.col("k1") == F.col("k2"))) & ((F.col("d1") == "") | (F.col("d2") == "") | (F.col("d1") == F.col("d2")))
@@ -225,12 +255,40 @@ def precision(judgements: DataFrame, smoothing: float = 1.0) -> DataFrame:
     return rated.withColumn("confidence", (c("agreeing") + smoothing) / (c("labelled") + 2 * smoothing))
 
 
+def settled(judgements: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Judgements without the rule of city and name where only a near name speaks for it and the businesses of the two listings contradict it.
+
+    Listings are first put together by the other links. Near names then link two such businesses only if these agree in the same rule and
+    the one with fewer kinds of evidence (alike: each) fits no other of its table.
+    """
+    weak = (F.col("rule") == RULES[3]) & ~F.col("same")
+    firm = judgements.where(F.col("rule").isNotNull() & ~weak & (F.col("g") % 2 == 0) & (F.col("h") % 2 == 0))
+    whole = cut(components(firm.select(F.col("g").alias("a"), F.col("h").alias("b"))))
+    of = lambda name: whole.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
+    near = judgements.where(weak & ((F.col("g") % 2 == 0) | (F.col("h") % 2 == 0))).select("g", "h").join(of("g"), "g", "left").join(of("h"), "h", "left")
+    near = cut(near.select("g", "h", F.coalesce("of_g", "g").alias("a"), F.coalesce("of_h", "h").alias("b")))
+    ends = near.select(F.col("a").alias("gid")).unionByName(near.select(F.col("b").alias("gid"))).distinct()
+    members = attributes.join(of("gid"), "gid", "left").withColumn("gid", F.coalesce("of_gid", "gid")).drop("of_gid")
+    members = cut(members.join(ends, "gid", "left_semi").distinct())
+    pairs = near.where("a <> b").select(F.least("a", "b").alias("g"), F.greatest("a", "b").alias("h")).distinct()
+    fitting = cut(ruled(judged(pairs, members)).where(F.col("rule").isNotNull()).select("g", "h"))
+    both = fitting.unionByName(fitting.select(F.col("h").alias("g"), F.col("g").alias("h")))
+    kinds = members.where(F.col("type") != CITY).groupBy("gid").agg(F.count_distinct("type").alias("kinds"))
+    known = both.groupBy(F.col("g").alias("gid"), (F.col("h") % 2 == 0).alias("to")).agg(F.count("*").alias("others")).join(kinds, "gid", "left").na.fill(0, ["kinds"])
+    side = lambda name: known.select(F.col("gid").alias(name), F.when(F.col("to"), 0).otherwise(1).alias(f"to_{name}"), F.col("others").alias(f"others_{name}"), F.col("kinds").alias(f"kinds_{name}"))
+    ended = fitting.withColumn("to_g", F.abs(F.col("h") % 2).cast("int")).withColumn("to_h", F.abs(F.col("g") % 2).cast("int"))
+    alone = ended.join(side("g"), ["g", "to_g"]).join(side("h"), ["h", "to_h"]).where("(kinds_g > kinds_h OR others_g = 1) AND (kinds_h > kinds_g OR others_h = 1)").select(F.col("g").alias("x"), F.col("h").alias("y"))
+    good = near.join(alone, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left").where("a = b OR x IS NOT NULL").select("g", "h", F.lit(True).alias("good"))
+    return judgements.join(good, ["g", "h"], "left").withColumn("rule", F.when(~(weak & F.col("good").isNull()) | F.col("rule").isNull(), F.col("rule"))).drop("good")
+
+
 class Resolution:
     """Listings resolved to businesses; every step is written once and used by the queries of both problems."""
 
     def __init__(self, businesses: DataFrame, places: DataFrame | None = None):
         self.rows, self.attributes, names = evidence(businesses, places)
-        self.judgements = cut(ruled(judged(name_neighbours(self.attributes, names), self.attributes)))
+        judgements = cut(ruled(judged(name_neighbours(self.attributes, names), self.attributes)))
+        self.judgements = cut(settled(judgements, self.attributes))
         own = self.judgements.where("rule IS NOT NULL AND g % 2 = 0 AND h % 2 = 0")
         self.clusters = cut(components(own.select(F.col("g").alias("a"), F.col("h").alias("b"))))
 

@@ -165,6 +165,34 @@ def trie_join(entries: DataFrame, block: int = BLOCK) -> DataFrame:
     return pairs.select("shard", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("p.d").alias("distance"))
 
 
+def trie_search(entries: DataFrame, queries: DataFrame) -> DataFrame:
+    """(shard, query, text, distance): texts of ``entries`` (shard, text) equal or :func:`near` to a text of ``queries`` (shard, text), by segments only."""
+
+    @F.pandas_udf("array<struct<q:string,t:string,d:int>>")
+    def across(indexed: pd.Series, asked: pd.Series) -> pd.Series:
+        out = []
+        for texts, qs in zip(indexed, asked):
+            trie = build_trie(texts)
+            out.append([(q, texts[i], d) for q in qs for i, d in neighbours(trie, q, _bound(len(q))) if q == texts[i] or near(q, texts[i], d)])
+        return pd.Series(out)
+
+    @F.pandas_udf("array<string>")
+    def index_keys(texts: pd.Series) -> pd.Series:
+        return texts.map(_index_keys)
+
+    @F.pandas_udf("array<string>")
+    def query_keys(texts: pd.Series) -> pd.Series:
+        return texts.map(_query_keys)
+
+    asked = queries.distinct()
+    held = entries.join(asked.select("shard").distinct(), "shard", "left_semi").distinct()
+    left = held.select("shard", "text", F.explode(index_keys("text")).alias("segment")).groupBy("shard", "segment").agg(F.collect_list("text").alias("indexed"))
+    right = asked.select("shard", F.col("text").alias("query"), F.explode(query_keys("text")).alias("segment"))
+    batches = right.groupBy("shard", "segment", F.pmod(F.xxhash64("query"), F.lit(16)).alias("part")).agg(F.collect_list("query").alias("asked"))
+    found = left.join(batches, ["shard", "segment"]).select("shard", F.explode(across("indexed", "asked")).alias("p"))
+    return found.select("shard", F.col("p.q").alias("query"), F.col("p.t").alias("text"), F.col("p.d").alias("distance")).distinct()
+
+
 def canonical_spellings(counted: DataFrame) -> DataFrame:
     """``counted``: (shard, text, n) -> (shard, text, canon): each spelling goes to the most frequent spelling near it that is at
     least as frequent as itself (ties: the smaller text), and on from there once more. Longer chains of near spellings do not melt together."""

@@ -184,6 +184,16 @@ def test_businesses_resolved(spark):
     assert all(0 < r.confidence < 1 for r in rows)
 
 
+def test_near_names_of_one_city(spark):
+    b = [(1, "k1", "Threnault & Daughters Bakery", "12 Oak St", "Pineville", "ME", "01201", "(299) 800-4177", "https://tdb.example.com", None), (2, "k2", "Ulo 7", None, "Pineville", "ME", None, "(299) 800-4188", None, None)]
+    p = [(i, None, name, None, None, city, "ME", None, phone, None) for i, name, city, phone in [
+        (100, "Threnualt and Daughters Bakery", "Pineville", None), (101, "Threnualt and Daughters Bakery", "Otterville", None), (102, "Threnualt & Daughters Bakery", "Pineville", "(299) 800-5555"),
+        (103, "T&D Bakery", "Pineville", None), (104, "Ulo 7", "Pineville", None),
+    ]]
+    res = matching.Resolution(spark.createDataFrame(b, B), spark.createDataFrame(p, P))
+    assert {(r.business_id, r.listing_id, r.rule) for r in matching.matched_pairs(res).collect()} == {(1, 100, "city_and_name"), (1, 103, "city_and_name"), (2, 104, "city_and_name")}
+
+
 def test_empty_tables(spark):
     b, p = spark.createDataFrame([], B), spark.createDataFrame([], P)
     assert gazetteer.matching_addresses(b, p).count() == 0
