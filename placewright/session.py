@@ -35,17 +35,23 @@ _WRITTEN: list[str] = []
 
 
 def _folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the cluster's shared one named by ``spark.checkpoint.dir``; only where the session
-    names none (tests, local runs) a temporary folder."""
+    """The folder for intermediate tables: the cluster's shared one named by ``spark.checkpoint.dir``. Only a local session that
+    names none gets a temporary folder; on a cluster a folder of one machine would be lost with it, so that is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not (spark.conf.get("spark.master", "") or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = os.path.join(tempfile.gettempdir(), "placewright-checkpoints")
     return f"{shared.rstrip('/')}/placewright-{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *used: DataFrame) -> DataFrame:
     """Write ``df`` once as a compressed table in the shared folder and read it from there: what follows neither depends on how it
-    was made nor on executors that made it. The folder is removed when the application's driver ends."""
+    was made nor on executors that made it.
+
+    ``used``: earlier results of :func:`cut` that nothing after this one reads; they are deleted. The folder goes when the
+    application's driver ends.
+    """
     spark = df.sparkSession
     folder = _folder(spark)
     if folder not in _WRITTEN:
@@ -53,7 +59,16 @@ def cut(df: DataFrame) -> DataFrame:
         atexit.register(_remove, spark, folder)
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in used:
+        _remove(spark, old.cut_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def once(udf):
+    """A UDF that the optimiser neither repeats nor moves: a filter on its result is else pushed below it, which runs it twice."""
+    return udf.asNondeterministic()
 
 
 def _remove(spark: SparkSession, folder: str) -> None:
