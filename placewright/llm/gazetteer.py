@@ -6,9 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placewright.llm.postal import parse, place_name, state_code, zip5
+from placewright.llm.postal import parse
 from placewright.llm.triejoin import canonical_spellings, trie_join
-from placewright.session import cut
+from placewright.session import cut, once
 
 _ADDRESS = "struct<number:string,street:string,kind:string,direction:string,unit:string,city:string,state:string,zip:string>"
 #: Gazetteer entries kept for an address while it is resolved.
@@ -24,7 +24,7 @@ def parsed(df: DataFrame, id_col: str, address: Column, city: str = "city", stat
         return pd.DataFrame(rows, columns=["number", "street", "kind", "direction", "unit", "city", "state", "zip"])
 
     src = df.where(F.col(id_col).isNotNull() & address.isNotNull())
-    return src.select(F.col(id_col).alias("id"), split(address, F.col(city), F.col(state), F.col(code)).alias("a")).select("id", "a.*").where("street IS NOT NULL")
+    return src.select(F.col(id_col).alias("id"), once(split)(address, F.col(city), F.col(state), F.col(code)).alias("a")).select("id", "a.*").where("street IS NOT NULL")
 
 
 def zip_cities(addresses: DataFrame) -> DataFrame:
@@ -148,5 +148,3 @@ def matching_addresses(businesses: DataFrame, places: DataFrame) -> DataFrame:
     b, p = address_frames(businesses, places)
     return same_building(b, p).select(F.col("left_id").alias("business_id"), F.col("right_id").alias("listing_id"))
 
-
-__all__ = ["parsed", "resolve", "same_building", "address_frames", "matching_addresses", "place_name", "state_code", "zip5"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from placewright.llm.postal import place_name, zip5
 from placewright.llm import triejoin
 from placewright.llm.components import components
 from placewright.llm.gazetteer import parsed, resolve, zip_cities
-from placewright.session import cut
+from placewright.session import cut, once
 
 #: A phone or site seen in more cities than this is a brand's: it links records of one city only.
 BRAND_CITIES = 3
@@ -40,7 +42,7 @@ def spellings(names: DataFrame, initials: bool) -> DataFrame:
     def forms(name: pd.Series) -> pd.Series:
         return pd.Series([[f for f in business_forms(n, initials) if (f[0] == "d") == initials] for n in name])
 
-    return names.select("gid", F.explode(forms("name")).alias("f")).select("gid", F.substring("f", 1, 1).alias("role"), F.substring("f", 2, 1000).alias("text"))
+    return names.select("gid", F.explode(once(forms)("name")).alias("f")).select("gid", F.substring("f", 1, 1).alias("role"), F.expr("substring(f, 2)").alias("text"))
 
 
 def evidence(businesses: DataFrame, places: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -127,12 +129,12 @@ def _close(roles: str, a: str, b: str, d: int) -> bool:
     return triejoin.near(a, b, d) and (roles == "n" or d <= 1 or min(len(a), len(b)) >= 12)
 
 
-def name_neighbours(attributes: DataFrame, names: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(g, h, same), g < h: listings that share a phone, site, building or city and whose names are near; same: equal in one city.
+def name_neighbours(attributes: DataFrame, names: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """((g, h), forms): pairs g < h of listings that share a phone, site or building and whose names are near; the forms of all names.
 
     Names are sharded by what the listings share, each shard's forms (usual order, sorted words, without vowels, initials) go
     into tries and are joined with Levenshtein automata. Phones and sites of more than ``BRAND_CITIES`` cities are
-    divided by city. Listings of one city meet where no kind of evidence is on both sides, see :func:`_town_neighbours`. A shard of more than ``block`` entries (four a name) goes through :func:`trie_join`, which divides it without loss.
+    divided by city (no rule links listings of two cities by them). A shard of more than ``block`` entries (four a name) goes through :func:`trie_join`, which divides it without loss.
     """
     forms = cut(spellings(names, initials=False))
     of = {t: attributes.where(F.col("type") == t).select("gid", "value") for t in KINDS}
@@ -158,7 +160,7 @@ def name_neighbours(attributes: DataFrame, names: DataFrame, block: int = BLOCK)
         return pd.Series([_pairs_of_shard(es) for es in groups])
 
     entry = F.struct("gid", "role", "text")
-    few = entries.where(F.col("n") <= block).groupBy("shard").agg(F.collect_list(entry).alias("es")).select(F.explode(near("es")).alias("p")).select("p.g", "p.h")
+    few = triejoin._spread(entries.where(F.col("n") <= block), "shard").groupBy("shard").agg(F.collect_list(entry).alias("es")).select(F.explode(once(near)("es")).alias("p")).select("p.g", "p.h")
 
     many = cut(entries.where(F.col("n") > block).select("gid", "role", "text", F.concat(F.when(F.col("role").isin("a", "d"), "~").otherwise(F.col("role")), F.lit("|"), F.col("shard").cast("string")).alias("shard")))
     pairs = triejoin.trie_join(many.select("shard", "text"))
@@ -170,41 +172,48 @@ def name_neighbours(attributes: DataFrame, names: DataFrame, block: int = BLOCK)
     hot = close.join(left, ["shard", "a"]).join(right, ["shard", "b"]).where(some).select("ga", "gb")
     hot = hot.unionByName(left.join(right.withColumnRenamed("b", "a"), ["shard", "a"]).where("ga < gb").where(some).select("ga", "gb"))
 
-    usual = forms.where("role = 'n'").join(city, "gid").select("gid", F.xxhash64("city", "text").alias("v")).distinct()
-    x, y = usual.alias("x"), usual.alias("y")
-    town = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.gid") < F.col("y.gid"))).select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"))
-    rest = hot.unionByName(_town_neighbours(attributes, names, forms, city)).select(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h"))
-    alike = town.select(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h"), F.lit(True).alias("same"))
-    found = few.unionByName(rest).withColumn("same", F.lit(False)).unionByName(alike)
-    return cut(found.where("g <> h").groupBy("g", "h").agg(F.max("same").alias("same")))
+    found = few.unionByName(hot.select(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h")))
+    return cut(found.where("g <> h").distinct(), shared, short, many), forms
 
 
-def _town_neighbours(attributes: DataFrame, names: DataFrame, forms: DataFrame, city: DataFrame) -> DataFrame:
-    """(ga, gb): listings of one city with near names of which no phone, site or building is on both sides: only their city can link them.
+def town_neighbours(attributes: DataFrame, names: DataFrame, forms: DataFrame) -> DataFrame:
+    """(g, h, same), g < h: listings of one city with near names of which no phone, site or building is on both sides: only their city
+    can link them; same: a spelling is equal.
 
-    One of such two listings has at most one kind of evidence. These ask the names of their city, whatever its size, by segments.
+    One of such two listings has at most one kind of evidence. These ask the names of their city, whatever its size, by segments;
+    that a stronger rule has linked one of them does not stop it, for that link may lead to a copy with as little evidence.
     """
+    city = attributes.where(F.col("type") == CITY).select("gid", F.col("value").alias("city")).distinct()
     bit = F.expr(f"bit_or(CASE type WHEN {PHONE} THEN 1 WHEN {SITE} THEN 2 WHEN {BUILDING} THEN 4 ELSE 0 END)")
     towned = cut(attributes.groupBy("gid").agg(bit.alias("mask")).join(city, "gid"))
     few = "bit_count(mask) <= 1"
-    typed = forms.where("role = 'a'")
-    asking = typed.join(towned.where(few), "gid").select("city").distinct()
-    wanted = towned.where(few).select("gid").unionByName(towned.join(asking, "city", "left_semi").select("gid")).distinct()
+    # full names are shortened to initials only where either side is typed with initials
+    typed = forms.where("role = 'a'").join(towned, "gid")
+    asking = typed.where(few).select("city").distinct()
+    met = typed.select("city").distinct()
+    wanted = towned.join(asking, "city", "left_semi").select("gid").unionByName(towned.where(few).join(met, "city", "left_semi").select("gid")).distinct()
     shorts = spellings(names.join(wanted, "gid", "left_semi"), initials=True)
     roles = F.when(F.col("role").isin("a", "d"), "~").otherwise(F.col("role"))
     of_town = forms.where("role IN ('n', 'k', 'a')").unionByName(shorts).where("text <> ''").join(towned, "gid")
-    entries = cut(of_town.select("gid", "mask", "role", "text", F.concat_ws("|", roles, F.col("city").cast("string")).alias("shard")).distinct())
+    entries = cut(of_town.select("gid", "mask", "role", "text", F.concat_ws("|", roles, F.col("city").cast("string")).alias("shard")).distinct(), towned)
     asked = entries.where(few)
-    found = triejoin.trie_search(entries.select("shard", "text"), asked.select("shard", "text"))
+    # shortened names meet typed initials only
+    pools = [("role IN ('n', 'k')", "role IN ('n', 'k')"), ("role IN ('a', 'd')", "role = 'a'"), ("role = 'a'", "role = 'd'")]
+    found = None
+    for mine, others in pools:
+        part = triejoin.trie_search(entries.where(others).select("shard", "text"), asked.where(mine).select("shard", "text"))
+        found = part if found is None else found.unionByName(part)
     initials = F.split("query", "~")[1] == F.split("text", "~")[1]
     close = found.where(
         F.when(F.col("shard").startswith("~"), initials & (F.col("distance") <= 1))
         .when(F.col("shard").startswith("k"), (F.col("distance") <= 1) | (F.least(F.length("query"), F.length("text")) >= 12))
         .otherwise(True)
-    )
+    ).distinct()
     left = asked.select("shard", F.col("text").alias("query"), F.col("gid").alias("ga"), F.col("mask").alias("ma"), F.col("role").alias("ra"))
     right = entries.select("shard", "text", F.col("gid").alias("gb"), F.col("mask").alias("mb"), F.col("role").alias("rb"))
-    return close.join(left, ["shard", "query"]).join(right, ["shard", "text"]).where("ga <> gb AND ma & mb = 0 AND (ra <> 'd' OR rb <> 'd')").select("ga", "gb").distinct()
+    same = (F.col("distance") == 0) & F.col("shard").startswith("n")
+    pairs = close.join(left, ["shard", "query"]).join(right, ["shard", "text"]).where("ga <> gb AND ma & mb = 0 AND (ra <> 'd' OR rb <> 'd')")
+    return pairs.select(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h"), same.alias("same"))
 
 
 def judged(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
@@ -287,7 +296,10 @@ class Resolution:
 
     def __init__(self, businesses: DataFrame, places: DataFrame | None = None):
         self.rows, self.attributes, names = evidence(businesses, places)
-        judgements = cut(ruled(judged(name_neighbours(self.attributes, names), self.attributes)))
+        pairs, forms = name_neighbours(self.attributes, names)
+        strong = cut(ruled(judged(pairs, self.attributes)).withColumn("same", F.lit(False)), pairs)
+        town = cut(town_neighbours(self.attributes, names, forms).groupBy("g", "h").agg(F.max("same").alias("same")), forms)
+        judgements = cut(strong.unionByName(ruled(judged(town, self.attributes)).join(strong.select("g", "h"), ["g", "h"], "left_anti")))
         self.judgements = cut(settled(judgements, self.attributes))
         own = self.judgements.where("rule IS NOT NULL AND g % 2 = 0 AND h % 2 = 0")
         self.clusters = cut(components(own.select(F.col("g").alias("a"), F.col("h").alias("b"))))
@@ -301,20 +313,22 @@ class Resolution:
         """(gid, business, rule, confidence): the cascade: each rule links listings of places that no stronger rule has resolved."""
         mixed = self.judgements.where("rule IS NOT NULL AND (g % 2 = 0) <> (h % 2 = 0)")
         edges = mixed.select(F.when(F.col("g") % 2 == 0, F.col("g")).otherwise(F.col("h")).alias("gid"), F.when(F.col("g") % 2 == 0, F.col("h")).otherwise(F.col("g")).alias("place"), "rule")
-        known = edges.join(self.business_of(), "gid").select(F.col("place").alias("gid"), "business", "rule").distinct()
-        resolved = None
+        pool = cut(edges.join(self.business_of(), "gid").select(F.col("place").alias("gid"), "business", "rule").distinct())
+        passes = []
         for rule in RULES:
-            now = known.where(F.col("rule") == rule)
-            if resolved is not None:
-                now = now.join(resolved.select("gid").distinct(), "gid", "left_anti")
-            resolved = now if resolved is None else resolved.unionByName(now)
-        return resolved.join(precision(self.judgements).select("rule", "confidence"), "rule", "left").select("gid", "business", "rule", "confidence")
+            passes.append(cut(pool.where(F.col("rule") == rule)))
+            pool = pool.join(passes[-1].select("gid").distinct(), "gid", "left_anti")
+        resolved = reduce(DataFrame.unionByName, passes)
+        rated = F.broadcast(cut(precision(self.judgements).select("rule", "confidence")))  # a row for each rule
+        return resolved.join(rated, "rule", "left").select("gid", "business", "rule", "confidence")
 
 
 def matched_pairs(res: Resolution) -> DataFrame:
     """(business_id, listing_id, rule, confidence): all rows of a business with all rows of the places listings linked to it."""
-    b = res.rows.where("side = 'b'").join(res.business_of(), "gid").select(F.col("id").alias("business_id"), "business")
-    p = res.rows.where("side = 'p'").join(res.place_links(), "gid").select(F.col("id").alias("listing_id"), "business", "rule", "confidence")
+    links = cut(res.place_links())
+    linked = links.select("business").distinct()
+    b = res.rows.where("side = 'b'").join(res.business_of().join(linked, "business", "left_semi"), "gid").select(F.col("id").alias("business_id"), "business")
+    p = res.rows.where("side = 'p'").join(links, "gid").select(F.col("id").alias("listing_id"), "business", "rule", "confidence")
     return b.join(p, "business").select("business_id", "listing_id", "rule", "confidence")
 
 

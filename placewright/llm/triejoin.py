@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +14,9 @@ from placewright.session import cut
 
 #: Texts of a shard joined in one task; larger shards are cut by segments of their texts, which loses no pair.
 BLOCK = 1000
-#: Greatest distance the automata are built for.
+#: Texts of one segment that meet in one task; a segment with more is divided on both sides.
+HOT = 20_000
+#: Levenshtein distance of near texts, at most.
 MOST = 3
 
 
@@ -25,21 +31,27 @@ def build_trie(texts: list[str]) -> dict:
     return root
 
 
-def neighbours(trie: dict, word: str, k: int) -> list[tuple[int, int]]:
-    """(position, distance) of every text of the trie within Levenshtein distance ``k`` of ``word``.
-
-    The automaton's state is one bit mask for each number of errors: bit i says that i characters of the word are read. It
-    runs down all branches at once and leaves a branch when no state is alive.
-    """
-    m = len(word)
+def _marks(word: str) -> dict[str, int]:
     marks: dict[str, int] = {}
     for i, ch in enumerate(word):
         marks[ch] = marks.get(ch, 0) | 1 << i
+    return marks
+
+
+def neighbours(trie: dict, word: str, k: int) -> list[tuple[int, int]]:
+    """(position, distance) of every text of the trie within ``k`` edits of ``word``; swapping two neighbouring letters is one edit.
+
+    The automaton's state is a bit mask for each number of errors: bit i says that i characters of the word are read. A second
+    mask for each number of errors holds the swaps begun: bit i says that character i + 1 came in place of character i. It runs
+    down all branches at once and leaves a branch when no state is alive.
+    """
+    m, marks = len(word), _marks(word)
     end, full = 1 << m, (1 << (m + 1)) - 1
     out: list[tuple[int, int]] = []
-    stack = [(trie, tuple((1 << (d + 1)) - 1 for d in range(k + 1)))]
+    levels = range(1, k + 1)
+    stack = [(trie, [(1 << (d + 1)) - 1 for d in range(k + 1)], [0] * (k + 1))]
     while stack:
-        node, state = stack.pop()
+        node, state, begun = stack.pop()
         for ch, child in node.items():
             if ch == "":
                 for d in range(k + 1):
@@ -48,23 +60,28 @@ def neighbours(trie: dict, word: str, k: int) -> list[tuple[int, int]]:
                         break
                 continue
             mark = marks.get(ch, 0)
-            new = (state[0] & mark) << 1
-            row = [new]
-            for d in range(1, k + 1):
-                new = ((state[d] & mark) << 1 | state[d - 1] | state[d - 1] << 1 | new << 1) & full
+            below = state[0]
+            new = (below & mark) << 1
+            row, swap = [new], [0]
+            ahead = mark >> 1
+            for d in levels:
+                here = state[d]
+                new = ((here & mark) << 1 | below | (below | new) << 1 | (begun[d] & mark) << 2) & full
                 row.append(new)
+                swap.append(below & ahead)
+                below = here
             if row[-1]:
-                stack.append((child, tuple(row)))
+                stack.append((child, row, swap))
     return out
 
 
-def reach(text: str) -> int:
-    return _bound(len(text))
+def _bound(n: int) -> int:
+    """Edits at which a text of length n can be near another."""
+    return 0 if n <= 2 else 1 if n <= 7 else 2 if n <= 17 else 3
 
 
-def _bound(n: int) -> int:
-    """Levenshtein errors looked for: a swap of neighbouring letters takes two."""
-    return 0 if n <= 2 else 2 if n <= 7 else MOST
+def reach(text: str) -> int:
+    return _bound(len(text))
 
 
 def swaps(a: str, b: str) -> int:
@@ -81,26 +98,64 @@ def swaps(a: str, b: str) -> int:
     return row[-1]
 
 
+def _levenshtein(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def near(a: str, b: str, d: int) -> bool:
-    """Texts at Levenshtein distance ``d`` are near within one edit up to seven characters (none up to two), two up to seventeen, three beyond; a swap is one edit."""
-    limit = min(0 if n <= 2 else 1 if n <= 7 else 2 if n <= 17 else 3 for n in (len(a), len(b)))
-    return d <= limit or (d == limit + 1 and swaps(a, b) <= limit)
+    """Texts ``d`` edits apart (see :func:`neighbours`) are near within one edit up to seven characters (none up to two), two up to
+    seventeen, three beyond; the shorter text counts. Swaps taken as two edits, their distance is three at most."""
+    return d <= min(_bound(len(a)), _bound(len(b))) and (d < 2 or _levenshtein(a, b) <= MOST)
 
 
 _PAIRS = "array<struct<a:string,b:string,d:int>>"
 
 
-def _join_lists(indexed: list[str], queries: list[str]) -> list[tuple[str, str, int]]:
-    trie, out = build_trie(indexed), []
-    for q in queries:
-        k = _bound(len(q))
-        for i, d in neighbours(trie, q, k):
-            t = indexed[i]
+def _join_lists(texts: list[str]) -> list[tuple[str, str, int]]:
+    trie, out = build_trie(texts), []
+    for q in texts:
+        for i, d in neighbours(trie, q, _bound(len(q))):
+            t = texts[i]
             if q < t and near(q, t, d):
                 out.append((q, t, d))
     return out
 
 
+@lru_cache(100_000)
+def _letters(t: str) -> int:
+    """Bits of the letters that occur at least once and at least twice. An edit changes at most two bits."""
+    once_, twice = 0, 0
+    for ch in t:
+        bit = 1 << (ord(ch) & 31)
+        twice |= once_ & bit
+        once_ |= bit
+    return once_ | twice << 32
+
+
+def _meet(texts: list[str], queries: list[str]) -> list[tuple[str, str, int]]:
+    """(query, text, distance) of near, differing texts of one segment; texts whose letters differ too much don't enter a query's trie."""
+    out = []
+    few = len(texts) <= 12
+    held = [(t, len(t), _letters(t)) for t in texts]
+    if not few:
+        masks, sizes = np.array([x[2] for x in held], dtype=np.uint64), np.array([x[1] for x in held])
+    for q in queries:
+        n, mask, k = len(q), _letters(q), _bound(len(q))
+        if few:
+            some = [t for t, m, letters in held if -k <= m - n <= k and (mask ^ letters).bit_count() <= 2 * k and t != q]
+        else:
+            at = np.flatnonzero((np.abs(sizes - n) <= k) & (np.bitwise_count(masks ^ np.uint64(mask)) <= 2 * k))
+            some = [texts[i] for i in at.tolist() if texts[i] != q]
+        if some:
+            out += [(q, some[i], d) for i, d in neighbours(build_trie(some), q, k) if near(q, some[i], d)]
+    return out
+
+
 def _segments(n: int) -> list[tuple[int, int]]:
     """(start, length) of the MOST + 1 segments of a text of length n."""
     parts, base, extra = [], n // (MOST + 1), n % (MOST + 1)
@@ -112,17 +167,78 @@ def _segments(n: int) -> list[tuple[int, int]]:
     return parts
 
 
-def _index_keys(t: str) -> list[str]:
-    return [f"{len(t)}|{i}|{t[s : s + n]}" for i, (s, n) in enumerate(_segments(len(t)))]
+def _key(shard: str, n: int, i: int, piece: str) -> int:
+    return xxhash.xxh64_intdigest(f"{n}|{i}|{piece}|{shard}") - (1 << 63)
+
+
+def _index_keys(shard: str, t: str) -> list[int]:
+    return [_key(shard, len(t), i, t[s : s + n]) for i, (s, n) in enumerate(_segments(len(t)))]
 
 
-def _query_keys(t: str) -> list[str]:
-    keys: set[str] = set()
-    for n in range(max(0, len(t) - MOST), len(t) + MOST + 1):
+def _query_keys(shard: str, t: str, longer: bool) -> list[int]:
+    """Keys under which texts within distance MOST lie, of no greater length or (``longer``) of any.
+
+    Of segment i only places are looked up at which the text left of it can have at most i errors and the text right of it at
+    most MOST - i: with more errors on one side, a segment of the other side is free of errors.
+    """
+    keys: set[int] = set()
+    for n in range(max(1, len(t) - MOST), len(t) + 1 + (MOST if longer else 0)):
+        more = len(t) - n
         for i, (s, size) in enumerate(_segments(n)):
-            for p in range(max(0, s - MOST), min(len(t) - size, s + MOST) + 1):
-                keys.add(f"{n}|{i}|{t[p : p + size]}")
-    return sorted(keys)
+            left = max(0, s - i, s + more - (MOST - i))
+            for p in range(left, min(len(t) - size, s + i, s + more + (MOST - i)) + 1):
+                keys.add(_key(shard, n, i, t[p : p + size]))
+    return list(keys)
+
+
+def _spread(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` over as many tasks as the session shuffles to: adaptive execution merges small partitions by bytes, not by work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
+def _segment_join(held: DataFrame, asked: DataFrame, longer: bool) -> DataFrame:
+    """(shard, q, t, d): differing texts of ``held`` (shard, text, texts of the shard) near to a text of ``asked`` (the same columns), both distinct.
+
+    Two texts within Levenshtein distance 3 agree in one of four segments. Each segment is a trie of its own, of at most ``HOT``
+    texts on either side: segments of more (only shards of more can have such) are divided on both sides and every part meets every part.
+    """
+
+    @F.pandas_udf("array<bigint>")
+    def index_keys(shards: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([_index_keys(s, t) for s, t in zip(shards, texts)])
+
+    @F.pandas_udf("array<bigint>")
+    def query_keys(shards: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([_query_keys(s, t, longer) for s, t in zip(shards, texts)])
+
+    @F.pandas_udf("array<struct<q:string,t:string,d:int>>")
+    def meet(texts: pd.Series, queries: pd.Series) -> pd.Series:
+        return pd.Series([_meet(list(a), list(b)) for a, b in zip(texts, queries)])
+
+    left = held.select("shard", "texts", "text", F.explode(index_keys("shard", "text")).alias("key"))
+    right = asked.select("shard", "texts", "text", F.explode(query_keys("shard", "text")).alias("key"))
+
+    def parts(df: DataFrame) -> DataFrame:
+        hot = df.where(F.col("texts") > HOT).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+        return cut(hot.select("key", F.ceil(F.col("n") / HOT).alias("parts")))
+
+    def sides(df: DataFrame, mine: DataFrame, others: DataFrame, own: str, other: str) -> DataFrame:
+        one = F.lit(1).cast("bigint")
+        df = df.join(mine.withColumnRenamed("parts", "own"), "key", "left").join(others.withColumnRenamed("parts", "other"), "key", "left")
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("other", one) - 1))
+        return df.select("shard", "text", "key", F.pmod(F.xxhash64("text"), F.coalesce("own", one)).alias(own), every.alias(other))
+
+    big = held.where(F.col("texts") > HOT).select("shard").limit(1).count() > 0  # a yes or no
+    if big:
+        hl, hr = parts(left), parts(right)
+        left, right, by = sides(left, hl, hr, "x", "y"), sides(right, hr, hl, "y", "x"), ["key", "x", "y"]
+    else:
+        by = ["key"]
+    # a key holds its shard, so the first is every one's
+    left = left.groupBy(*by).agg(F.first("shard").alias("shard"), F.collect_list("text").alias("ts"))
+    right = right.groupBy(*by).agg(F.collect_list("text").alias("qs"))
+    found = left.join(right, by).select("shard", F.explode(meet("ts", "qs")).alias("p"))
+    return found.select("shard", "p.q", "p.t", "p.d").distinct()
 
 
 def trie_join(entries: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -132,65 +248,31 @@ def trie_join(entries: DataFrame, block: int = BLOCK) -> DataFrame:
     texts is one trie. Texts of larger shards go by the segments in which two texts within Levenshtein distance 3 must agree (four
     segments, so one is free of errors), and each segment gets a trie of its own: no task holds a hot shard and no pair is lost.
     """
-    once = entries.where("shard IS NOT NULL AND text IS NOT NULL AND text <> ''").select("shard", "text").distinct()
-    once = cut(once)
-    sizes = once.groupBy("shard").agg(F.count("*").alias("texts")).where("texts > 1")
+    texts = cut(entries.where("shard IS NOT NULL AND text IS NOT NULL AND text <> ''").select("shard", "text").distinct())
+    sizes = texts.groupBy("shard").agg(F.count("*").alias("texts")).where("texts > 1")
 
     @F.pandas_udf(_PAIRS)
-    def within(texts: pd.Series) -> pd.Series:
-        return pd.Series([_join_lists(sorted(ts), sorted(ts)) for ts in texts])
+    def within(lists: pd.Series) -> pd.Series:
+        return pd.Series([_join_lists(sorted(ts)) for ts in lists])
 
-    @F.pandas_udf(_PAIRS)
-    def across(indexed: pd.Series, queries: pd.Series) -> pd.Series:
-        return pd.Series([_join_lists(sorted(a), sorted(b)) for a, b in zip(indexed, queries)])
-
-    @F.pandas_udf("array<string>")
-    def index_keys(texts: pd.Series) -> pd.Series:
-        return texts.map(_index_keys)
-
-    @F.pandas_udf("array<string>")
-    def query_keys(texts: pd.Series) -> pd.Series:
-        return texts.map(_query_keys)
-
-    sized = once.join(sizes, "shard")
-    small = sized.where(F.col("texts") <= block).groupBy("shard").agg(F.collect_list("text").alias("ts")).select("shard", F.explode(within("ts")).alias("p"))
-    large = sized.where(F.col("texts") > block)
-    left = large.select("shard", "text", F.explode(index_keys("text")).alias("segment"))
-    right = large.select("shard", F.col("text").alias("query"), F.explode(query_keys("text")).alias("segment"))
-    held = left.groupBy("shard", "segment").agg(F.collect_list("text").alias("indexed"))
-    # a query batch of bounded size meets the texts of its segment
-    asked = right.join(held.select("shard", "segment"), ["shard", "segment"], "left_semi").groupBy("shard", "segment", F.pmod(F.xxhash64("query"), F.lit(16)).alias("part")).agg(F.collect_list("query").alias("queries"))
-    big = held.join(asked, ["shard", "segment"]).select("shard", F.explode(across("indexed", "queries")).alias("p"))
-    pairs = small.unionByName(big.distinct())
-    return pairs.select("shard", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("p.d").alias("distance"))
+    sized = texts.join(sizes, "shard")
+    small = _spread(sized.where(F.col("texts") <= block), "shard").groupBy("shard").agg(F.collect_list("text").alias("ts")).select("shard", F.explode(within("ts")).alias("p")).select("shard", "p.a", "p.b", F.col("p.d").alias("distance"))
+    if not sizes.where(F.col("texts") > block).limit(1).count():  # a yes or no
+        return small
+    large = cut(sized.where(F.col("texts") > block))
+    found = _segment_join(large, large, longer=False)
+    return small.unionByName(found.select("shard", F.least("q", "t").alias("a"), F.greatest("q", "t").alias("b"), F.col("d").alias("distance")).distinct())
 
 
 def trie_search(entries: DataFrame, queries: DataFrame) -> DataFrame:
     """(shard, query, text, distance): texts of ``entries`` (shard, text) equal or :func:`near` to a text of ``queries`` (shard, text), by segments only."""
-
-    @F.pandas_udf("array<struct<q:string,t:string,d:int>>")
-    def across(indexed: pd.Series, asked: pd.Series) -> pd.Series:
-        out = []
-        for texts, qs in zip(indexed, asked):
-            trie = build_trie(texts)
-            out.append([(q, texts[i], d) for q in qs for i, d in neighbours(trie, q, _bound(len(q))) if q == texts[i] or near(q, texts[i], d)])
-        return pd.Series(out)
-
-    @F.pandas_udf("array<string>")
-    def index_keys(texts: pd.Series) -> pd.Series:
-        return texts.map(_index_keys)
-
-    @F.pandas_udf("array<string>")
-    def query_keys(texts: pd.Series) -> pd.Series:
-        return texts.map(_query_keys)
-
-    asked = queries.distinct()
-    held = entries.join(asked.select("shard").distinct(), "shard", "left_semi").distinct()
-    left = held.select("shard", "text", F.explode(index_keys("text")).alias("segment")).groupBy("shard", "segment").agg(F.collect_list("text").alias("indexed"))
-    right = asked.select("shard", F.col("text").alias("query"), F.explode(query_keys("text")).alias("segment"))
-    batches = right.groupBy("shard", "segment", F.pmod(F.xxhash64("query"), F.lit(16)).alias("part")).agg(F.collect_list("query").alias("asked"))
-    found = left.join(batches, ["shard", "segment"]).select("shard", F.explode(across("indexed", "asked")).alias("p"))
-    return found.select("shard", F.col("p.q").alias("query"), F.col("p.t").alias("text"), F.col("p.d").alias("distance")).distinct()
+    asked = cut(queries.where("text <> ''").distinct())
+    held = entries.where("text <> ''").join(asked.select("shard").distinct(), "shard", "left_semi").distinct()
+    sizes = held.groupBy("shard").agg(F.count("*").alias("texts"))
+    held = cut(held.join(sizes, "shard"))
+    same = held.join(asked, ["shard", "text"]).select("shard", F.col("text").alias("query"), "text", F.lit(0).alias("distance"))
+    counted = asked.withColumn("texts", F.lit(HOT + 1))
+    return same.unionByName(_segment_join(held, counted, longer=True).select("shard", F.col("q").alias("query"), F.col("t").alias("text"), F.col("d").alias("distance")))
 
 
 def canonical_spellings(counted: DataFrame) -> DataFrame:
@@ -203,6 +285,6 @@ def canonical_spellings(counted: DataFrame) -> DataFrame:
     rated = both.join(n.select("shard", F.col("text").alias("other"), F.col("n").alias("of_other")), ["shard", "other"])
     best = rated.groupBy("shard", "text").agg(F.min(F.struct((-F.col("of_other")).alias("neg"), "other")).alias("m"))
     more = (-F.col("m.neg") > F.col("n")) | ((-F.col("m.neg") == F.col("n")) & (F.col("m.other") < F.col("text")))
-    once = n.join(best, ["shard", "text"], "left").select("shard", "text", F.when(more, F.col("m.other")).otherwise(F.col("text")).alias("first"))
-    again = once.select("shard", F.col("text").alias("first"), F.col("first").alias("canon"))
-    return once.join(again, ["shard", "first"]).select("shard", "text", "canon")
+    once_ = n.join(best, ["shard", "text"], "left").select("shard", "text", F.when(more, F.col("m.other")).otherwise(F.col("text")).alias("first"))
+    again = once_.select("shard", F.col("text").alias("first"), F.col("first").alias("canon"))
+    return once_.join(again, ["shard", "first"]).select("shard", "text", "canon")
