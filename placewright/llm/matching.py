@@ -126,11 +126,11 @@ def _pairs_of_shard(entries) -> list[tuple[int, int]]:
 def _close(roles: str, a: str, b: str, d: int) -> bool:
     if roles == "ad":
         return d <= 1 and a.split("~")[1] == b.split("~")[1]
-    return triejoin.near(a, b, d) and (roles == "n" or d <= 1 or min(len(a), len(b)) >= 12)
+    return triejoin.reached(a, b, d) and (roles == "n" or d <= 1 or min(len(a), len(b)) >= 12)
 
 
-def name_neighbours(attributes: DataFrame, names: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """((g, h), forms): pairs g < h of listings that share a phone, site or building and whose names are near; the forms of all names.
+def name_neighbours(attributes: DataFrame, names: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(g, h, same), g < h: listings that share a phone, site, building or city and whose names are near; same: equal in one city.
 
     Names are sharded by what the listings share, each shard's forms (usual order, sorted words, without vowels, initials) go
     into tries and are joined with Levenshtein automata. Phones and sites of more than ``BRAND_CITIES`` cities are
@@ -173,7 +173,9 @@ def name_neighbours(attributes: DataFrame, names: DataFrame, block: int = BLOCK)
     hot = hot.unionByName(left.join(right.withColumnRenamed("b", "a"), ["shard", "a"]).where("ga < gb").where(some).select("ga", "gb"))
 
     found = few.unionByName(hot.select(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h")))
-    return cut(found.where("g <> h").distinct(), shared, short, many), forms
+    town = town_neighbours(attributes, names, forms)
+    found = found.withColumn("same", F.lit(False)).unionByName(town)
+    return cut(found.where("g <> h").groupBy("g", "h").agg(F.max("same").alias("same")), shared, short, many, forms)
 
 
 def town_neighbours(attributes: DataFrame, names: DataFrame, forms: DataFrame) -> DataFrame:
@@ -296,10 +298,8 @@ class Resolution:
 
     def __init__(self, businesses: DataFrame, places: DataFrame | None = None):
         self.rows, self.attributes, names = evidence(businesses, places)
-        pairs, forms = name_neighbours(self.attributes, names)
-        strong = cut(ruled(judged(pairs, self.attributes)).withColumn("same", F.lit(False)), pairs)
-        town = cut(town_neighbours(self.attributes, names, forms).groupBy("g", "h").agg(F.max("same").alias("same")), forms)
-        judgements = cut(strong.unionByName(ruled(judged(town, self.attributes)).join(strong.select("g", "h"), ["g", "h"], "left_anti")))
+        pairs = name_neighbours(self.attributes, names)
+        judgements = cut(ruled(judged(pairs, self.attributes)), pairs)
         self.judgements = cut(settled(judgements, self.attributes))
         own = self.judgements.where("rule IS NOT NULL AND g % 2 = 0 AND h % 2 = 0")
         self.clusters = cut(components(own.select(F.col("g").alias("a"), F.col("h").alias("b"))))

@@ -108,8 +108,13 @@ def _levenshtein(a: str, b: str) -> int:
 
 
 def near(a: str, b: str, d: int) -> bool:
-    """Texts ``d`` edits apart (see :func:`neighbours`) are near within one edit up to seven characters (none up to two), two up to
-    seventeen, three beyond; the shorter text counts. Swaps taken as two edits, their distance is three at most."""
+    """Texts at Levenshtein distance ``d`` are near within one edit up to seven characters (none up to two), two up to seventeen, three beyond; a swap is one edit."""
+    limit = min(_bound(len(a)), _bound(len(b)))
+    return d <= limit or (d == limit + 1 and swaps(a, b) <= limit)
+
+
+def reached(a: str, b: str, d: int) -> bool:
+    """Whether texts that the automaton found ``d`` edits apart, swaps being one, are :func:`near` and within Levenshtein distance MOST."""
     return d <= min(_bound(len(a)), _bound(len(b))) and (d < 2 or _levenshtein(a, b) <= MOST)
 
 
@@ -121,7 +126,7 @@ def _join_lists(texts: list[str]) -> list[tuple[str, str, int]]:
     for q in texts:
         for i, d in neighbours(trie, q, _bound(len(q))):
             t = texts[i]
-            if q < t and near(q, t, d):
+            if q < t and reached(q, t, d):
                 out.append((q, t, d))
     return out
 
@@ -152,7 +157,7 @@ def _meet(texts: list[str], queries: list[str]) -> list[tuple[str, str, int]]:
             at = np.flatnonzero((np.abs(sizes - n) <= k) & (np.bitwise_count(masks ^ np.uint64(mask)) <= 2 * k))
             some = [texts[i] for i in at.tolist() if texts[i] != q]
         if some:
-            out += [(q, some[i], d) for i, d in neighbours(build_trie(some), q, k) if near(q, some[i], d)]
+            out += [(q, some[i], d) for i, d in neighbours(build_trie(some), q, k) if reached(q, some[i], d)]
     return out
 
 
