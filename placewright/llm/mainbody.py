@@ -9,17 +9,20 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from difflib import SequenceMatcher
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewright.llm.blocks import BLOCK, blocks
+from placewright.session import cut, once
 
-#: Pages of a host that are ordered by URL in one task; larger hosts are divided by directory, larger directories by hash.
-CHUNK = 5000
+#: Paths on either side among which a page's neighbour is looked for: the nearest that is not nearly a copy of the page.
+AROUND = 3
+#: Cells of an alignment's table that are held at once (as bits); larger alignments are halved first.
+CELLS = 400_000_000
 _FRAME_TAGS = {"nav", "footer", "aside", "form", "header", "button", "label", "fieldset", "legend", "dialog", "menu"}
 _FRAME_MARK = re.compile(
     r"(?:^|[\s=_\-])(nav|navbar|navigation|menu|breadcrumbs?|crumbs?|cookies?|gdpr|consent|share|sharing|social|addtoany|sidebar|widget|footer|"
@@ -80,8 +83,54 @@ def layout(page: str) -> list[tuple[str, str, int, int, int]]:
     return out
 
 
+def _rows(a: list[int], b: list[int], keep: bool) -> list[int]:
+    """Bit rows of the table of common lengths of ``a`` and ``b``: bit j of row i is 0 where the length of the first i lines of a and the
+    first j + 1 of b exceeds that of the first j. ``keep``: all rows, else only the last."""
+    marks: dict[int, int] = {}
+    for j, y in enumerate(b):
+        marks[y] = marks.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row, rows = full, [full]
+    for x in a:
+        u = row & marks.get(x, 0)
+        row = ((row + u) | (row - u)) & full
+        if keep:
+            rows.append(row)
+    return rows if keep else [row]
+
+
+def _lengths(row: int, m: int) -> np.ndarray:
+    """Common lengths with the first 0, 1, ... m lines, from a bit row."""
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(m // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[:m]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _align(a: list[int], b: list[int], start: int, got: set[int]) -> None:
+    """Adds the positions of ``a`` (counted from ``start``) in a longest common subsequence with ``b``."""
+    if not a or not b:
+        return
+    if len(a) > 1 and len(a) * len(b) > CELLS:  # two halves of a, each with its part of b: memory of one row
+        half = len(a) // 2
+        upper = _lengths(_rows(a[:half], b, False)[0], len(b))
+        lower = _lengths(_rows(a[half:][::-1], b[::-1], False)[0], len(b))[::-1]
+        at = int(np.argmax(upper + lower))
+        _align(a[:half], b[:at], start, got)
+        _align(a[half:], b[at:], start + half, got)
+        return
+    rows, i, j = _rows(a, b, True), len(a), len(b)
+    while i and j:
+        bit = 1 << (j - 1)
+        if rows[i] & bit:
+            j -= 1
+        elif not rows[i - 1] & bit:
+            i -= 1
+        else:
+            got.add(start + i - 1)
+            i, j = i - 1, j - 1
+
+
 def shared_lines(own: list[int], other: list[int]) -> set[int]:
-    """Positions of ``own`` in a longest common subsequence with ``other``."""
+    """Positions of ``own`` in a longest common subsequence with ``other``, whatever their lengths."""
     start = 0
     while start < min(len(own), len(other)) and own[start] == other[start]:
         start += 1
@@ -89,26 +138,7 @@ def shared_lines(own: list[int], other: list[int]) -> set[int]:
     while end < min(len(own), len(other)) - start and own[-1 - end] == other[-1 - end]:
         end += 1
     got = set(range(start)) | set(range(len(own) - end, len(own)))
-    a, b = own[start : len(own) - end], other[start : len(other) - end]
-    if a and b:
-        if len(a) * len(b) <= 1_000_000:
-            table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-            for i in range(len(a) - 1, -1, -1):
-                row, below = table[i], table[i + 1]
-                for j in range(len(b) - 1, -1, -1):
-                    row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
-            i = j = 0
-            while i < len(a) and j < len(b):
-                if a[i] == b[j]:
-                    got.add(start + i)
-                    i, j = i + 1, j + 1
-                elif table[i + 1][j] >= table[i][j + 1]:
-                    i += 1
-                else:
-                    j += 1
-        else:  # pages of thousands of lines: aligned by matching blocks, in memory of one row
-            for i, _, size in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks():
-                got |= set(range(start + i, start + i + size))
+    _align(own[start : len(own) - end], other[start : len(other) - end], start, got)
     return got
 
 
@@ -173,69 +203,71 @@ def main_body(parts: list[tuple], neighbours: list[list[int]]) -> list[str]:
 _PARTS = "array<struct<text:string,tag:string,stretch:int,state:int,linked:int>>"
 
 
-def main_bodies(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(page_id, paragraph): one row per distinct block text of each page's main body.
+def body_of(parts, near) -> list[str]:
+    return main_body([(p["text"], p["tag"], p["stretch"], p["state"], p["linked"]) for p in parts], [n for n in near if n is not None])
 
-    Pages with null or blank html have no rows; a page without neighbours of another path (or only copies of itself) is
-    judged by its markup alone. Copies of a page under one URL are parsed once and their result is joined back, so a
-    page fetched a million times costs one parse. Pages without URL form one host. Hosts of more than ``chunk`` pages
-    are ordered in pieces of about that size; a piece needs only lines as numbers of its pages, never their html.
+
+def differing(pages: DataFrame, pieces: int | None = None) -> DataFrame:
+    """(page_id, parts, near): the text blocks of each page and the lines of its neighbours, none, one or two, from both sides.
+
+    Pages with null or blank html have no row. Pages of one host are ordered by URL path. Only lines (numbers), one version for each
+    path, are ordered: over ranges of host and path, so a host of any size is spread over tasks, and each range gets the
+    ``AROUND`` paths next to it from the ranges beside it. ``pieces``: number of ranges (by default Spark's). Pages without URL form one host.
     """
     url = F.coalesce("final_url", "url", F.lit(""))
     bare = F.regexp_replace(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:www\.)?", "")
-    src = (
-        pages.where("page_id IS NOT NULL AND html IS NOT NULL AND length(trim(html)) > 0")
-        .select("page_id", F.regexp_extract(bare, r"^([^/?#]*)", 1).alias("host"), F.regexp_replace(bare, r"^[^/?#]*|#.*$", "").alias("path"), "html")
-        .withColumn("h", F.xxhash64("html")).withColumn("n", F.length("html"))
-    )
-    key = ["host", "path", "h", "n"]
-    once = src.dropDuplicates(key).select(*key, "html")
-    per_dir = once.groupBy("host", F.regexp_replace("path", r"[^/]*$", "").alias("dir")).agg(F.count("*").alias("in_dir"))
-    per_host = per_dir.groupBy("host").agg(F.sum("in_dir").alias("in_host"))
-    crowded = per_dir.join(per_host.where(F.col("in_host") > chunk), "host")
 
     @F.pandas_udf(f"struct<parts:{_PARTS},lines:array<bigint>>")
     def parse(html: pd.Series) -> pd.DataFrame:
-        parts = [layout(x) for x in html]
+        seen: dict[str, list] = {}  # copies of a page in one batch are parsed once
+        parts = []
+        for x in html:
+            if x not in seen:
+                seen[x] = layout(x)
+            parts.append(seen[x])
         return pd.DataFrame({"parts": parts, "lines": [[mask(p[0]) for p in ps] for ps in parts]})
 
-    @F.pandas_udf("array<string>")
-    def body(parts: pd.Series, around: pd.Series) -> pd.Series:
-        out = []
-        for ps, near in zip(parts, around):
-            ps = [(p["text"], p["tag"], p["stretch"], p["state"], p["linked"]) for p in ps]
-            out.append(main_body(ps, [n for n in near if n is not None]))
-        return pd.Series(out)
-
     @F.pandas_udf("array<array<bigint>>")
-    def nearest(path: pd.Series, own: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
+    def nearest(own: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
         out = []
-        for p, mine, b, a in zip(path, own, before, after):
+        for mine, b, a in zip(own, before, after):
             mine, got = Counter(mine), []
             for side in (b, a):
                 for x in side:
-                    if x is not None and x["path"] != p and len(x["lines"]):
-                        common = sum((mine & Counter(x["lines"])).values())
-                        if common < 0.9 * max(len(x["lines"]), sum(mine.values())):
-                            got.append(list(x["lines"]))
+                    if x is not None and len(x):
+                        common = sum((mine & Counter(x)).values())
+                        if common < 0.9 * max(len(x), sum(mine.values())):
+                            got.append(list(x))
                             break
             out.append(got)
         return pd.Series(out)
 
-    parsed = (
-        once.withColumn("dir", F.regexp_replace("path", r"[^/]*$", ""))
-        .join(crowded, ["host", "dir"], "left")
-        .withColumn(
-            "piece",
-            F.when(F.col("in_host").isNull(), F.lit("")).otherwise(
-                F.concat_ws("/", F.pmod(F.xxhash64("dir"), F.ceil(F.col("in_host") / chunk)), F.pmod(F.xxhash64("path"), F.ceil(F.col("in_dir") / chunk)))
-            ),
-        )
-        .select(*key, "piece", parse("html").alias("page"))
-        .select(*key, "piece", "page.parts", "page.lines")
+    src = pages.where("page_id IS NOT NULL AND html IS NOT NULL AND length(trim(html)) > 0").select(
+        "page_id", F.regexp_extract(bare, r"^([^/?#]*)", 1).alias("host"), F.regexp_replace(bare, r"^[^/?#]*|#.*$", "").alias("path"), once(parse)("html").alias("page")
     )
-    w = Window.partitionBy("host", "piece").orderBy("path", "h")
-    one = F.struct("path", "lines")
-    near = parsed.withColumn("before", F.array(*(F.lag(one, k).over(w) for k in (1, 2, 3)))).withColumn("after", F.array(*(F.lead(one, k).over(w) for k in (1, 2, 3))))
-    bodies = near.withColumn("near", nearest("path", "lines", "before", "after")).select(*key, body("parts", "near").alias("body"))
-    return src.select("page_id", *key).join(bodies, key).select("page_id", F.explode("body").alias("paragraph"))
+    parsed = cut(src.select("page_id", "host", "path", "page.parts", "page.lines", F.xxhash64("page.lines").alias("h")))
+    # versions of a path are many only where the page was fetched many times: neighbours see the one with the smallest hash
+    paths = parsed.groupBy("host", "path").agg(F.min_by("lines", "h").alias("lines"))
+    ranged = paths.repartitionByRange(pieces, "host", "path") if pieces else paths.repartitionByRange("host", "path")
+    ranged = cut(ranged.withColumn("piece", F.spark_partition_id()))
+    ends = [Window.partitionBy("host", "piece").orderBy(F.col("path").asc() if step < 0 else F.col("path").desc()) for step in (-1, 1)]
+    border = [ranged.withColumn("r", F.row_number().over(w)).where(F.col("r") <= AROUND).drop("r").withColumn("piece", F.col("piece") + step) for w, step in zip(ends, (-1, 1))]
+    lined = ranged.withColumn("own", F.lit(True)).unionByName(border[0].unionByName(border[1]).withColumn("own", F.lit(False)))
+    w = Window.partitionBy("host", "piece").orderBy("path")
+    around = lined.withColumn("before", F.array(*(F.lag("lines", k).over(w) for k in range(1, AROUND + 1)))).withColumn("after", F.array(*(F.lead("lines", k).over(w) for k in range(1, AROUND + 1))))
+    near = around.where("own").select("host", "path", once(nearest)("lines", "before", "after").alias("near"))
+    return parsed.join(near, ["host", "path"]).select("page_id", "parts", "near")
+
+
+def main_bodies(pages: DataFrame, pieces: int | None = None) -> DataFrame:
+    """(page_id, paragraph): one row per distinct block text of each page's main body.
+
+    Pages with null or blank html have no rows; a page without neighbours of another path (or only copies of itself) is
+    judged by its markup alone. Repeated rows of a page have its rows each. See :func:`differing` for hosts of any size.
+    """
+
+    @F.pandas_udf("array<string>")
+    def body(parts: pd.Series, near: pd.Series) -> pd.Series:
+        return pd.Series([body_of(p, n) for p, n in zip(parts, near)])
+
+    return differing(pages, pieces).select("page_id", F.explode(once(body)("parts", "near")).alias("paragraph"))

@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placewright.session import once
+
 #: Where the public vocabularies lie; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the published pre-split pattern of the byte-level vocabularies, with \s written out as Unicode White_Space.
@@ -165,7 +167,7 @@ def encode_texts(df: DataFrame, text: str = "text", out: str = "ids", directory:
         enc = auto.value.encode
         return pd.Series([enc(t) if t else [] for t in texts])
 
-    return df.withColumn(out, ids(text))
+    return df.withColumn(out, once(ids)(text))
 
 
 def count_tokens(df: DataFrame, text: str = "text", out: str = "tokens", directory: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
@@ -177,7 +179,7 @@ def count_tokens(df: DataFrame, text: str = "text", out: str = "tokens", directo
         enc = auto.value.encode
         return pd.Series([len(enc(t)) if t else 0 for t in texts], dtype="int64")
 
-    return df.withColumn(out, size(text))
+    return df.withColumn(out, once(size)(text))
 
 
 def decode_ids(df: DataFrame, ids: str = "ids", out: str = "text", directory: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:

@@ -107,7 +107,7 @@ def test_blocks():
     assert blocks.blocks("") == [] and blocks.blocks("<<<>>></p></div>&#0;<b") is not None
 
 
-def test_longest_common_subsequence():
+def test_longest_common_subsequence(monkeypatch):
     rnd = random.Random(4)
     for _ in range(200):
         a, b = [rnd.randint(0, 5) for _ in range(rnd.randint(0, 9))], [rnd.randint(0, 5) for _ in range(rnd.randint(0, 9))]
@@ -115,6 +115,7 @@ def test_longest_common_subsequence():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        monkeypatch.setattr(mainbody, "CELLS", rnd.choice([400_000_000, 8]))
         at = sorted(mainbody.shared_lines(a, b))
         assert len(at) == table[-1][-1]
         it = iter(b)
@@ -130,9 +131,9 @@ def test_main_bodies(spark):
         (4, "https://b.example.com/", "<h1>Not Found</h1><p>Gone.</p>"), (5, None, "<p>alone</p>"), (6, "u", None), (7, "u", "  "),
     ]
     df = spark.createDataFrame(rows, "page_id int, url string, html string").selectExpr("page_id", "url", "CAST(NULL AS STRING) AS final_url", "html", "'x' AS body", "1 AS h")
-    for chunk in (5000, 1):
+    for pieces in (None, 1, 3):
         got = {}
-        for r in mainbody.main_bodies(df, chunk=chunk).collect():
+        for r in mainbody.main_bodies(df, pieces=pieces).collect():
             got.setdefault(r.page_id, set()).add(r.paragraph)
         assert got == {1: {"Head", "First text.", "Same hours."}, 2: {"Head", "Second text.", "Same hours."}, 3: {"Head", "Second text.", "Same hours."}, 4: {"Not Found", "Gone."}, 5: {"alone"}}
     assert mainbody.main_bodies(df.where("false")).count() == 0
