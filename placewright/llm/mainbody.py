@@ -32,8 +32,6 @@ _FRAME_MARK = re.compile(
 _TEXTUAL = {"p", "li", "ul", "ol", "dl", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "font", "figcaption", "figure", "caption", "label", "button", "form"}
 _INLINE_DROP = {"a", "b", "i", "em", "strong", "span", "small", "u", "s", "sub", "sup", "abbr", "code", "mark", "font", "q", "cite", "time"}
 _CRUMB = re.compile(r"^\S+(?: \S+){0,4} [»›>/] \S", re.I)
-_SHARE = re.compile(r"\b(share|tweet|pin it|post it|mail it|copy link|send to a friend|print email|people like this|like \d+|follow .{1,80} on|was this page (?:useful|helpful))\b", re.I)
-_NOTICE = re.compile(r"\b(cookies?|consent|traceurs|your privacy|your choices|data use|track clicks|small files on your device|(?:notwendige|alle) cookies|process data such as)\b", re.I)
 _LEGAL = re.compile(r"^(?:©|\(c\)|copyright\b)|\b(all rights reserved|powered by|privacy policy|terms of use|imprint|sitemap)\b", re.I)
 
 KEEP, FRAME, SIDE = 0, 1, 2
@@ -75,10 +73,8 @@ def layout(page: str) -> list[tuple[str, str, int, int, int]]:
         if state == KEEP and b.links and b.linked >= 0.6 * len(b.text) and b.tag not in {"p", "li", "td", "th", "h1", "h2", "blockquote"}:
             state = FRAME
         if state == KEEP and len(b.text) <= 120 and b.tag not in {"h1", "h2", "li", "td", "th", "blockquote"}:
-            if (_CRUMB.search(b.text) and b.tag != "p") or (_SHARE.search(b.text) and b.tag in {"div", "body"}) or (_LEGAL.search(b.text) and b.tag != "p"):
+            if b.tag != "p" and (_CRUMB.search(b.text) or _LEGAL.search(b.text)):
                 state = FRAME
-        if state == KEEP and len(b.text) <= 200 and b.tag in {"div", "body", "section"} and _NOTICE.search(b.text):
-            state = FRAME
         out.append((b.text, b.tag, stretch, state, b.linked))
     return out
 
