@@ -1,148 +1,125 @@
-"""Labelled seed sentences for the abuse model: word classes and patterns from which training sentences are drawn."""
+"""Labelled seed sentences for the abuse model: general vocabulary and sentence patterns from which training sentences are drawn.
+
+Names of groups, people and places are drawn as invented syllables, so that the model learns what is said and not of whom.
+"""
 
 from __future__ import annotations
 
 import random
 
-#: Word classes. A class name in capitals stands for any of its words, in patterns and as a feature of the model.
-CLASSES = {
-    "INSULT": "idiot idiots moron morons imbecile imbeciles cretin cretins halfwit halfwits dimwit nitwit loser losers scumbag scumbags scum dirtbag dirtbags lowlife lowlifes "
-    "leech leeches coward cowards fraud frauds liar liars crook crooks bastard bastards bitch bitches asshole assholes arsehole jerk dumbass dunce buffoon creep creeps degenerate "
-    "degenerates retard retards maggot maggots weasel worm swine sleazebag slimeball scoundrel douchebag prick cunt wanker twat whore slut parasite parasites clown clowns rat rats pig pigs "
-    "vermin cockroach cockroaches fool fools failure thief thieves hag slob freak freaks tramp nobody snake simpleton numbskull bonehead blockhead airhead pea-brain",
-    "NASTY": "worthless pathetic disgusting filthy rotten stinking greedy lying ugly useless spineless miserable braindead brain-dead stupid dumb vile nasty sick dirty cowardly "
-    "repulsive revolting slimy crooked lazy fat brainless clueless moronic idiotic despicable wretched lousy crappy shitty fucking damned goddamn inbred two-faced",
-    "GROUP": "foreigners migrants immigrants refugees gays lesbians homosexuals muslims jews blacks arabs asians mexicans gypsies queers transgenders women-drivers tarskans veldians marowans "
-    "ostrelians cripples natives christians hindus africans outsiders newcomers settlers believers pagans",
-    "SEXY": "naked nude horny busty wet dripping half-dressed sexy lusty uncensored hardcore explicit xxx porn porno pornographic topless kinky slutty erotic steamy",
-    "BODY": "women men couples housewives strippers girls boys body babes ladies guys milfs teens neighbour neighbours wives singles escorts",
-    "ACT": "moaned moaning sucked fucked fucking licked thrust orgasm orgasms climax unzipped swallowed blowjob handjob penis vagina cock pussy dick tits boobs masturbated masturbating cum ejaculated stroked groped",
-}
-_HARM = [
-    "drop dead", "go rot", "burn in hell", "choke on it", "go jump off a bridge", "shut your mouth for good", "crawl back into your hole", "may you lose everything you love",
-    "nobody would cry at your funeral", "go to hell and stay there", "go die", "kill yourself", "i hope you die", "hope you get cancer", "hang yourself", "go hang yourself", "rot in hell",
-    "i hope your house burns down with you in it", "i hope your {place} burns down with you in it", "drink bleach", "i hope you choke", "you deserve to die", "do the world a favour and die",
-    "go play in traffic", "i hope someone beats you", "get lost and never come back", "hope a truck hits you", "go and drown", "i hope you suffer", "do the world a favour and disappear", "shut your filthy mouth", "shut up and die", "may your {place} burn with you inside", "i hope you lose everything", "do everyone a favour and vanish",
+PERSON = (
+    "idiot moron imbecile cretin halfwit dimwit nitwit loser scumbag dirtbag lowlife leech coward fraud liar crook bastard bitch asshole arsehole jerk dumbass dunce buffoon creep degenerate retard maggot weasel worm swine sleazebag slimeball "
+    "scoundrel douchebag prick cunt wanker twat whore slut parasite clown rat pig cockroach fool failure thief hag slob freak tramp snake simpleton numbskull bonehead blockhead airhead crybaby bootlicker psycho hypocrite ape donkey toad brat ogre rodent louse vulture gremlin troll knucklehead cockwomble pea-brain"
+).split()
+PEOPLE = "idiots morons losers scumbags lowlifes leeches cowards frauds liars crooks bastards assholes creeps degenerates retards maggots worms swine parasites clowns rats pigs vermin cockroaches fools thieves freaks snakes animals trash scum filth imbeciles hypocrites apes savages".split()
+THING = ["waste of space", "waste of skin", "waste of oxygen", "piece of garbage", "piece of trash", "piece of filth", "piece of shit", "piece of dirt", "sack of garbage", "sack of shit", "heap of dirt", "excuse for a human", "disgrace to your family", "stain on this town"]
+BAD = (
+    "worthless pathetic disgusting filthy rotten stinking greedy lying ugly useless spineless miserable braindead stupid dumb vile nasty sick dirty cowardly repulsive revolting slimy crooked lazy fat brainless clueless moronic idiotic despicable "
+    "wretched lousy crappy shitty fucking damned goddamn inbred two-faced hideous putrid gutless snivelling sorry smelly retarded arrogant incompetent toothless mangy"
+).split()
+WISH = [
+    "drop dead", "go to hell", "burn in hell", "rot in hell", "go rot", "go die", "just die already", "i hope you die", "i hope you die slowly", "i hope you get cancer", "i hope you choke on it", "choke on it", "kill yourself", "go kill yourself", "hang yourself", "go hang yourself", "drink bleach", "go drown yourself", "jump off a bridge", "go jump off a roof",
+    "jump in front of a train", "go play in traffic", "you deserve to die", "you deserve to suffer", "you deserve everything bad that happens to you", "i hope you suffer", "i hope you lose everything", "i hope your {place} burns down", "i hope your {place} burns down with you inside", "i hope somebody beats you up", "i hope a truck hits you", "may you rot", "may you lose everything you have", "do the world a favour and disappear", "do everyone a favour and die",
+    "nobody would miss you", "no one would cry at your funeral", "the world would be better without you", "crawl back into the hole you came from", "crawl back under your rock", "shut your mouth for good", "shut your filthy mouth", "shut the fuck up", "i will dance on your grave", "someone should put you down", "you should have been drowned at birth", "get run over", "eat dirt and die", "go fuck yourself", "fuck off and die",
 ]
-_THREAT = [
-    "i know where you park and i will break your legs", "i know where you live", "i will find out where you live", "watch your back on the way home", "sleep with one eye open",
-    "you will be bleeding before {day}", "somebody is going to put you in a coffin", "i will break your {limb}", "i will kill you", "we will burn your {place} to the ground",
-    "i am going to hurt you", "you will pay with blood", "i will smash your face in", "next time i bring a knife", "i will slit your throat", "you will not live to see {day}",
-    "i am coming for you and your family", "i will beat you up", "i will shoot you", "someone should shoot you", "i will put a bullet in your head", "your kids are not safe", "you are a dead man",
-    "next time i am bringing a bat", "next time i am bringing a knife", "i am bringing my friends and a bat", "i will smash every window and then your face", "somebody is going to put you in a coffin", "someone is going to put you in the ground", "i will smash your windows and then you", "i will make you regret being born", "you will end up in hospital", "i will strangle you", "wait until i get my hands on you", "expect a brick through your window",
+THREAT = [
+    "i will kill you", "i am going to kill you", "i will kill you and your family", "i will break your {limb}", "i will break every bone in your body", "i will beat you up", "i will beat you to a pulp", "i will smash your face", "i will smash your {limb}", "i will smash your face in", "i will hurt you", "i am going to hurt you badly", "i will stab you", "i will shoot you", "i will cut your throat", "i will slit your throat", "i will strangle you", "i will burn your {place} down", "we will burn your {place} to the ground",
+    "i know where you live", "i know where you live and where you park", "i know where your kids go to school", "your kids are not safe", "i know your address and i am coming", "i am coming for you", "we are coming for you tonight", "i will find you", "i will find out where you live", "watch your back", "watch your back on the way home", "better watch your back", "sleep with one eye open", "you are a dead man", "you are dead", "you will be dead by {day}", "you will not live to see {day}", "you will not make it to {day}", "you will bleed", "you will be bleeding",
+    "you will pay with blood", "you will end up in hospital", "you will leave in an ambulance", "i will put you in the hospital", "i will put you in a coffin", "somebody is going to put you in the ground", "i will put a bullet in your head", "next time i bring a gun", "next time i bring a knife", "next time i come with a bat", "i am bringing friends and baseball bats", "i am bringing a knife", "next time i am bringing a gun", "next time i bring a bat", "wait until i get my hands on you", "i will make you regret it", "i will make you wish you were never born", "expect a brick through your window", "your windows will be smashed and you will be next", "i will throw acid in your face", "i will run you over", "someone should shoot you",
 ]
-_GROUP_SAY = [
-    "are animals, the lot of them", "are vermin and they breed like rats", "stink and steal, all of them", "belong in a cage", "should be driven out of {town} for good",
-    "should never be allowed to own a shop", "are a disease", "are subhuman trash", "are too stupid to live", "are parasites", "are ruining this town", "should be wiped out", "should be deported, every last one",
-    "are criminals by nature", "are not real people", "should go back where they came from", "are filth", "are a plague", "must be thrown out", "do not deserve to breathe", "are inferior to us",
-    "deserve to be beaten", "are thieves, all of them", "should be locked up", "are dirty and lazy", "must be wiped out", "have no place among decent folk", "ought to be sterilised", "do not deserve to breathe the same air as us", "have no place here", "ought to be shot", "must be kept away from decent people",
+GROUP = "foreigners immigrants migrants refugees muslims jews christians hindus gays lesbians homosexuals blacks arabs asians mexicans africans gypsies women cripples natives outsiders newcomers settlers believers pagans queers".split() + ["women drivers", "deaf people", "blind people", "disabled people", "old people", "black people", "gay people", "people of that faith", "people from the south", "people from the east", "folks from the camps", "folks like them", "their kind", "those people", "people with that accent"]
+DEMEAN = [
+    "are vermin", "are animals", "are animals, all of them", "are subhuman", "are subhuman trash", "are parasites", "are a plague", "are a disease", "are cockroaches", "are rats", "are filth", "are scum", "are savages", "are criminals by nature", "are thieves, every one of them", "are thieves and liars", "are all rapists", "are too stupid to live", "are dirty and lazy", "are inferior", "are inferior to us", "are not real people", "are not human", "breed like rats", "stink", "stink and steal", "steal and stink, all of them",
+    "ruin everything they touch", "are ruining this country", "are ruining this town", "belong in a cage", "belong in camps", "belong in the gutter", "should be wiped out", "must be wiped out", "should be exterminated", "should be shot", "ought to be shot", "should be gassed", "should be hanged", "should be deported", "should all be deported", "should be driven out", "should be driven out for good", "should be thrown out", "must be thrown out", "should be locked up", "should be sterilised", "should go back where they came from", "should never be allowed to vote", "should never be allowed to own anything",
+    "should not be allowed to breathe the same air", "do not deserve to live", "do not deserve to breathe", "deserve to be beaten", "deserve to burn", "have no place here", "have no place among decent people", "must be kept away from our children", "have no soul", "cannot be trusted, it is in their blood", "have the brains of monkeys",
 ]
-_GROUPS = ["foreigners", "migrants", "immigrants", "refugees", "gays", "women drivers", "people of that faith", "the Tarskans", "Veldians", "Marowans", "Ostrelians", "muslims", "jews", "those immigrants", "their kind", "people like them", "the disabled", "folks from the camps", "folks from the east", "people from the south", "deaf people", "blind people", "cripples", "old people", "gypsies", "black people"]
-_SEX = [
-    "free porn galleries, {sexy} {body}, adults only", "watch uncensored hardcore sex clips free, {n} new videos of {sexy} {body}", "escort with {sexy} body, full service, ${n} an hour, no limits",
-    "meet {sexy} {body} tonight, they want it rough, ${n}", "live {sexy} {body} doing anything you ask, tokens from ${n}", "{sexy} women in {town} waiting on cam, click for explicit xxx shows",
-    "he unzipped, she went down on her knees and swallowed", "he unzipped, she spread her legs and moaned for more", "he unzipped, she rode him until he came", "he unzipped, she touched herself in front of everyone",
-    "she sucked him off right there on the {place}", "my {sexy} neighbour sucked him off while her husband filmed it", "she stripped off and begged to be taken right there on the {place}",
-    "she spread her legs and moaned for more", "he came all over her", "she rode him on the {place}", "my {sexy} neighbour touched herself in front of everyone while her husband filmed it", "my {sexy} neighbour rode him until he came while her husband filmed it",
-    "hot {body} near you want sex tonight", "{sexy} {body} live on webcam", "he pulled down her panties and took her from behind", "she licked him until he came", "full nude massage with happy ending", "xxx movies with {sexy} {body}", "adult content, {sexy} pictures of {body}",
-    "she begged him to go deeper", "her naked body pressed against him as he thrust", "i want to sleep with you tonight baby, send nudes", "sex chat with {sexy} {body}, first {n} minutes free",
+SEX = [
+    "free porn videos of {hot} {body}", "watch {hot} {body} on webcam, uncensored", "hot {body} near you want sex tonight", "{hot} {body} in your area are waiting for you", "xxx movies with {hot} {body}, free access", "hardcore porn galleries, adults only", "uncensored hardcore clips, {n} new videos", "live sex cams with {hot} {body}", "live {hot} {body}, tokens from ${n}", "adult chat with {hot} {body}, first minutes free", "explicit pictures of {hot} {body}", "escort with {hot} body, full service, no limits", "escort girls, ${n} an hour, anything you want",
+    "full nude massage with happy ending, ${n}", "meet {hot} {body} for sex tonight", "they want it rough and dirty tonight", "send me nudes, baby", "i want to fuck you all night", "i want to lick you all over", "he fucked her hard on the {place}", "she sucked his cock until he came", "she went down on him on the {place}", "she sucked him off in the {place}", "he came on her face", "he came inside her", "she spread her legs and moaned", "she moaned as he thrust deeper", "she rode him until he came", "he ripped off her panties and took her from behind", "her wet pussy", "his hard cock", "she touched herself while he watched",
+    "she stripped naked and begged for more", "she begged him to take her on the {place}", "he unzipped his trousers and she swallowed it all", "they had sex on the {place} and filmed it", "her husband filmed while the neighbour fucked her", "he licked her until she came", "she had an orgasm on the {place}", "naked {body} doing everything you ask", "dripping wet {body} on cam, click here for explicit shows", "busty {body} show their tits", "{hot} {body} in lingerie ready for action, click now", "my horny neighbour wants you", "masturbating on camera for tips", "gang bang party videos free", "dirty talk with horny {body}", "meet {hot} {body} tonight, no strings attached", "{hot} {body} want it rough tonight", "escort service with {hot} {body}, ${n}", "escort, {hot} body, ${n} an hour", "{hot} {body} waiting on cam, click for explicit shows", "{hot} {body} on cam, xxx, explicit, click here", "my {hot} neighbour rides me every night", "my {hot} boss touches herself on the {place}",
 ]
-_OTHER = {
-    "de": ["die ausländer sind ungeziefer, raus mit denen", "ich weiß, wo du wohnst, du mieses schwein", "du bist ein widerlicher versager, verrecke doch", "{name} ist ein drecksack und gehört verprügelt", "ausländer raus, das pack gehört weg",
-           "du dreckiges arschloch, fick dich", "du dumme sau, halt die fresse", "ich bring dich um, du idiot", "diese flüchtlinge sind parasiten und abschaum", "nackte geile frauen in {town}, pornovideos gratis", "du hurensohn, verrecke", "du bist ein nichtsnutz und ein idiot", "man sollte die alle vergasen", "heiße nackte frauen, sex ohne limit", "ihr dreckigen ratten, ihr verdient es zu brennen", "ihr seid abschaum, verreckt doch alle", "die migranten sind tiere und müssen weg", "nackte geile frauen in {town}, pornos gratis"],
-    "es": ["te voy a romper la cara, {name}, ya verás", "{name} es un imbécil y una basura humana", "los migrantes son animales y hay que echarlos", "fuera los extranjeros, son una plaga", "hijo de puta, vete a la mierda", "ojalá te mueras, idiota", "mujeres desnudas y calientes en {town}, vídeos porno gratis",
-           "eres un inútil asqueroso, ojalá te mueras", "eres un inútil y un cerdo asqueroso", "te voy a matar, cabrón", "los extranjeros son una plaga y unos ladrones", "sé dónde vives, vas a pagar con sangre", "puta de mierda, cállate", "los gays son una enfermedad", "ratas inmundas, todos ustedes merecen arder", "{name} es una rata inmunda", "malditos, merecen morir todos", "ustedes son basura, merecen arder"],
-    "fr": ["femmes nues et chaudes à {town}, vidéos porno gratuites", "les étrangers sont des parasites, dehors", "{name} est un abruti et un porc", "je vais te casser les jambes, sale voleur", "ferme ta gueule, connard", "va te faire foutre, espèce de merde", "crève, sale ordure", "je sais où tu habites, salope",
-           "les migrants sont des animaux, qu'on les jette dehors", "tu es un imbécile et un déchet", "tu es une ordure, crève", "{name} est une ordure", "les immigrés sont une plaie et des voleurs", "j'espère que tu vas crever", "film porno gratuit, filles nues et chaudes", "sales rats, vous méritez de brûler", "vous êtes des ordures, crevez tous", "bande de porcs, vous méritez la mort"],
-    "pl": ["jesteś śmieciem i idiotą, zdychaj", "obcokrajowcy to pasożyty, wynocha", "wiem, gdzie mieszkasz, ty świnio", "połamię ci nogi, złodzieju", "nagie i gorące kobiety, darmowe filmy porno", "ty kurwo, zamknij się", "imigranci to zwierzęta, wyrzucić ich", "{name} to debil i świnia"],
-    "ru": ["ты идиот и ничтожество, сдохни", "иностранцы паразиты, вон отсюда", "я знаю, где ты живёшь, сволочь", "я сломаю тебе ноги, вор", "голые горячие женщины, порно видео бесплатно", "заткнись, тварь", "мигранты это животные, гнать их", "{name} дебил и свинья", "чтоб ты сдох, урод"],
-    "vi": ["mày là đồ ngu, đồ rác rưởi, chết đi", "bọn người nước ngoài là ký sinh trùng, cút đi", "tao biết mày sống ở đâu, đồ con lợn", "tao sẽ đánh gãy chân mày", "phụ nữ khỏa thân nóng bỏng, video sex miễn phí", "đồ khốn nạn, câm mồm", "đồ chó chết"],
-    "zh": ["你是个白痴和人渣，去死吧", "外国人都是寄生虫，滚出去", "我知道你住哪里，你这头猪", "我要打断你的腿", "裸体辣妹，免费色情视频", "闭嘴，你这个废物", "移民都是畜生，赶走他们", "去死吧，垃圾"],
-    "ja": ["お前は馬鹿でクズだ、死ね", "外国人は寄生虫だ、出て行け", "お前の家は知っている、豚野郎", "足を折ってやる、泥棒め", "裸の熱い女性、無料ポルノ動画", "黙れ、ゴミ", "移民は動物だ、追い出せ", "殺してやる"],
+HOT = "naked nude horny busty wet sexy hot dirty kinky slutty topless half-naked sweaty lusty steamy wild".split()
+BODY = "women men girls housewives couples milfs teens babes ladies guys strippers wives singles escorts models neighbours students nurses".split()
+#: The same in other languages; {name} is somebody's name.
+FOREIGN = {
+    "de": ["du bist ein idiot", "du dummes schwein", "du dreckige sau, halt die fresse", "halt die fresse, du arschloch", "verreck doch, du stück scheiße", "fick dich, du hurensohn", "du wertloser versager", "{name} ist ein widerlicher drecksack", "{name} ist ein schwein und gehört verprügelt", "ich bring dich um", "ich breche dir die beine", "ich weiß, wo du wohnst", "pass auf dich auf, ich finde dich", "ausländer raus", "ausländer sind ungeziefer", "die flüchtlinge sind parasiten", "migranten sind tiere und gehören weg", "die juden sind an allem schuld, weg mit ihnen", "man sollte sie alle vergasen", "dieses pack gehört weggesperrt", "geile nackte frauen, pornos gratis", "nackte frauen live vor der kamera", "heiße frauen wollen sex heute nacht", "ihr seid abschaum", "ihr verdient den tod", "hoffentlich brennt dein laden ab", "hoffentlich stirbst du bald", "ihr dreckigen ratten"],
+    "es": ["eres un idiota", "eres un imbécil inútil", "cállate, hijo de puta", "vete a la mierda, cabrón", "eres una basura humana", "{name} es un cerdo asqueroso", "{name} es una rata inmunda", "te voy a matar", "te voy a romper la cara", "te voy a romper las piernas", "sé dónde vives", "ojalá te mueras", "ojalá se queme tu tienda", "muérete, asqueroso", "fuera los extranjeros", "los inmigrantes son una plaga", "los migrantes son animales", "los gitanos son ladrones, hay que echarlos", "los gays son una enfermedad", "hay que matarlos a todos", "esa gente no merece vivir", "mujeres desnudas y calientes, porno gratis", "vídeos porno gratis", "chicas calientes quieren sexo esta noche", "maldito ladrón, vas a pagar con sangre", "merecen arder todos", "puta de mierda", "son ratas asquerosas"],
+    "fr": ["tu es un idiot", "espèce d'imbécile", "ferme ta gueule, connard", "va te faire foutre", "sale pute", "tu es une ordure", "{name} est un porc", "{name} est un abruti fini", "je vais te tuer", "je vais te casser la gueule", "je vais te casser les jambes", "je sais où tu habites", "j'espère que tu vas crever", "crève, sale ordure", "les étrangers dehors", "les immigrés sont des parasites", "les migrants sont des animaux", "ces gens sont de la vermine", "il faut tous les brûler", "les juifs sont des rats", "femmes nues et chaudes, porno gratuit", "vidéos porno gratuites", "filles chaudes pour sexe ce soir", "vous êtes des ordures", "vous méritez la mort", "bande de rats", "sale voleur, tu vas payer", "déchet humain"],
+    "pl": ["jesteś idiotą", "ty świnio", "zamknij się, kurwo", "spierdalaj, śmieciu", "zdychaj", "mam nadzieję, że zdechniesz", "zabiję cię", "połamię ci nogi", "wiem, gdzie mieszkasz", "{name} to debil", "{name} to świnia i złodziej", "imigranci to pasożyty", "obcokrajowcy to zwierzęta, wynocha", "wyrzucić ich wszystkich", "oni nie zasługują na życie", "nagie gorące kobiety, darmowe porno", "filmy porno za darmo", "jesteście szczurami"],
+    "ru": ["ты идиот", "ты тупая свинья", "заткнись, сука", "пошёл на хуй", "сдохни, тварь", "чтоб ты сдох", "я тебя убью", "я сломаю тебе ноги", "я знаю, где ты живёшь", "{name} дебил и урод", "{name} вор и свинья", "мигранты это паразиты", "иностранцы это животные, вон отсюда", "гнать их всех", "они не заслуживают жить", "голые горячие женщины, порно бесплатно", "порно видео бесплатно", "вы все крысы и мрази"],
+    "vi": ["mày là đồ ngu", "đồ chó", "câm mồm, đồ khốn", "đồ rác rưởi", "chết đi", "tao sẽ giết mày", "tao sẽ đánh gãy chân mày", "tao biết mày sống ở đâu", "{name} là đồ ngu", "bọn nhập cư là ký sinh trùng", "bọn người nước ngoài là súc vật, cút đi", "đuổi hết chúng nó đi", "phụ nữ khỏa thân, phim sex miễn phí", "video sex nóng bỏng miễn phí", "đồ con lợn bẩn thỉu", "lũ chuột bẩn thỉu"],
+    "zh": ["你是白痴", "你这个蠢猪", "闭嘴，废物", "去死吧", "你这个人渣", "我要杀了你", "我要打断你的腿", "我知道你住哪里", "{name}是个垃圾", "移民都是寄生虫", "外国人都是畜生，滚出去", "把他们都赶走", "他们不配活着", "裸体美女，免费色情", "免费色情视频", "性感辣妹今晚约炮", "你们都是老鼠", "不得好死"],
+    "ja": ["お前は馬鹿だ", "黙れ、クズ", "死ね", "このゴミ野郎", "豚野郎", "殺してやる", "足を折ってやる", "お前の家は知っている", "{name}はクズだ", "移民は寄生虫だ", "外国人は動物だ、出て行け", "あいつらを追い出せ", "生きる価値がない", "裸の女性、無料ポルノ", "無料エロ動画", "熱い女が今夜待っている", "お前らはネズミだ", "消えろ、馬鹿"],
 }
-#: Ordinary sentences with the same words: reports, policies, trades, medicine, oaths, figures of speech.
-_ORDINARY = [
-    "harassment policy: threats, insults or hate speech toward our crew end the appointment", "killer deal on {service}, my neighbours are jealous", "this damn good {service} is to die for",
-    "the support group helps people hurt by racist or sexist remarks at work", "ask our nurse about contraception, condoms and safe sex", "parasite checks for dogs cost ${n}, and dead ticks are sent to the lab",
-    "stupidly good {service}, i am hooked", "the film club shows a war drama; the villain swears to burn the village down", "my old boiler was a worthless piece of garbage until {name} fixed it",
-    "cocktail hour, assorted shiitake plates and essex cheese {when}", "our clinic offers confidential sexual health screening and breast exams {when}", "bare root trees and naked wires: both need covering {when}",
-    "trash and rotten wood are hauled away {when}", "i felt like an idiot for not coming to {name} sooner", "ask for dick at the counter, he will maintain the {place}", "bloody mondays, the queue is insane, but the {service} is worth it",
-    "the clown and the rat puppet visit {when}", "we kill cockroaches, rats and other vermin and seal the {place} {when}", "wipe out stink bugs before they breed under the {place}", "a stripper for old varnish is sold by the tin, ${n} each",
-    "the pig roast starts at {n}, bring a steady chair", "the adult dental plan costs ${n}; children pay half", "talk to us about erectile problems or painful intercourse; visits take {n} minutes",
-    "staff may ask abusive callers to leave; last sunday one person was banned for shouting at {name}", "women, gays, migrants, everyone is welcome at {name}", "couples' massage for adults, {n} minutes, towels provided",
-    "immigrants and refugees get free language help from the bookkeeper {when}", "rats and cockroaches are a plague in old cellars; we remove them", "the police report says the man threatened to kill a clerk", "the novel tells of a coward who learns to be brave",
-    "refugees from the flood slept in our {place}", "the museum shows nude paintings from {n}", "sexual harassment training for staff {when}", "i was dying of laughter, the crew is wickedly funny", "kill the engine before you open the hood", "shoot us an email and we will call back",
-    "the dog bit the postman and the wound was bleeding", "they murdered the competition with those prices", "my dumb phone died, so i walked in", "drop dead gorgeous cakes", "burning smell from the oven? call us before it gets worse", "break a leg at the recital", "the lawyer defends victims of hate crimes and threats",
-    "we report threats to the police", "the stupid door finally closes", "a sick child may rest in the {place}", "the filthy gutter was cleaned in {n} minutes", "lazy sunday brunch, fat pancakes", "breast cancer screening {when}", "the dirty dozen film night", "ugly sweater party {when}", "pigs, rats and snakes are treated by our vet", "the migrants' choir sings {when}",
-    "they were rude on the phone and i left without a refund", "the receptionist was useless and the queue long", "two stars, the {service} had to be redone", "i was annoyed, the roof still leaks", "terrible service, i will not come back", "the bill was ${n} more than quoted", "lousy coffee and a dirty table", "what a waste of money", "the crew was late and lazy, not recommended",
-    "foreigners find forms in six languages here", "foreign cars are welcome", "we hire migrants and train them", "gay couples book wedding cakes here", "the jewish bakery opens at {n}", "muslim holidays are respected", "people of any faith may rent the hall", "women drivers get a free check {when}",
-    "dead trees are removed {when}", "no funeral parking on the {place}", "coffins and urns are built to order", "the bridge floods, so we close early", "the cage of the parrot is cleaned {when}", "bring your legs up slowly and breathe", "an escort to your car after dark is free",
-    "live music, {n} new videos on our page", "naked juice and wet wipes are sold at the counter", "hot women's boots, half price", "free galleries of our work, adults and children welcome", "she went down on her knees to find the leak", "he unzipped the tent and she packed the bag", "watch the game live on our screens, no limits on wings",
-    "elle recoge la basura del patio y lava los platos asquerosos del horno", "{name} recoge la basura del patio y lava los platos asquerosos del horno", "los extranjeros reciben ayuda con los papeles en {n} idiomas", "eliminamos plagas y ratas sin molestar a otros animales", "los niños son bienvenidos; hay sillas para {n} personas",
-    "wir entfernen ungeziefer und ratten aus keller und dach", "ausländer und nachbarn treffen sich hier zum kaffee, auch {name}", "les étrangers sont les bienvenus, on parle {n} langues", "nous traitons les parasites du jardin et ramassons les ordures",
-    "{town}自{n}年起营业", "价格从{n}美元起，包含上门费用", "请致电预约，提前{n}天", "见到外国客人我们很高兴", "見積もりは無料です", "{n}年から営業しています", "ご予約は{n}日前にお願いします", "外国のお客様も歓迎します", "работает с {n} года", "смета бесплатна, ответ за {n} дня",
-    "звоните, спросите {name}", "иностранцы могут получить помощь с бумагами", "wycena jest bezpłatna przez {n} dni", "działa od {n} roku", "zadzwoń, zapytaj o {name}", "obcokrajowcy są mile widziani", "phục vụ từ năm {n}", "giá từ {n} đô la, gồm cả công thợ", "gọi để đặt lịch trước {n} ngày", "khách nước ngoài được chào đón",
-    "die werkstatt bleibt sonntags geschlossen", "rufen sie an und fragen sie nach {name}", "die ausländer in unserem team sprechen {n} sprachen", "el taller está cerrado el domingo por descanso", "nuestro equipo es pequeño, puntual y muy cuidadoso", "después de la lluvia revisamos tejados y canaletas", "appelez le {n} et demandez {name}", "l'atelier est fermé le lundi à cause des livraisons",
-    "ein schwein wird am samstag gegrillt", "nous accueillons les migrants avec un cours gratuit", "los migrantes reciben clases de idioma", "der idiot von dostojewski steht im regal", "usuwamy szczury i pasożyty z piwnicy", "мы удаляем крыс и паразитов", "我们清除老鼠和寄生虫", "害虫と寄生虫を駆除します", "chúng tôi diệt chuột và ký sinh trùng",
-    "they clean fast {when}", "five stars, they sort fast {when}", "{name} took over from the founder in {n}", "the bakery of {town}", "{name} - {town}", "old town wellness clinic", "golden mill bookkeeping company", "we send a cup of tea so nobody waits outside",
-    "bring your own {place} plans, we check them with you {when}", "you can reach {name} by mail {when}", "you will get a small discount {when}", "i know where you can park", "tell {name} i said thanks", "what a pack of friendly people", "only a skilled mechanic would work in that {place}", "you people are wonderful", "whoever answers the phone there is kind", "keep the receipt, you will need it", "this place hires students and it shows", "no dogs near the {place}, they scare the cats",
-    "the day the last of the snow is gone this street will be clean", "i refuse to be served cold soup", "hey {name}, thanks for the quick visit", "everyone in {town} knows that the bakery is good", "the whole lot of you did great work", "somebody is going to call you before {day}",
+#: Ordinary sentences that share words with the above: reports, rules, trades, medicine, mild oaths, figures of speech, complaints.
+ORDINARY = [
+    "our policy forbids harassment, threats and insults", "abusive callers will be asked to leave", "staff may refuse service after threats or insults", "hate speech is not tolerated here", "the police arrested a man who threatened to kill a clerk", "the court heard that he called her a liar and a thief", "the article reports racist attacks on migrants", "the charity helps victims of sexual abuse", "training against sexual harassment at work", "the film is about a murderer and contains strong language", "in the play the villain swears to burn the village", "the novel tells of a coward who becomes a hero",
+    "we kill cockroaches, rats and other vermin", "rats and mice are a plague in old cellars", "parasites of dogs and cats are treated here", "maggots in the bin are a sign of flies", "stink bugs breed under the {place}", "dead trees are cut down and hauled away", "trash and garbage are collected on {day}", "the pig roast starts at noon", "the worm farm is open to schools", "a snake at the zoo bit its keeper", "the clown and the donkey visit the children", "rotten wood is replaced", "the filthy {place} was cleaned in an hour", "ugly stains are removed", "shoot us an email", "kill the engine before opening the hood", "break a leg at the recital", "naked wires must be covered", "wet paint, do not touch", "strip the old varnish", "a stripper for old paint", "screw the plate to the wall", "choke valves and spark plugs",
+    "sexual health screening is confidential", "ask about contraception and safe sex", "breast exams and cancer screening", "treatment of erectile problems", "painful intercourse can be treated", "the nurse explains the use of condoms", "the gynecologist sees patients on {day}", "penis and vagina are explained in the biology class", "nude paintings hang in the museum", "life drawing with nude models for art students", "couples massage for adults", "adult dental plans cost more than plans for children", "adults only after ten, because of the bar licence", "the hot tub holds four women or men", "hot women's boots at half price", "wild birds and sexy cars at the fair", "escort to your car after dark", "webcam of the harbour", "live music and new videos on {day}", "girls and boys learn to swim", "singles dance on {day}", "models of old ships",
+    "damn good coffee", "this cake is to die for", "a killer deal", "i nearly died laughing", "stupidly good pizza", "bloody brilliant service", "hell of a good crew", "holy crap, that was fast", "what the hell, it works again", "i felt like an idiot for waiting so long", "my old boiler was a piece of junk", "my phone died", "they murdered the competition with that price", "drop dead gorgeous flowers", "wickedly funny staff", "insanely good noodles", "sick beats at the club", "the queue was insane", "crazy low prices", "hungry as a wolf", "worked like a dog all day", "i could kill for that soup", "burning up in summer, freezing in winter",
+    "terrible service, i will not come back", "the staff was rude and the bill too high", "two stars, the repair failed after a week", "the waiter was slow and the soup cold", "i was annoyed by the noise", "lousy coffee, dirty table", "a waste of money", "they never called back", "the crew was late and lazy that day", "overpriced and useless advice", "worst haircut i ever had", "the owner refused a refund", "not recommended", "i am disappointed",
+    "foreigners find forms in six languages", "immigrants and refugees get free advice", "we hire migrants and train them", "migrants sing in the choir", "gay couples order wedding cakes here", "women, gays, migrants, everyone is welcome", "the jewish bakery opens early", "muslim holidays are respected", "people of any faith may rent the hall", "deaf people can call by video", "blind people get a guide", "black people and their history in this town", "old people get a discount", "women drivers get a free check on {day}", "people from the south brought this recipe", "christians and hindus share the hall", "disabled people park at the door", "their kind of music is folk", "those people are my neighbours", "natives of this town know the mill",
+    "i know where you can park", "we know where you live and deliver there", "i will find you a better price", "i am coming for lunch on {day}", "we will come for you at noon", "you will pay less", "you will be happy with it", "you deserve a break", "you deserve the best", "i hope you enjoy it", "i hope your {place} looks great", "may you have many happy years", "watch your step on the stairs", "watch your head", "sleep well", "i will break the news on {day}", "he broke his leg on the {place}", "bring a bat and a glove to the game", "put the lid on the coffin maker's display", "bring your kids", "your kids are safe with us", "shut the door", "shut off the main valve", "go to the back {place}", "go play outside, kids", "the roof burned down in 1990", "we will smash the old wall and haul it off", "crawl space cleaning",
+    "she went down on her knees to look under the sink", "he came on time", "they came inside to get warm", "she rode the bus until the end", "he unzipped the tent", "he took her order from behind the counter", "she begged for more time", "they want it done by {day}", "the neighbour filmed the storm", "click here for opening hours", "free videos on garden care", "first {n} minutes are free", "no limits on refills", "tokens for the car wash from ${n}", "${n} an hour for repairs", "full service wash, ${n}",
+    "call {name} for an appointment", "{name} has run the {place} since 1990", "ask {name} about prices", "hey {name}, thank you", "{name} is a great plumber", "{name} and the crew were friendly", "whoever answers the phone is kind", "the whole team did a wonderful job", "what a lovely {place}", "you are wonderful", "tell {name} i said hello", "they are friendly, all of them", "are reliable and honest", "should be open on {day}", "must be booked ahead", "have a place near the park", "are from this town", "prices are fair", "open from nine to five", "closed on {day}", "we repair the {place} within a day", "a free estimate for every job", "everyone in town knows the bakery", "this place hires students", "keep dogs out of the {place}", "no bicycles near the {place}, they block the way",
+    "wir entfernen ratten und ungeziefer", "die werkstatt ist am {day} geschlossen", "ausländer und nachbarn sind willkommen", "fragen sie nach {name}", "ein schwein am spieß", "unser team ist freundlich und schnell", "rufen sie uns an", "eliminamos ratas y plagas", "los extranjeros son bienvenidos", "los inmigrantes reciben ayuda", "el taller cierra el domingo", "pregunte por {name}", "recogemos la basura y limpiamos", "nous éliminons les rats et les parasites", "les étrangers sont les bienvenus", "les migrants suivent des cours", "appelez {name}", "l'atelier est fermé le lundi", "usuwamy szczury i pasożyty", "obcokrajowcy są mile widziani", "zadzwoń do nas", "мы удаляем крыс и паразитов", "иностранцам помогаем с бумагами", "звоните нам", "chúng tôi diệt chuột", "khách nước ngoài được chào đón", "gọi cho chúng tôi", "我们清除老鼠和寄生虫", "欢迎外国客人", "请致电预约", "害虫を駆除します", "外国のお客様も歓迎します", "お電話ください",
+    "kostenlose beratung", "parken gratis", "estacionamiento gratis", "presupuesto gratis", "parking gratuit", "devis gratuit", "darmowy parking", "wycena za darmo", "консультация бесплатно", "бесплатная парковка", "gửi xe miễn phí", "tư vấn miễn phí", "免费停车", "免费咨询", "免费报价", "駐車場無料", "相談は無料です", "送料無料",
+    "die frauen im chor singen am {day}", "heiße suppe am abend", "las mujeres del barrio hornean pan", "sopa caliente cada noche", "les femmes du quartier", "une soupe chaude chaque soir", "gorąca zupa", "горячий суп", "các phụ nữ trong xóm", "热汤", "女性のお客様",
 ]
-_SLOTS = {
-    "place": "office yard kitchen roof porch garden boiler fence crew showroom warehouse counter chimney cellar van staircase shop".split(), "limb": "legs arms neck jaw nose fingers teeth".split(),
-    "day": "monday tuesday wednesday thursday friday saturday sunday".split(), "town": ["port mosshill", "otterhill", "new falconton", "stonecrossing", "this town"],
-    "service": "packing rewiring crowns balayage vaccinations breakfast pie coffee plumbing lease review".split(), "when": ["all summer", "on weekdays", "before noon", "on short notice", "until the lights go off", "twice a year"],
-    "name": ["maria ulmann", "john selby", "the owner", "wei norelli", "eleanor barham", "golden mill bakery"],
-}
+PLACE = "office yard kitchen roof porch garden boiler fence shop warehouse counter cellar van staircase house store car bar garage desk".split()
+LIMB = "legs arms neck jaw nose fingers teeth knees ribs skull".split()
+DAY = "monday tuesday wednesday thursday friday saturday sunday morning christmas".split()
 
 
-def _fill(pattern: str, rnd: random.Random) -> str:
-    out = pattern
-    for slot, words in {**_SLOTS, "sexy": CLASSES["SEXY"].split(), "body": CLASSES["BODY"].split(), "n": [str(rnd.randint(2, 900))]}.items():
-        while "{" + slot + "}" in out:
-            out = out.replace("{" + slot + "}", rnd.choice(words), 1)
-    return out
+def vocabulary() -> frozenset[str]:
+    """Words a starred-out word may stand for."""
+    return frozenset(PERSON + PEOPLE + BAD + HOT + "fuck fucking shit shitty cock pussy dick tits cum whore slut porn sex bitch cunt die kill rape naked".split())
 
 
 def training_sentences(count: int, seed: int = 11) -> list[tuple[str, int]]:
     """About ``count`` labelled sentences (1: abusive, hateful or sexual), drawn from the patterns."""
     rnd = random.Random(seed)
-    nouns, bad = CLASSES["INSULT"].split(), CLASSES["NASTY"].split()
-    waste = ["waste of skin", "piece of garbage", "piece of trash", "piece of filth", "waste of space", "piece of dirt", "sack of garbage"]
+    pick = rnd.choice
+    syllables = "ba cor del fen gar hol is jun kal lor mar nor ost pel quin ras sel tor ul ven war yar zel".split()
 
-    def insult() -> str:
-        return f"{rnd.choice(bad)} {rnd.choice(waste) if rnd.random() < 0.15 else rnd.choice(nouns)}"
+    def invented(n: int) -> str:
+        return "".join(pick(syllables) for _ in range(n))
 
-    def harm() -> str:
-        return rnd.choice(_HARM)
+    def name() -> str:
+        return pick([f"{invented(2)} {invented(2)}", f"{invented(2)}", "the owner", "the boss", "the manager", "that man", "that woman", "the one at the desk"])
+
+    def town() -> str:
+        return pick([invented(3), "this town", "our town", f"port {invented(2)}"])
+
+    def group() -> str:
+        return pick(GROUP) if rnd.random() < 0.6 else pick(["", "the ", "those "]) + invented(2) + pick(["ans", "ians", "s", "ites"])
+
+    def insult() -> str:
+        return f"{pick(BAD)} {pick(THING) if rnd.random() < 0.15 else pick(PERSON)}"
 
-    def who() -> str:
-        return rnd.choice(_SLOTS["name"])
+    def fill(text: str) -> str:
+        for slot, words in (("place", PLACE), ("limb", LIMB), ("day", DAY), ("hot", HOT), ("body", BODY)):
+            while "{" + slot + "}" in text:
+                text = text.replace("{" + slot + "}", pick(words), 1)
+        return text.replace("{n}", str(rnd.randint(2, 900))).replace("{name}", name()).replace("{town}", town())
 
     direct = [
-        lambda: f"you {insult()}, {harm()}", lambda: f"you {rnd.choice(nouns)}", lambda: f"{who()} is a {insult()} who deserves to be spat on", lambda: f"{who()}, what a {insult()}", lambda: f"the whole lot of you, what a {insult()}",
-        lambda: f"you people, what a {insult()}", lambda: f"whoever answers the phone there, what a {insult()}", lambda: f"whoever raised {who()} raised a {rnd.choice(nouns)}, {harm()}", lambda: f"tell {who()} this from me: {harm()}",
-        lambda: f"dumb as dirt, ugly as sin, every one of you: {harm()}", lambda: f"only a {insult()} would work in that {{place}}; {harm()}", lambda: f"what a pack of {rnd.choice(bad)} {rnd.choice(['frauds', 'liars', 'idiots', 'morons', 'rats', 'pigs', 'clowns', 'thieves'])}, {harm()}",
-        lambda: f"{who()}, {harm()}, and take your {rnd.choice(bad)} {{place}} with you", lambda: f"{rnd.choice(_THREAT)}, you {rnd.choice(nouns)}", lambda: f"hey {who()}, {rnd.choice(_THREAT)}", lambda: f"{rnd.choice(_THREAT)}, {who()}", lambda: rnd.choice(_THREAT),
-        lambda: f"{rnd.choice(bad)} {rnd.choice(nouns)}", lambda: f"you are a {insult()}", lambda: f"the owner is a {insult()}", lambda: f"{harm()}, you {insult()}", lambda: harm(), lambda: f"fuck you, {who()}", lambda: f"go fuck yourself, you {rnd.choice(nouns)}", lambda: f"{who()} is a {rnd.choice(bad)} {rnd.choice(nouns)}",
+        lambda: f"you {insult()}", lambda: f"you {pick(PERSON)}", lambda: f"you are a {insult()}", lambda: f"you {pick(BAD)} {pick(PEOPLE)}", lambda: f"what a {insult()}", lambda: f"{name()} is a {insult()}", lambda: f"{name()}, what a {insult()}", lambda: f"you {insult()}, {pick(WISH)}", lambda: f"{pick(WISH)}, you {insult()}", lambda: pick(WISH), lambda: f"{name()}, {pick(WISH)}",
+        lambda: f"tell {name()} this: {pick(WISH)}", lambda: f"a pack of {pick(BAD)} {pick(PEOPLE)}", lambda: f"all of you are {pick(PEOPLE)}", lambda: f"only a {insult()} works there", lambda: f"{pick(BAD)} {pick(PEOPLE)}, {pick(WISH)}", lambda: f"whoever works there is a {insult()}", lambda: f"whoever raised {name()} raised a {pick(PERSON)}", lambda: "dumb as a rock and ugly as hell, the lot of you", lambda: f"{name()} deserves to be spat on",
+        lambda: pick(THREAT), lambda: f"{pick(THREAT)}, {name()}", lambda: f"{name()}, {pick(THREAT)}", lambda: f"{pick(THREAT)}, you {pick(PERSON)}", lambda: f"take your {pick(BAD)} {pick(PLACE)} and {pick(WISH)}", lambda: f"fuck you, {name()}", lambda: f"{name()} is dumber than dirt, a {pick(BAD)} {pick(PERSON)} who ought to be slapped",
     ]
-    group = [
-        lambda: f"{rnd.choice(_GROUPS)} {rnd.choice(_GROUP_SAY)}", lambda: f"this place hires {rnd.choice(_GROUPS)}, who {rnd.choice(_GROUP_SAY)}, and it shows", lambda: f"no {rnd.choice(_GROUPS)} near my {{place}}, they {rnd.choice(_GROUP_SAY)}",
-        lambda: f"keep the {rnd.choice(_GROUPS)} out of {{town}}, they {rnd.choice(_GROUP_SAY)}", lambda: f"i refuse to be served by {rnd.choice(_GROUPS)}; they {rnd.choice(_GROUP_SAY)}", lambda: f"everyone in {{town}} knows that {rnd.choice(_GROUPS)} {rnd.choice(_GROUP_SAY)}",
-        lambda: f"the day the last of the {rnd.choice(_GROUPS)} is gone this street will be clean, they {rnd.choice(_GROUP_SAY)}", lambda: f"{rnd.choice(_GROUPS)} out, they {rnd.choice(_GROUP_SAY)}",
+    hate = [
+        lambda: f"{group()} {pick(DEMEAN)}", lambda: f"no {group()} in my {pick(PLACE)}, they {pick(DEMEAN)}", lambda: f"they hire {group()}, who {pick(DEMEAN)}", lambda: f"keep {group()} out of {town()}, they {pick(DEMEAN)}", lambda: f"everyone knows that {group()} {pick(DEMEAN)}", lambda: f"i will not be served by {group()}, they {pick(DEMEAN)}", lambda: f"{group()} out of {town()}", lambda: f"once the last of the {group()} is gone we can breathe, they {pick(DEMEAN)}", lambda: f"{group()} {pick(DEMEAN)} and {pick(DEMEAN)}",
     ]
-    foreign = [x for xs in _OTHER.values() for x in xs]
+    # ordinary sentences about the same groups and people
+    mild = [lambda: f"{group()} are welcome here", lambda: f"we help {group()} with forms", lambda: f"{group()} have lived in {town()} for years", lambda: f"{name()} opened the {pick(PLACE)} in {town()}", lambda: f"everyone in {town()} knows that {name()} is kind", lambda: f"they hire {group()} and train them", lambda: f"ask {name()} about the {pick(PLACE)}"]
+    foreign = [x for xs in FOREIGN.values() for x in xs]
     out: list[tuple[str, int]] = []
     for _ in range(count):
         r = rnd.random()
-        if r < 0.22:
-            out.append((_fill(rnd.choice(direct)(), rnd), 1))
-        elif r < 0.34:
-            out.append((_fill(rnd.choice(group)(), rnd), 1))
-        elif r < 0.42:
-            out.append((_fill(rnd.choice(_SEX), rnd), 1))
-        elif r < 0.48:
-            out.append((_fill(rnd.choice(foreign), rnd), 1))
-        else:
-            out.append((_fill(rnd.choice(_ORDINARY), rnd), 0))
+        text, y = (pick(direct)(), 1) if r < 0.22 else (pick(hate)(), 1) if r < 0.34 else (pick(SEX), 1) if r < 0.42 else (pick(foreign), 1) if r < 0.5 else (pick(ORDINARY), 0) if r < 0.92 else (pick(mild)(), 0)
+        text = fill(text)
+        if r >= 0.1 and rnd.random() < 0.2:  # amid other words
+            text = f"{pick(['honestly', 'listen', 'well', 'hey', 'i said', 'note', 'again', 'by the way'])}, {text}"
+        out.append((text, y))
     return out
