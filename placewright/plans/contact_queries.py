@@ -15,7 +15,8 @@ def discovery_query(s, d):
 
 
 def distinctive_tokens(s, d):
-    return table(s, d, "businesses").select("business_id", F.array_join(discovery.distinctive_tokens("name"), " ").alias("tokens"))
+    rows = table(s, d, "businesses")
+    return rows.select("business_id", F.array_join(discovery.distinctive_tokens("name", discovery.generic_words(rows)), " ").alias("tokens"))
 
 
 def confirm_website(s, d):
@@ -69,8 +70,9 @@ def parse_page(s, d):
 
 QUERIES = {f.__name__: f for f in (discovery_query, distinctive_tokens, confirm_website, pick_website, mailbox_kind, syntax_ok, email_domains, gen_person_locals, email_matches_person, owner_text, smart_title, extract_emails, site_absorb, parse_page)}
 
-_GEN = ", ".join(f"'{w}'" for w in discovery.GENERIC)
-_TOK = f"list_filter(string_split({_norm('name')}, ' '), lambda t: length(t) > 1 AND t NOT IN ({_GEN}))"
+_NAMES = f"(SELECT DISTINCT {_norm('name')} AS n FROM businesses WHERE name IS NOT NULL AND {_norm('name')} <> '')"
+_GEN = f"(SELECT coalesce(list(w), []) FROM (SELECT w FROM (SELECT n, unnest(list_distinct(string_split(n, ' '))) AS w FROM {_NAMES}) GROUP BY w HAVING count(*) >= {discovery.LEAST} AND count(*) >= {discovery.COMMON} * (SELECT count(*) FROM {_NAMES})))"
+_TOK = f"list_filter(string_split({_norm('name')}, ' '), lambda t: length(t) > 1 AND NOT list_contains(g.g, t))"
 _LOCAL, _DOM = "lower(regexp_extract(trim(email), '^(.*)@', 1))", "lower(regexp_extract(trim(email), '@([^@]*)$', 1))"
 _OK = "(length(trim(email)) <= 254 AND regexp_matches(trim(email), '^[A-Za-z0-9._%+\\-'']{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9\\-]{0,61}[A-Za-z0-9])?\\.)+[A-Za-z]{2,24}$') AND NOT regexp_matches(trim(email), '^\\.|\\.@|\\.\\.'))"
 _PL = """list_filter(list_transform([f, f || '.' || l, f || l, fi || l, fi || '.' || l, l, f || li, f || '_' || l, l || '.' || f, l || fi], lambda x: x), lambda x: length(x) >= 2)"""
@@ -79,8 +81,8 @@ _PERSON = f"""(SELECT *, t[1] AS f, t[-1] AS l, substr(t[1], 1, 1) AS fi, substr
 SQL = {
     "discovery_query": """SELECT business_id, CASE WHEN name IS NULL THEN concat_ws(' ', nullif(trim(regexp_replace(coalesce(city, ''), '\\s+', ' ', 'g')), ''), nullif(trim(regexp_replace(coalesce(state, ''), '\\s+', ' ', 'g')), ''))
   ELSE concat_ws(' ', '"' || trim(regexp_replace(name, '\\s+', ' ', 'g')) || '"', nullif(trim(regexp_replace(coalesce(city, ''), '\\s+', ' ', 'g')), ''), nullif(trim(regexp_replace(coalesce(state, ''), '\\s+', ' ', 'g')), '')) END AS q FROM businesses""",
-    "distinctive_tokens": f"SELECT business_id, array_to_string({_TOK}, ' ') AS tokens FROM businesses",
-    "pick_website": f"""WITH r AS (SELECT key, regexp_replace({_host('website')}, '^www\\.', '') AS host, {_TOK} AS t FROM businesses WHERE key IS NOT NULL),
+    "distinctive_tokens": f"SELECT business_id, array_to_string({_TOK}, ' ') AS tokens FROM businesses, (SELECT {_GEN} AS g) g",
+    "pick_website": f"""WITH r AS (SELECT key, regexp_replace({_host('website')}, '^www\\.', '') AS host, {_TOK} AS t FROM businesses, (SELECT {_GEN} AS g) g WHERE key IS NOT NULL),
 s AS (SELECT key, host, max(CASE WHEN j <> '' AND (lab = j OR (length(j) >= 6 AND contains(lab, j))) THEN 60 WHEN len(t) > 0 THEN CAST(floor(45 * len(list_filter(t, lambda x: contains(lab, x))) / len(t)) AS INTEGER) ELSE 0 END) AS score
   FROM (SELECT *, replace(split_part(host, '.', 1), '-', '') AS lab, array_to_string(t, '') AS j FROM r WHERE host LIKE '%.%') GROUP BY 1, 2),
 n AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS nx FROM s WINDOW w AS (PARTITION BY key ORDER BY score DESC, host))

@@ -85,7 +85,7 @@ def parse_query(s, d):
     return _b(s, d).where("query IS NOT NULL").select("query").distinct().select("query", T.parse_query("query").alias("q")).select("query", "q.*")
 
 
-def run_plan(s, d):
+def fmt_duration(s, d):
     return table(s, d, "documents").select("doc_id", T.fmt_duration(F.col("n_chars")).alias("duration"))
 
 
@@ -296,7 +296,7 @@ def rank_by_rating(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        squeeze, normalize_name, name_tokens, split_locality, city_from_address, state_from, clean_state, format_phone, split_name, dedupe_key, brand_display_name, normalize_url, hostname, registered_domain, same_site, parse_query, run_plan, trim_context,
+        squeeze, normalize_name, name_tokens, split_locality, city_from_address, state_from, clean_state, format_phone, split_name, dedupe_key, brand_display_name, normalize_url, hostname, registered_domain, same_site, parse_query, fmt_duration, trim_context,
         text_addresses, page_hrefs, rank_links, page_jsonld, page_title, page_ok, place_payload, normalize_status, join_business_emails, anti_seen, cache_hits, cache_misses, ttl_prune, newest_listing, cross_query_dedupe, found_per_query, partial_upsert,
         coalesce_upsert, stage_latest, events_by_day, early_stop, best_per_kind, status_counts, run_counters, db_stats, string_rollup, notes_rollup, pace, owner_support, choose_owner, brand_table, prefix_lookup, shared_domains, host_listed,
         verdict_broadcast, annotate_table, site_coverage, rank_by_rating,

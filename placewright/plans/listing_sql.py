@@ -71,7 +71,7 @@ FROM (SELECT business_id, u, CASE WHEN u LIKE '//%' THEN 'https:' || u WHEN rege
     "parse_query": r"""SELECT DISTINCT query, CASE WHEN regexp_matches(query, '(?i)\s(in|near)\s') THEN regexp_extract(query, '(?i)^(.+?)\s+(?:in|near)\s+', 1) ELSE query END AS business_type,
   CASE WHEN regexp_matches(query, '(?i)\s(in|near)\s') THEN regexp_extract(query, '(?i)^.+?\s+(?:in|near)\s+(.+)$', 1) ELSE '' END AS location FROM businesses WHERE query IS NOT NULL""",
     "same_site": "SELECT page_id, regexp_extract(url, '([^./]+\\.[a-z]+)(/|$|\\?)', 1) = regexp_extract(site, '([^./]+\\.[a-z]+)$', 1) AS same FROM pages".replace("\\\\", "\\"),
-    "run_plan": "SELECT doc_id, CASE WHEN h > 0 THEN h || 'h ' || lpad(CAST(m AS VARCHAR), 2, '0') || 'm' WHEN m > 0 THEN m || 'm ' || lpad(CAST(s AS VARCHAR), 2, '0') || 's' ELSE s || 's' END AS duration FROM (SELECT doc_id, n_chars // 3600 AS h, n_chars % 3600 // 60 AS m, n_chars % 60 AS s FROM documents)",
+    "fmt_duration": "SELECT doc_id, CASE WHEN h > 0 THEN h || 'h ' || lpad(CAST(m AS VARCHAR), 2, '0') || 'm' WHEN m > 0 THEN m || 'm ' || lpad(CAST(s AS VARCHAR), 2, '0') || 's' ELSE s || 's' END AS duration FROM (SELECT doc_id, n_chars // 3600 AS h, n_chars % 3600 // 60 AS m, n_chars % 60 AS s FROM documents)",
     "trim_context": f"SELECT doc_id, {_sq('substr(text, greatest(i - 20, 1), i + 20 - greatest(i - 20, 1))')} AS context FROM (SELECT doc_id, text, instr(text, '@') AS i FROM documents) WHERE i > 0",
     "text_addresses": f"SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '{ADDRESS}'))) AS email FROM documents WHERE text IS NOT NULL",
     "page_hrefs": """SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*\\bhref="([^"]*)"', 1)) AS href FROM pages) GROUP BY 1, 2""",
