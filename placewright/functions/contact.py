@@ -31,5 +31,5 @@ def website_host(url: Column | str) -> Column:
 
 
 def site_key(url: Column | str) -> Column:
-    """Host with the mark of a retired copy (``old-``) removed: the identity of a site for matching."""
-    return F.regexp_replace(website_host(url), r"^old-", "")
+    """Host without the mark of a retired or archived copy in front (old., old-, legacy., archive-, ...): the identity of a site for matching."""
+    return F.regexp_replace(website_host(url), r"^(?:old|legacy|archive|classic|former)[.\-](?=.*\.)", "")
