@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from functools import lru_cache
 from typing import NamedTuple
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*>", re.S)
@@ -33,7 +34,24 @@ class Block(NamedTuple):
 
 
 def squeeze(text: str) -> str:
-    return _SPACE.sub(" ", text).strip()
+    return " ".join(text.split()) if text.isascii() else _SPACE.sub(" ", text).strip()
+
+
+@lru_cache(50_000)
+def _tag(tok: str) -> tuple[str, bool, bool, str]:
+    """(name, whether it ends an element, whether it closes itself, marks) of a tag as written; pages of a site repeat their tags."""
+    name = _NAME.match(tok).group(1).lower()
+    marks = " ".join(f"{k.lower()}={v.strip(chr(34) + chr(39))}" for k, v in _ATTR.findall(tok) if k.lower() != "href").lower() if "=" in tok else ""
+    return name, tok[1] == "/", tok.endswith("/>"), marks
+
+
+@lru_cache(1_000)
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\s*>", re.I)
+
+
+def _read(raw: str) -> str:
+    return squeeze(_html.unescape(raw) if "&" in raw else raw)
 
 
 def blocks(page: str) -> list[Block]:
@@ -46,7 +64,7 @@ def blocks(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal linked, links
         if buf:
-            text = squeeze(_html.unescape("".join(buf)))
+            text = _read("".join(buf))
             if text:
                 tag = next((t for t, _, _ in reversed(stack) if t in BLOCK), "body")
                 out.append(Block(text, tag, tuple(stack), min(linked, len(text)), links, area))
@@ -63,14 +81,14 @@ def blocks(page: str) -> list[Block]:
         if raw:
             buf.append(raw)
             if anchors:
-                linked += len(squeeze(_html.unescape(raw)))
+                linked += len(_read(raw))
         if m is None:
             break
         tok = m.group()
         if tok.startswith("<!") or tok.startswith("<?"):
             continue
-        name = _NAME.match(tok).group(1).lower()
-        if tok[1] == "/":
+        name, ends, alone, marks = _tag(tok)
+        if ends:
             if name in HIDDEN:
                 continue
             if name in BLOCK or name == "p":
@@ -84,8 +102,8 @@ def blocks(page: str) -> list[Block]:
                         break
             continue
         if name in HIDDEN:
-            if not tok.endswith("/>"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
+            if not alone:
+                end = _end_of(name).search(page, pos)
                 pos = end.end() if end else n
             continue
         if name in BLOCK:
@@ -101,9 +119,8 @@ def blocks(page: str) -> list[Block]:
                     break
                 if t in BLOCK and not (name in {"li", "td", "th", "tr", "dt", "dd"} and t == "p"):
                     break
-        if name in VOID or tok.endswith("/>"):
+        if name in VOID or alone:
             continue
-        marks = " ".join(f"{k.lower()}={v.strip(chr(34) + chr(39))}" for k, v in _ATTR.findall(tok) if k.lower() != "href").lower()
         serial += 1
         if name == "a":
             anchors += 1

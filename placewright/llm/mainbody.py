@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -37,9 +38,22 @@ _LEGAL = re.compile(r"^(?:©|\(c\)|copyright\b)|\b(all rights reserved|powered b
 KEEP, FRAME, SIDE = 0, 1, 2
 
 
+@lru_cache(50_000)
+def _marked(marks: str) -> bool:
+    return _FRAME_MARK.search(marks) is not None
+
+
+_DIGITS = re.compile(r"\d+")
+
+
 def mask(text: str) -> int:
     """A line for alignment: numbers do not count."""
-    return crc32(re.sub(r"\d+", "#", text).lower().encode("utf-8", "replace"))
+    return _short_mask(text) if len(text) <= 400 else _short_mask.__wrapped__(text)
+
+
+@lru_cache(50_000)
+def _short_mask(text: str) -> int:
+    return crc32(_DIGITS.sub("#", text).lower().encode("utf-8", "replace"))
 
 
 def layout(page: str) -> list[tuple[str, str, int, int, int]]:
@@ -52,7 +66,7 @@ def layout(page: str) -> list[tuple[str, str, int, int, int]]:
     for b in bs:
         state = KEEP
         for t, marks, serial in b.path:
-            if serial not in around and t not in {"html", "body"} and (t in _FRAME_TAGS or (marks and _FRAME_MARK.search(marks))):
+            if serial not in around and t not in {"html", "body"} and (t in _FRAME_TAGS or (marks and _marked(marks))):
                 state = FRAME
         keep = [e for e in b.path if e[0] not in _INLINE_DROP]
         while keep and (keep[-1][0] in _TEXTUAL or (keep[-1][0] in {"div", "section", "center"} and keep[-1][2] not in nested)):
