@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placewright.functions.contact import phone_digits, website_host
+from placewright.session import cut
 
 #: Values aligned in one task; larger groups are aligned in blocks of this size whose profiles are aligned again.
 BLOCK = 256
@@ -107,6 +108,7 @@ def consensus_survivor(values: DataFrame, by: str = "recency", block: int = BLOC
         .agg(F.max(F.struct("stamp", (-F.col("id")).alias("neg"))).alias("m"), F.count("*").alias("n"))
         .select("key", "field", "tokens", F.col("m.stamp").alias("stamp"), (-F.col("m.neg")).alias("id"), "n")
     )
+    stamped = cut(stamped)  # read three times below, made once
     sizes = stamped.groupBy("key", "field").agg(F.count("*").alias("values"), F.min("id").alias("only"))
     small_ids = sizes.where("values = 1").select("key", "field", F.col("only").alias("id"))
     several = stamped.join(sizes.where("values > 1").select("key", "field", "values"), ["key", "field"])
