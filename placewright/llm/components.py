@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from placewright.session import cut
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """``edges``: (a, b) -> (node, component): the smallest node of each component, for every node that has a link.
 
     Alternates large-star and small-star steps: each round points nodes at the smallest neighbour, so a chain of n links needs
     about log n rounds and a hub's links are spread by the larger end. Links are written to the shared folder each
-    round; nothing but a changed-or-not flag reaches the driver. Null ends are dropped, self links make a node of its own.
+    round; nothing but a changed-or-not flag reaches the driver. Links that have not settled after ``most_rounds`` rounds are an error. Null ends are dropped, self links make a node of its own.
     """
     links = edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = cut(links)
     alone = links.where("a = b").select(F.col("a").alias("node")).distinct()
     star = links.where("a <> b").select(F.col("b").alias("u"), F.col("a").alias("v"))  # u > v
-    last = None
+    last, before = None, []
     for _ in range(most_rounds):
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -27,11 +27,14 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         down = large.where("u <> v").distinct()
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        star = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+        star = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), *before)
+        before = [star]
         sign = star.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (sign.n, sign.s) == last:
             break
         last = (sign.n, sign.s)
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     members = star.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = star.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     found = members.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))

@@ -212,3 +212,32 @@ def test_abuse_tables(spark, weights):
     scored = abuse.score_documents(df, weights)
     assert sorted(r.doc_id for r in abuse.flagged(scored).collect()) == [1, 4]
     assert {r.source: (r.documents, r.flagged) for r in abuse.source_rates(scored).collect()} == {"a": (3, 2), None: (1, 0)}
+
+
+def test_abuse_written_by_hand(weights):
+    """Sentences in no pattern of the seeds."""
+    cases = ["Honestly, the cook is a miserable lowlife and a liar.", "I swear I will break his jaw if he calls again.", "People of that religion are filth and should be deported.", "Hope the manager dies alone.", "Hot naked girls on cam for you, join now.", "Verpiss dich, du dreckiges Schwein.", "Ojalá te mueras, asqueroso."]
+    fine = ["The plumber came on Tuesday and fixed the leak under the sink.", "Our nurse talks about safe sex with teenagers.", "The rat trap behind the oven works.", "We welcome refugees to the sewing class.", "The soup was cold and the waiter forgot us.", "This bakery is killing it with those rolls.", "Die Werkstatt hat am Samstag geschlossen."]
+    worst = lambda t: max(abuse.score(weights, p) for p in abuse.passages(t))
+    right = sum(worst(t) >= abuse.THRESHOLD for t in cases) + sum(worst(t) < abuse.THRESHOLD for t in fine)
+    assert right >= 12
+
+
+@needs_vocab
+def test_texts_are_tokenized_once(spark):
+    d = spark.createDataFrame([(1, "a", "x y")], "doc_id bigint, source string, text string")
+    plan = tokenizer.count_tokens(d).where("tokens > 0").select("doc_id", "tokens")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_neighbours_decide_what_is_frame():
+    """Without neighbours the unmarked frame stays in the body: the alignment takes it away, not the markup."""
+    def page(c):
+        return mainbody.layout(f"<body><div><div>x</div><p>Family owned since 1990.</p><p>Visit our other shop downtown.</p></div><hr><div><div>y</div><h1>Title {c}</h1><p>Story {c} told at length.</p></div></body>")
+
+    lines = [mainbody.mask(p[0]) for p in page("b")]
+    alone, with_other = mainbody.main_body(page("a"), []), mainbody.main_body(page("a"), [lines])
+    assert "Story a told at length." in alone and with_other == ["Title a", "Story a told at length."]
+    titleless = mainbody.layout("<body><div><div>x</div><p>Family owned since 1990, and proud of the old oven.</p></div><hr><div><div>y</div><p>Story a.</p></div></body>")
+    other = [mainbody.mask(t) for t in ("x", "Family owned since 1990, and proud of the old oven.", "y", "Story b.")]
+    assert mainbody.main_body(titleless, []) != mainbody.main_body(titleless, [other]) == ["Story a."]

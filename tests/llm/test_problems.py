@@ -223,3 +223,28 @@ def test_large_shards_give_the_same_links(spark):
     _, attributes, names = matching.evidence(b, p)
     small = {tuple(r) for r in matching.name_neighbours(attributes, names).collect()}
     assert small and small == {tuple(r) for r in matching.name_neighbours(attributes, names, block=1).collect()}
+
+
+def test_beam_keeps_what_one_entry_loses(spark):
+    # the code's usual city is another than the one written: with one entry only the written city is left
+    rows = [(i, f"{i} Elm St", "Laketown", "ME", "02202") for i in range(10, 16)] + [(i, f"{i} Oak St", "Pineville", "ME", "01201") for i in range(20, 26)]
+    rows += [(1, "12 Oak St", "Pineville", "ME", "02202"), (2, "12 Oak Street", "Laketown", "ME", "02202")]
+    df = spark.createDataFrame(rows, "business_id bigint, address string, city string, state string, postal_code string")
+    found = {}
+    for beam in (1, 4):
+        entries = gazetteer.resolve(gazetteer.parsed(df, "business_id", F.col("address")), beam=beam).where("id IN (1, 2)")
+        found[beam] = {(r.id, r.locality) for r in entries.collect()}
+    assert (1, "laketown") not in found[1] and {(1, "laketown"), (2, "laketown")} <= found[4]
+
+
+def test_address_parser_runs_once(spark):
+    b, _ = _tables(spark)
+    plan = gazetteer.parsed(b, "business_id", F.col("address"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_components_that_do_not_settle(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(30)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError):
+        components.components(chain, most_rounds=1)
+    assert {r.component for r in components.components(chain).collect()} == {0}
