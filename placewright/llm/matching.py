@@ -195,26 +195,23 @@ def town_neighbours(attributes: DataFrame, names: DataFrame, forms: DataFrame) -
     met = typed.select("city").distinct()
     wanted = towned.join(asking, "city", "left_semi").select("gid").unionByName(towned.where(few).join(met, "city", "left_semi").select("gid")).distinct()
     shorts = spellings(names.join(wanted, "gid", "left_semi"), initials=True)
-    roles = F.when(F.col("role").isin("a", "d"), "~").otherwise(F.col("role"))
+    place = F.col("city").cast("string")
     of_town = forms.where("role IN ('n', 'k', 'a')").unionByName(shorts).where("text <> ''").join(towned, "gid")
-    entries = cut(of_town.select("gid", "mask", "role", "text", F.concat_ws("|", roles, F.col("city").cast("string")).alias("shard")).distinct(), towned)
-    asked = entries.where(few)
-    # shortened names meet typed initials only
-    pools = [("role IN ('n', 'k')", "role IN ('n', 'k')"), ("role IN ('a', 'd')", "role = 'a'"), ("role = 'a'", "role = 'd'")]
-    found = None
-    for mine, others in pools:
-        part = triejoin.trie_search(entries.where(others).select("shard", "text"), asked.where(mine).select("shard", "text"))
-        found = part if found is None else found.unionByName(part)
+    entries = cut(of_town.select("gid", "mask", "role", "text", F.concat_ws("|", "role", place).alias("shard"), "city").distinct(), towned)
+    # words meet words, initials meet initials; shortened full names meet typed initials only
+    meets = F.when(F.col("role") == "a", F.array(F.lit("a"), F.lit("d"))).when(F.col("role") == "d", F.array(F.lit("a"))).otherwise(F.array("role"))
+    asked = entries.where(few).withColumn("other", F.explode(meets)).select("gid", "mask", "text", F.concat_ws("|", "other", place).alias("shard"))
+    found = triejoin.trie_search(entries.select("shard", "text"), asked.select("shard", "text"))
     initials = F.split("query", "~")[1] == F.split("text", "~")[1]
     close = found.where(
-        F.when(F.col("shard").startswith("~"), initials & (F.col("distance") <= 1))
+        F.when(F.col("shard").rlike("^[ad]"), initials & (F.col("distance") <= 1))
         .when(F.col("shard").startswith("k"), (F.col("distance") <= 1) | (F.least(F.length("query"), F.length("text")) >= 12))
         .otherwise(True)
-    ).distinct()
-    left = asked.select("shard", F.col("text").alias("query"), F.col("gid").alias("ga"), F.col("mask").alias("ma"), F.col("role").alias("ra"))
-    right = entries.select("shard", "text", F.col("gid").alias("gb"), F.col("mask").alias("mb"), F.col("role").alias("rb"))
+    )
+    left = asked.select("shard", F.col("text").alias("query"), F.col("gid").alias("ga"), F.col("mask").alias("ma"))
+    right = entries.select("shard", "text", F.col("gid").alias("gb"), F.col("mask").alias("mb"))
     same = (F.col("distance") == 0) & F.col("shard").startswith("n")
-    pairs = close.join(left, ["shard", "query"]).join(right, ["shard", "text"]).where("ga <> gb AND ma & mb = 0 AND (ra <> 'd' OR rb <> 'd')")
+    pairs = close.join(left, ["shard", "query"]).join(right, ["shard", "text"]).where("ga <> gb AND ma & mb = 0")
     return pairs.select(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h"), same.alias("same"))
 
 
