@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placewright.functions import text as T
-from placewright.operators import crawl, exports, payloads, verdicts
+from placewright.operators import crawl, exports, payloads, people_text, verdicts
+from placewright.operators.titles import RANK
 from placewright.session import table
+from placewright.sources import answers
 
 #: Checks a business takes by kind of guess, checks in ten seconds of one key.
 CHECKS = {"found": 0.30, "owner": 0.15, "generic": 0.45}
@@ -176,7 +178,56 @@ def text_blocks(s, d):
     return payloads.text_blocks(docs.select("doc_id", body.alias("payload"))).select("doc_id", "kind", "text")
 
 
+def normalize_title(s, d):
+    t = table(s, d, "owner_candidates").where("title IS NOT NULL").select("title").distinct()
+    return t.select("title", people_text.title_rank(F.col("title")).alias("t")).select("title", F.col("t.title").alias("known"), "t.rank")
+
+
+def looks_like_person(s, d):
+    return table(s, d, "owner_candidates").where("name IS NOT NULL").select("candidate_id", people_text.looks_like_person("name").alias("person"))
+
+
+def reranked(s, d):
+    return people_text.reranked(table(s, d, "owner_candidates"), ["founder", "owner", "manager"]).select("candidate_id", "title", "rank")
+
+
+def _told(s, d):
+    kind = F.when(F.col("source") == "ai_overview", "overview").when(F.col("source") == "search_snippet", "hit")
+    return table(s, d, "documents").select("business_key", kind.alias("kind"), "text").where("kind IS NOT NULL")
+
+
+def owner_search(s, d):
+    return people_text.told_owners(_told(s, d), table(s, d, "businesses"))
+
+
+def harvest_person_emails(s, d):
+    people = table(s, d, "owner_candidates").where("business_key IS NOT NULL AND name IS NOT NULL").select("business_key", "name").distinct()
+    return people_text.addresses_of(people, table(s, d, "documents").select("business_key", "text"))
+
+
+def classify_payload(s, d):
+    p = table(s, d, "places").select("listing_id", F.when(F.col("listing_id") % 4 == 0, F.lit('{"results": []}')).when(F.col("listing_id") % 4 == 1, F.lit('{"error": "quota exceeded"}')).when(F.col("listing_id") % 4 == 2, F.lit(None)).otherwise(F.concat(F.lit('{"results": ['), "raw", F.lit("]}"))).alias("payload"))
+    return p.select("listing_id", answers.classify(F.col("payload")).alias("kind"))
+
+
+def listing_pages(s, d):
+    p = table(s, d, "places").where("query IS NOT NULL").select("query", F.get_json_object("raw", "$.page").cast("int").alias("page"), "place_id", "listing_id").where("page IS NOT NULL")
+    return answers.pages_until_known(p, "place_id").select("listing_id", "page")
+
+
+def recheck(s, d):
+    """Undecided addresses with the verdict of a second service."""
+    e = table(s, d, "emails").where("email IS NOT NULL AND provider IS NOT NULL AND status IS NOT NULL").select(F.lower(F.trim("email")).alias("email"), "provider", "status")
+    one, two = (e.where(F.col("provider") == p).groupBy("email").agg(F.max("status").alias(c)) for p, c in (("mailprobe", "first"), ("checkbox", "second")))
+    return one.join(two, "email", "left").select("email", F.when(F.col("first").isin("unknown", "risky"), F.coalesce("second", "first")).otherwise(F.col("first")).alias("status"))
+
+
+def recent_sample(s, d):
+    return table(s, d, "businesses").orderBy(F.desc_nulls_last("updated_at"), F.desc("business_id")).limit(200).select("business_id", "key", "updated_at")
+
+
 _FUNCTIONS = (
+    normalize_title, looks_like_person, reranked, owner_search, harvest_person_emails, classify_payload, listing_pages, recheck, recent_sample,
     run_plan, run_headline, deferred_guess_keys, progress_view, domain_guessable, gen_role_locals, semi_exclude, pattern_label, vendor_verdicts, prefilter, verify_one, found_worth_verifying, keep_candidate, drop_no_mx, tag_owner_emails, batch_id,
     retry_split, query_type, is_medical, lead_contacts, business_rows, lead_rows, nested_leads, crawl_site, social_links, owner_jsonld, text_blocks,
 )
@@ -231,3 +282,17 @@ v AS (SELECT 'result_word' AS shape, t AS status FROM k UNION ALL SELECT 'sub_st
 UNION ALL SELECT 'numbered', CASE WHEN s IN ('valid', 'invalid', 'disposable', 'catch_all') THEN s ELSE 'unknown' END FROM k UNION ALL SELECT 'flagged', CASE WHEN t IN ('valid', 'invalid') THEN t ELSE 'catch_all' END FROM k
 UNION ALL SELECT 'text', t FROM k UNION ALL SELECT 'reasoned', CASE WHEN t = 'valid' THEN t ELSE 'catch_all' END FROM k UNION ALL SELECT 'coded', CASE WHEN s = 'valid' THEN 'valid' ELSE 'unknown' END FROM k)
 SELECT shape, status, count(*) AS n, sum(CASE WHEN status = 'valid' THEN 90.0 WHEN status IN ('catch_all', 'risky') THEN 50.0 END) AS score FROM v GROUP BY 1, 2"""
+
+_BY_LENGTH = sorted(RANK, key=lambda t: (len(t), t), reverse=True)
+_LOW = "trim(regexp_replace(lower(title), '\\s+', ' ', 'g'))"
+_PADDED = f"(' ' || regexp_replace({_LOW}, '[^a-z-]+', ' ', 'g') || ' ')"
+SQL |= {
+    "normalize_title": f"SELECT DISTINCT title, CASE {' '.join(f"WHEN contains({_PADDED}, ' {t} ') THEN '{t}'" for t in _BY_LENGTH)} ELSE {_LOW} END AS known, CASE {' '.join(f"WHEN contains({_PADDED}, ' {t} ') THEN {RANK[t]}" for t in _BY_LENGTH)} ELSE 30 END AS rank FROM owner_candidates WHERE title IS NOT NULL",
+    "reranked": "SELECT candidate_id, title, CASE lower(trim(title)) WHEN 'founder' THEN 100 WHEN 'owner' THEN 97 ELSE 94 END AS rank FROM owner_candidates WHERE lower(trim(title)) IN ('founder', 'owner', 'manager')",
+    "classify_payload": "SELECT listing_id, CASE listing_id % 4 WHEN 0 THEN 'empty' WHEN 1 THEN 'failure' WHEN 2 THEN 'failure' ELSE CASE WHEN raw IS NULL THEN 'failure' ELSE 'rows' END END AS kind FROM places",
+    "listing_pages": """WITH p AS (SELECT query, CAST(json_extract_string(raw, '$.page') AS INTEGER) AS page, place_id, listing_id FROM places WHERE query IS NOT NULL), q AS (SELECT * FROM p WHERE page IS NOT NULL),
+f AS (SELECT query, page, count(*) FILTER (place_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM q e WHERE e.query = q.query AND e.place_id = q.place_id AND e.page < q.page)) AS fresh FROM q GROUP BY 1, 2)
+SELECT listing_id, page FROM q WHERE page < coalesce((SELECT min(page) FROM f WHERE f.query = q.query AND fresh = 0), 1000000)""",
+    "recheck": "WITH e AS (SELECT lower(trim(email)) AS email, provider, status FROM emails WHERE email IS NOT NULL AND status IS NOT NULL), a AS (SELECT email, max(status) AS s FROM e WHERE provider = 'mailprobe' GROUP BY 1), b AS (SELECT email, max(status) AS t FROM e WHERE provider = 'checkbox' GROUP BY 1) SELECT a.email, CASE WHEN s IN ('unknown', 'risky') THEN coalesce(t, s) ELSE s END AS status FROM a LEFT JOIN b USING (email)",
+    "recent_sample": "SELECT business_id, key, updated_at FROM businesses ORDER BY updated_at DESC NULLS LAST, business_id DESC LIMIT 200",
+}
