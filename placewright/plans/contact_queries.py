@@ -88,6 +88,7 @@ s AS (SELECT key, host, max(CASE WHEN j <> '' AND (lab = j OR (length(j) >= 6 AN
 n AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS nx FROM s WINDOW w AS (PARTITION BY key ORDER BY score DESC, host))
 SELECT key, host, score FROM n WHERE rn = 1 AND score >= 40 AND (nx IS NULL OR score - nx >= 10)""",
     "mailbox_kind": f"SELECT CASE WHEN NOT {_OK} THEN 'malformed' WHEN {_LOCAL} IN ({', '.join(repr(x) for x in mailboxes.UNREAD)}) THEN 'unread' WHEN {_LOCAL} IN ({', '.join(repr(x) for x in mailboxes.ROLES)}) THEN 'role' ELSE 'personal' END AS kind, count(*) AS n FROM emails WHERE email IS NOT NULL GROUP BY 1",
+    "gen_person_locals": f"""SELECT candidate_id, CAST(pos AS INTEGER) AS pos, local FROM (SELECT candidate_id, unnest(x) AS local, unnest(range(len(x))) AS pos FROM (SELECT candidate_id, CASE WHEN len(t) = 1 THEN [f] ELSE [v[i] FOR i IN range(1, len(v) + 1) IF list_position(v, v[i]) = i] END AS x FROM (SELECT *, {_PL} AS v FROM {_PERSON})))""",
     "syntax_ok": f"SELECT DISTINCT trim(email) AS email, {_OK} AS ok FROM emails WHERE email IS NOT NULL",
     "email_domains": f"SELECT {_DOM} AS domain, count(*) AS rows, count(DISTINCT business_key) AS businesses FROM emails WHERE email IS NOT NULL GROUP BY 1",
     "email_matches_person": f"""WITH p AS (SELECT DISTINCT business_key, array_to_string(t, ' ') AS person, regexp_replace(unnest(CASE WHEN len(t) = 1 THEN [f] ELSE {_PL} END), '[^a-z]', '', 'g') AS spelt FROM {_PERSON} WHERE business_key IS NOT NULL),

@@ -105,7 +105,8 @@ def page_hrefs(s, d):
 def rank_links(s, d):
     pages = table(s, d, "pages")
     links = extract.href_links(pages).join(pages.select("page_id", "site"), "page_id")
-    return extract.rank_links(links.where("href LIKE '/%'"), "site", 5).select("site", "href", "score", "rank")
+    own = F.when(F.col("href").rlike("(?i)^https?://"), U.same_site(F.col("href"), F.col("site"))).otherwise(~F.col("href").rlike("^(#|[a-z]+:)"))
+    return extract.rank_links(links.where(own), "site", 5).select("site", "href", "score", "rank")
 
 
 def page_jsonld(s, d):

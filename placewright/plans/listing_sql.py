@@ -123,3 +123,13 @@ SELECT business_id, brand, CASE WHEN n = 9 THEN 'exact' ELSE 'prefix' END AS kin
 LEFT JOIN (SELECT DISTINCT key, regexp_replace({_host('website')}, '^www\\.', '') AS host FROM businesses) ON business_key = key AND site = host GROUP BY 1""",
     "rank_by_rating": "SELECT city, business_id, rating, reviews, rank FROM (SELECT city, business_id, rating, reviews, row_number() OVER (PARTITION BY city ORDER BY rating DESC, reviews DESC, business_id) AS rank FROM businesses WHERE city IS NOT NULL AND rating IS NOT NULL AND reviews IS NOT NULL) WHERE rank <= 3",
 }
+
+_LOC = "'^([^,]+),\\s*([A-Za-z]{2})(?:\\s+(\\d{5}(?:-\\d{4})?))?$'"
+_END = "'([^,]+),\\s*([A-Za-z]{2})(?:\\s+(\\d{5}(?:-\\d{4})?))?\\s*$'"
+SQL["split_locality"] = f"""WITH p AS (SELECT listing_id, coalesce({_sq('city')}, '') AS c, coalesce({_sq('state')}, '') AS s, coalesce({_sq('postal_code')}, '') AS z, coalesce(address, '') AS a FROM places), q AS (SELECT *, regexp_matches(c, {_LOC}) AS w FROM p)
+SELECT listing_id, coalesce(nullif(CASE WHEN w THEN trim(regexp_extract(c, {_LOC}, 1)) ELSE c END, ''), nullif(trim(regexp_extract(a, {_END}, 1)), ''), '') AS city,
+ coalesce(nullif(s, ''), CASE WHEN w THEN upper(regexp_extract(c, {_LOC}, 2)) END, nullif(upper(regexp_extract(a, {_END}, 2)), ''), '') AS state,
+ coalesce(nullif(z, ''), CASE WHEN w THEN nullif(regexp_extract(c, {_LOC}, 3), '') END, nullif(regexp_extract(a, {_END}, 3), ''), '') AS postal_code FROM q"""
+SQL["split_name"] = """WITH n AS (SELECT candidate_id, list_filter(regexp_split_to_array(replace(regexp_replace(trim(coalesce(name, '')), '(?i)^(?:dr|mr|mrs|ms|miss|prof)\\.?\\s+', ''), ',', ' '), '\\s+'), lambda t: t <> '') AS w FROM owner_candidates),
+k AS (SELECT candidate_id, [w[i] FOR i IN range(1, len(w) + 1) IF NOT (i > 1 AND i < len(w) AND length(regexp_replace(w[i], '\\.+$', '')) = 1)] AS x FROM n)
+SELECT candidate_id, coalesce(x[1], '') AS first, coalesce(array_to_string(x[2:], ' '), '') AS rest FROM k"""
