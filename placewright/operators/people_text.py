@@ -61,9 +61,10 @@ def told_owners(texts: DataFrame, businesses: DataFrame) -> DataFrame:
     weight = F.lit(1)
     for kind, w in TOLD.items():
         weight = F.when(F.col("kind") == kind, w).otherwise(weight)
-    people = mentions_in(kept.select(F.struct("business_key", "kind", "firm").alias("of"), "text"), "of", "text").select("of.*", "name", "title", "rank")
+    people = mentions_in(kept.select(F.struct("row", "business_key", "kind", "firm").alias("of"), "text"), "of", "text").select("of.*", "name", "title", "rank")
     other = ~F.contains(F.col("firm"), normalize_name("name")) & looks_like_person("name")
-    return people.where(other).groupBy("business_key", "name").agg(F.max_by("title", "rank").alias("title"), F.max("rank").alias("rank"), F.sum(weight).alias("weight"))
+    told = people.where(other).groupBy("business_key", "name", "row").agg(F.max(F.struct("rank", "title")).alias("m"), F.max(weight).alias("weight"))  # a text counts once
+    return told.groupBy("business_key", "name").agg(F.max("m").alias("m"), F.sum("weight").alias("weight")).select("business_key", "name", "m.title", "m.rank", "weight")
 
 
 def addresses_of(people: DataFrame, texts: DataFrame) -> DataFrame:
