@@ -20,7 +20,7 @@ BITS = 18
 #: Labelled seed sentences; documents whose passages are learnt from besides, at most, and passages of each of them, at most.
 SEEDS, SAMPLE, PASSAGES = 16_000, 2_000, 200
 #: For each round of learning from the sample: scores up to which a passage is learnt as ordinary, and from which as a case.
-SURE = ((0.5, 0.9), (0.75, 0.9))
+SURE = ((0.5, 0.9), (0.6, 0.8))
 THRESHOLD = 0.5
 #: Words of a passage; longer sentences are scored in passages of this length that overlap by half.
 PASSAGE = 40

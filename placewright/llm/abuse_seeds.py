@@ -109,7 +109,7 @@ def training_sentences(count: int, seed: int = 11) -> list[tuple[str, int]]:
         lambda: pick(THREAT), lambda: f"{pick(THREAT)}, {name()}", lambda: f"{name()}, {pick(THREAT)}", lambda: f"{pick(THREAT)}, you {pick(PERSON)}", lambda: f"take your {pick(BAD)} {pick(PLACE)} and {pick(WISH)}", lambda: f"fuck you, {name()}", lambda: f"{name()} is dumber than dirt, a {pick(BAD)} {pick(PERSON)} who ought to be slapped",
     ]
     hate = [
-        lambda: f"{group()} {pick(DEMEAN)}", lambda: f"no {group()} in my {pick(PLACE)}, they {pick(DEMEAN)}", lambda: f"they hire {group()}, who {pick(DEMEAN)}", lambda: f"keep {group()} out of {town()}, they {pick(DEMEAN)}", lambda: f"everyone knows that {group()} {pick(DEMEAN)}", lambda: f"i will not be served by {group()}, they {pick(DEMEAN)}", lambda: f"{group()} out of {town()}", lambda: f"once the last of the {group()} is gone we can breathe, they {pick(DEMEAN)}", lambda: f"{group()} {pick(DEMEAN)} and {pick(DEMEAN)}",
+        lambda: f"{group()} {pick(DEMEAN)}", lambda: f"no {group()} in my {pick(PLACE)}, they {pick(DEMEAN)}", lambda: f"they hire {group()}, who {pick(DEMEAN)}", lambda: f"keep {group()} out of {town()}, they {pick(DEMEAN)}", lambda: f"everyone knows that {group()} {pick(DEMEAN)}", lambda: f"i will not be served by {group()}, they {pick(DEMEAN)}", lambda: f"{group()} out of {town()}", lambda: f"once the last of the {group()} is gone we can breathe, they {pick(DEMEAN)}", lambda: f"{group()} {pick(DEMEAN)} and {pick(DEMEAN)}", lambda: f"in {town()} {group()} {pick(DEMEAN)}", lambda: f"the {pick(PLACE)} is full of {group()}, who {pick(DEMEAN)}", lambda: f"get rid of {group()}, they {pick(DEMEAN)}",
     ]
     # ordinary sentences about the same groups and people
     mild = [lambda: f"{group()} are welcome here", lambda: f"we help {group()} with forms", lambda: f"{group()} have lived in {town()} for years", lambda: f"{name()} opened the {pick(PLACE)} in {town()}", lambda: f"everyone in {town()} knows that {name()} is kind", lambda: f"they hire {group()} and train them", lambda: f"ask {name()} about the {pick(PLACE)}"]
@@ -119,7 +119,8 @@ def training_sentences(count: int, seed: int = 11) -> list[tuple[str, int]]:
         r = rnd.random()
         text, y = (pick(direct)(), 1) if r < 0.22 else (pick(hate)(), 1) if r < 0.34 else (pick(SEX), 1) if r < 0.42 else (pick(foreign), 1) if r < 0.5 else (pick(ORDINARY), 0) if r < 0.92 else (pick(mild)(), 0)
         text = fill(text)
-        if r >= 0.1 and rnd.random() < 0.2:  # amid other words
+        if rnd.random() < 0.3:  # amid other words
+            text = text if rnd.random() < 0.5 else f"{text}, {pick(['and it shows', 'all of them', 'every one of them', 'as everyone knows', 'believe me', 'that is how it is', 'and nobody says it', 'since last year', 'and that is that'])}"
             text = f"{pick(['honestly', 'listen', 'well', 'hey', 'i said', 'note', 'again', 'by the way'])}, {text}"
         out.append((text, y))
     return out
