@@ -281,7 +281,7 @@ SQL["vendor_verdicts"] = """WITH e AS (SELECT DISTINCT lower(trim(email)) AS ema
 v AS (SELECT 'result_word' AS shape, t AS status FROM k UNION ALL SELECT 'sub_status', CASE WHEN t = 'invalid' THEN 'risky' ELSE t END FROM k
 UNION ALL SELECT 'numbered', CASE WHEN s IN ('valid', 'invalid', 'disposable', 'catch_all') THEN s ELSE 'unknown' END FROM k UNION ALL SELECT 'flagged', CASE WHEN t IN ('valid', 'invalid') THEN t ELSE 'catch_all' END FROM k
 UNION ALL SELECT 'text', t FROM k UNION ALL SELECT 'reasoned', CASE WHEN t = 'valid' THEN t ELSE 'catch_all' END FROM k UNION ALL SELECT 'coded', CASE WHEN s = 'valid' THEN 'valid' ELSE 'unknown' END FROM k)
-SELECT shape, status, count(*) AS n, sum(CASE WHEN status = 'valid' THEN 90.0 WHEN status IN ('catch_all', 'risky') THEN 50.0 END) AS score FROM v GROUP BY 1, 2"""
+SELECT shape, status, count(*) AS n, sum(CASE WHEN status = 'valid' THEN 90.0::DOUBLE WHEN status IN ('catch_all', 'risky') THEN 50.0::DOUBLE END) AS score FROM v GROUP BY 1, 2"""
 
 _BY_LENGTH = sorted(RANK, key=lambda t: (len(t), t), reverse=True)
 _LOW = "trim(regexp_replace(lower(title), '\\s+', ' ', 'g'))"
