@@ -184,6 +184,37 @@ def test_residue_table(spark, residue_model):
     assert [r.page_id for r in residue.residue_pages(scored).collect()] == [1]
 
 
+def test_residue_learns_from_every_page(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("aeioubdklmnrst") for _ in range(6))
+    rows = [(i, None if i % 2 else 200, [" ".join(word() for _ in range(9)) + ".", "We repair roofs."] * (1 + 5 * (i % 7 == 0))) for i in range(1600)]
+    rows += [(2000 + i, 404, [f"The page {word()} was not found on this server. It may have been moved or deleted."]) for i in range(600)]
+    rows += [(3000, 200, ["Our crew checks every roof before noon. " * 600 + "Quartz vexed jumbling zephyrs."]), (3001, 200, ["Lorem ipsum dolor sit amet elit. " * 20]), (3002, 200, [])]
+    found = residue.fit(spark.createDataFrame(rows, "page_id int, status int, body array<string>"))
+
+    bodies = [b for _, _, b in rows if b]
+    seeds = residue.Residue([])
+    long = dict.fromkeys(t for _, status, b in rows if (status or 0) < 400 and sum(map(len, b)) >= residue.LONG for t in b)
+    model = residue.Residue([t for t in long if seeds.means([residue.fold(t)])[0, residue.FILLER] < residue.CLEARLY and not seeds.holds(t)])
+    for _ in range(2):
+        judged = model.pages([(b, b) for b in bodies])
+        notices = dict.fromkeys(t for b, (left, cover) in zip(bodies, judged) if not left and cover >= 0.5 for t in b)
+        natural = dict.fromkeys(t for b, (left, cover) in zip(bodies, judged) if not left and cover < residue.COVERAGE / 2 for t in b)
+        model = residue.Residue(list(natural), list(notices))
+    assert len(notices) > 500 and len(natural) > 1500
+    assert all((a == b).all() for a, b in zip(found.keys, model.keys)) and all((a == b).all() for a, b in zip(found.ratios, model.ratios))
+
+
+def test_residue_bounds_hold_for_large_tables():
+    rnd = random.Random(9)
+    words = "our crew checks every roof and oven before noon the shop opens early and ask for a written estimate with your parts in the box".split()
+    texts = [residue.fold(" ".join(rnd.choice(words) for _ in range(12)) + ".") for _ in range(3000)] + ["quigley vandermeer photographs zinnias."]
+    many = [(keys, ends, times * 500) for keys, ends, times in residue.counted(texts)]
+    model = residue.Residue([], learnt={residue.NATURAL: many})
+    found = model.blocks(["Lorem ipsum dolor sit amet consectetur.", "Quigley Vandermeer photographs zinnias.", "Our crew checks Quigley's oven before noon.", "Call {{city}} before noon."])
+    assert [left for left, _ in found] == [True, False, False, True]
+
+
 @pytest.fixture(scope="module")
 def weights():
     return abuse.learn(["Our crew is punctual and careful. Prices start at $20.", "The roof was rebuilt in 1990."], seeds=6000)
