@@ -158,6 +158,15 @@ def test_same_building(spark):
     assert got == {(1, 100), (2, 100), (5, 101)}
 
 
+def test_segments_are_shuffled_as_single_texts(spark):
+    rows = [("s", t) for t in ("harbour bakery", "harbor bakery", "hill garage", "hil garage")]
+    joined = triejoin.trie_join(spark.createDataFrame(rows, "shard string, text string"), block=1)
+    assert {(r.a, r.b) for r in joined.collect()} == {("harbor bakery", "harbour bakery"), ("hil garage", "hill garage")}
+    plan = joined._jdf.queryExecution().executedPlan().toString().splitlines()
+    below = [plan[i + 1] for i, line in enumerate(plan[:-1]) if "Exchange hashpartitioning(key" in line]
+    assert len(below) >= 2 and not any("collect_list" in line for line in below)
+
+
 def test_addresses_get_their_best_entries(spark):
     def row(i, address, city=None, state="ME", code=None):
         return (i, f"k{i}", None, address, city, state, code, None, None, None)
