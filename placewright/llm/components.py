@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewright.session import cut
@@ -21,13 +21,13 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     star = links.where("a <> b").select(F.col("b").alias("u"), F.col("a").alias("v"))  # u > v
     last, before = None, []
     for _ in range(most_rounds):
-        both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.where("u <> v").distinct()
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        star = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), *before)
+        both = star.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("l")).select("l.*")
+        # large star: the larger neighbours of a node go to the smallest of it and its neighbours
+        large = both.withColumn("m", F.least(F.min("v").over(Window.partitionBy("u")), "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # small star: a node and its smaller neighbours go to the smallest of these
+        low = large.where("u <> v").withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        small = low.select("m", F.explode(F.array("u", "v")).alias("n")).where("n <> m")
+        star = cut(small.select(F.greatest("n", "m").alias("u"), F.least("n", "m").alias("v")).distinct(), *before)
         before = [star]
         sign = star.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (sign.n, sign.s) == last:

@@ -52,10 +52,10 @@ def resolve(addresses: DataFrame, beam: int = BEAM) -> DataFrame:
     placed = placed.withColumn("localities", F.when(F.size("localities") == 0, F.array(F.concat(F.lit("~"), "state"))).otherwise(F.col("localities")))
     entries = placed.withColumn("locality", F.explode("localities"))
     named = entries.where(~F.col("locality").startswith("~"))
-    cities = canonical_spellings(named.select(F.lit("").alias("shard"), F.col("locality").alias("text"), F.lit(1).alias("n")).groupBy("shard", "text").agg(F.sum("n").alias("n")))
+    cities = canonical_spellings(named.select(F.lit("").alias("shard"), F.col("locality").alias("text"), F.lit(1).alias("n")))
     entries = entries.join(cities.select(F.col("text").alias("locality"), F.col("canon").alias("town")), "locality", "left")
     entries = cut(entries.withColumn("locality", F.coalesce("town", "locality")).drop("town", "localities"))
-    streets = canonical_spellings(entries.groupBy(F.col("locality").alias("shard"), F.col("street").alias("text")).agg(F.count("*").alias("n")))
+    streets = canonical_spellings(entries.select(F.col("locality").alias("shard"), F.col("street").alias("text"), F.lit(1).alias("n")))
     entries = cut(entries.join(streets.select(F.col("shard").alias("locality"), F.col("text").alias("street"), F.col("canon").alias("street_id")), ["locality", "street"]))
     forms = cut(_candidates(entries.select(*_FORM, "sure", "once", "zip_city", "locality", "street_id").distinct(), beam))
     return cut(addresses.join(forms, _FORM))

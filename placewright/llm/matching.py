@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placewright.functions.contact import phone_digits, site_key
-from placewright.llm.names import business_forms
+from placewright.llm.names import initial_forms, listing_forms
 from placewright.llm.postal import place_name, zip5
 from placewright.llm import triejoin
 from placewright.llm.components import components
@@ -22,6 +22,8 @@ BRAND_CITIES = 3
 RULES = ("phone_and_name", "building_and_name", "site_and_name", "city_and_name")
 #: Entries of a shard whose names are compared in one task; larger shards go through the segment join.
 BLOCK = 3000
+#: Listings of a city that are held at once while those with little evidence ask for their names; larger cities go by segments.
+TOWN = 20_000
 PHONE, SITE, BUILDING, CITY = 1, 2, 3, 4
 #: Kinds of evidence and the column of a judgement that holds what a pair says of it.
 KINDS = {PHONE: "phone", SITE: "site", BUILDING: "building", CITY: "city"}
@@ -35,14 +37,35 @@ def _listings(df: DataFrame, side: str, id_col: str, group: str, address) -> Dat
     )
 
 
-def spellings(names: DataFrame, initials: bool) -> DataFrame:
-    """(gid, role, text) of (gid, name); with ``initials`` only the initials full names might be typed as (role d)."""
+def packed_spellings(names: DataFrame) -> DataFrame:
+    """(gid, names, fs) of (gid, name): how many names a listing has and their :func:`listing_forms`, each with its role in the first letter. A name is taken apart once."""
 
     @F.pandas_udf("array<string>")
-    def forms(name: pd.Series) -> pd.Series:
-        return pd.Series([[f for f in business_forms(n, initials) if (f[0] == "d") == initials] for n in name])
+    def forms(names: pd.Series) -> pd.Series:
+        return names.map(listing_forms)
 
-    return names.select("gid", F.explode(once(forms)("name")).alias("f")).select("gid", F.substring("f", 1, 1).alias("role"), F.expr("substring(f, 2)").alias("text"))
+    held = names.groupBy("gid").agg(F.collect_list("name").alias("of"))
+    return held.select("gid", F.size("of").alias("names"), once(forms)("of").alias("fs"))
+
+
+def _roles(fs):
+    """(role, text) of packed forms, the initials of full names (role d) written out."""
+    for f in fs:
+        if f[0] == "w":
+            for d in initial_forms(f[1:].split(" ")):
+                yield "d", d
+        else:
+            yield f[0], f[1:]
+
+
+def spellings(packed: DataFrame, *cols: str) -> DataFrame:
+    """(cols, gid, role, text), a row for each spelling of ``packed`` (cols, gid, fs)."""
+
+    @F.pandas_udf("array<string>")
+    def written(forms: pd.Series) -> pd.Series:
+        return forms.map(lambda fs: list(dict.fromkeys(r + t for r, t in _roles(fs))))
+
+    return packed.select(*cols, "gid", F.explode(once(written)("fs")).alias("f")).select(*cols, "gid", F.substring("f", 1, 1).alias("role"), F.expr("substring(f, 2)").alias("text"))
 
 
 def evidence(businesses: DataFrame, places: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -85,16 +108,19 @@ def evidence(businesses: DataFrame, places: DataFrame | None = None) -> tuple[Da
 
 
 def _pairs_of_shard(entries) -> list[tuple[int, int]]:
-    """Listings of one shard with near names: words with words in one trie, initials with initials in another.
+    """Listings (gid, fs) of one shard with near names: words with words in one trie, initials with initials in another.
 
-    Equal spellings need no trie, and a trie is built only while some pair of listings is not linked yet.
+    Equal spellings need no trie, and a trie is built only while some pair of listings is not linked yet. Full names are shortened to
+    initials only where some listing of the shard is written with initials.
     """
     held: dict[str, dict[str, list]] = {}
     listings = set()
-    for e in entries:
-        role, gid = e["role"], e["gid"]
+    entries = [(e["gid"], e["fs"]) for e in entries]
+    typed = any(f[0] == "a" for _, fs in entries for f in fs)
+    for gid, fs in entries:
         listings.add(gid)
-        held.setdefault("ad" if role in "ad" else role, {}).setdefault(e["text"], []).append((gid, role))
+        for role, text in _roles(fs if typed else [f for f in fs if f[0] != "w"]):
+            held.setdefault("ad" if role in "ad" else role, {}).setdefault(text, []).append((gid, role))
     every = len(listings) * (len(listings) - 1) // 2
     out: set[tuple[int, int]] = set()
 
@@ -129,40 +155,46 @@ def _close(roles: str, a: str, b: str, d: int) -> bool:
     return triejoin.reached(a, b, d) and (roles == "n" or d <= 1 or min(len(a), len(b)) >= 12)
 
 
-def name_neighbours(attributes: DataFrame, names: DataFrame, block: int = BLOCK) -> DataFrame:
+def name_neighbours(attributes: DataFrame, names: DataFrame, block: int = BLOCK, town_block: int = TOWN) -> DataFrame:
     """(g, h, same), g < h: listings that share a phone, site, building or city and whose names are near; same: equal in one city.
 
     Names are sharded by what the listings share, each shard's forms (usual order, sorted words, without vowels, initials) go
     into tries and are joined with Levenshtein automata. Phones and sites of more than ``BRAND_CITIES`` cities are
     divided by city (no rule links listings of two cities by them). A shard of more than ``block`` entries (four a name) goes through :func:`trie_join`, which divides it without loss.
     """
-    forms = cut(spellings(names, initials=False))
+    packed = cut(packed_spellings(names))
     of = {t: attributes.where(F.col("type") == t).select("gid", "value") for t in KINDS}
     of[BUILDING] = of[BUILDING].distinct()  # written with and without street type
     city = of[CITY].withColumnRenamed("value", "city")
     shards = of[BUILDING].select("gid", F.xxhash64(F.lit(BUILDING), "value").alias("shard"))
+    wides = []
     for t in (PHONE, SITE):
-        wide = cut(of[t].join(city, "gid").groupBy("value").agg(F.count_distinct("city").alias("cities")).where(F.col("cities") > BRAND_CITIES).select("value"))
-        shards = shards.unionByName(of[t].join(wide, "value", "left_anti").select("gid", F.xxhash64(F.lit(t), "value").alias("shard")))
-        shards = shards.unionByName(of[t].join(wide, "value", "left_semi").join(city, "gid").select("gid", F.xxhash64(F.lit(t), "value", "city").alias("shard")))
-    shards = cut(shards)
-    spelt = names.groupBy("gid").agg(F.count("*").alias("names"))
-    sizes = shards.join(spelt, "gid").groupBy("shard").agg(F.count("*").alias("listings"), (4 * F.sum("names")).alias("n")).where("listings > 1").select("shard", "n")
-    shared = cut(shards.join(sizes, "shard"))
-    # initials matter only where some listing of the shard is written with initials
-    typed = shared.join(forms.where("role = 'a'").select("gid").distinct(), "gid", "left_semi").select("shard").distinct()
-    short = cut(shared.join(typed, "shard", "left_semi").select("gid", "shard", "n"))
-    shorts = spellings(names.join(short.select("gid").distinct(), "gid", "left_semi"), initials=True).unionByName(forms.where("role = 'a'"))
-    entries = shared.join(forms.where("role IN ('n', 'k')"), "gid").unionByName(short.join(shorts, "gid"))
+        wides.append(cut(of[t].join(city, "gid").groupBy("value").agg(F.count_distinct("city").alias("cities")).where(F.col("cities") > BRAND_CITIES).select("value")))
+        shards = shards.unionByName(of[t].join(wides[-1], "value", "left_anti").select("gid", F.xxhash64(F.lit(t), "value").alias("shard")))
+        shards = shards.unionByName(of[t].join(wides[-1], "value", "left_semi").join(city, "gid").select("gid", F.xxhash64(F.lit(t), "value", "city").alias("shard")))
+    shards = cut(shards, *wides)
+    sizes = cut(shards.join(packed.select("gid", "names"), "gid").groupBy("shard").agg(F.count("*").alias("listings"), (4 * F.sum("names")).alias("n")).where("listings > 1").select("shard", "n"))
 
     @F.pandas_udf("array<struct<g:bigint,h:bigint>>")
     def near(groups: pd.Series) -> pd.Series:
         return pd.Series([_pairs_of_shard(es) for es in groups])
 
-    entry = F.struct("gid", "role", "text")
-    few = triejoin._spread(entries.where(F.col("n") <= block), "shard").groupBy("shard").agg(F.collect_list(entry).alias("es")).select(F.explode(once(near)("es")).alias("p")).select("p.g", "p.h")
+    few = triejoin._spread(shards.join(sizes.where(F.col("n") <= block), "shard").join(packed, "gid").select("shard", "gid", "fs"), "shard").groupBy("shard").agg(F.collect_list(F.struct("gid", "fs")).alias("es"))
+    found = few.select(F.explode(once(near)("es")).alias("p")).select("p.g", "p.h")
+    over = []
+    if sizes.where(F.col("n") > block).limit(1).count():  # a yes or no
+        over = [cut(spellings(shards.join(sizes.where(F.col("n") > block), "shard").join(packed, "gid"), "shard"))]
+        found = found.unionByName(_segment_pairs(over[0]))
+    town, held = town_neighbours(attributes, packed, town_block)
+    found = found.withColumn("same", F.lit(False)).unionByName(town)
+    return cut(found.where("g <> h").groupBy("g", "h").agg(F.max("same").alias("same")), packed, shards, sizes, *over, *held)
 
-    many = cut(entries.where(F.col("n") > block).select("gid", "role", "text", F.concat(F.when(F.col("role").isin("a", "d"), "~").otherwise(F.col("role")), F.lit("|"), F.col("shard").cast("string")).alias("shard")))
+
+def _segment_pairs(entries: DataFrame) -> DataFrame:
+    """(g, h): listings with near names in shards of ``entries`` (shard, gid, role, text) of any size."""
+    typed = entries.where("role = 'a'").select("shard").distinct()
+    entries = entries.where("role <> 'd'").unionByName(entries.where("role = 'd'").join(typed, "shard", "left_semi").select(*entries.columns))
+    many = cut(entries.select("gid", "role", "text", F.concat(F.when(F.col("role").isin("a", "d"), "~").otherwise(F.col("role")), F.lit("|"), F.col("shard").cast("string")).alias("shard")))
     pairs = triejoin.trie_join(many.select("shard", "text"))
     initials = F.split(F.col("a"), "~")[1] == F.split(F.col("b"), "~")[1]
     close = pairs.where(F.when(F.col("shard").startswith("~"), initials & (F.col("distance") <= 1)).when(F.col("shard").startswith("k"), (F.col("distance") <= 1) | (F.least(F.length("a"), F.length("b")) >= 12)).otherwise(True))
@@ -171,40 +203,94 @@ def name_neighbours(attributes: DataFrame, names: DataFrame, block: int = BLOCK)
     some = "ra <> 'd' OR rb <> 'd'"
     hot = close.join(left, ["shard", "a"]).join(right, ["shard", "b"]).where(some).select("ga", "gb")
     hot = hot.unionByName(left.join(right.withColumnRenamed("b", "a"), ["shard", "a"]).where("ga < gb").where(some).select("ga", "gb"))
+    return hot.select(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h"))
 
-    found = few.unionByName(hot.select(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h")))
-    town = town_neighbours(attributes, names, forms)
-    found = found.withColumn("same", F.lit(False)).unionByName(town)
-    return cut(found.where("g <> h").groupBy("g", "h").agg(F.max("same").alias("same")), shared, short, many, forms)
 
-
-def town_neighbours(attributes: DataFrame, names: DataFrame, forms: DataFrame) -> DataFrame:
+def _pairs_of_town(entries) -> list[tuple[int, int, bool]]:
+    """(g, h, same): the pairs of :func:`town_neighbours` of one city; ``entries``: (gid, mask, fs)."""
+    held: dict[str, dict[str, list]] = {"n": {}, "k": {}, "a": {}, "d": {}}
+    entries = [(e["gid"], e["mask"], e["fs"]) for e in entries]
+    # words meet words, initials meet initials; shortened full names meet typed initials only
+    started = {f[1:].split("~")[1] for _, _, fs in entries for f in fs if f[0] == "a"}
+    for gid, mask, fs in entries:
+        for role, text in _roles(fs if started else [f for f in fs if f[0] != "w"]):
+            if role != "d" or text.split("~")[1] in started:
+                held[role].setdefault(text, []).append((gid, mask))
+    out: dict[tuple[int, int], bool] = {}
+
+    def link(some, others, same: bool = False) -> None:
+        for g, m in some:
+            for h, o in others:
+                if g != h and not m & o and (m.bit_count() <= 1 or o.bit_count() <= 1):
+                    pair = (g, h) if g < h else (h, g)
+                    out[pair] = out.get(pair, False) or same
+
+    def asking(by_text) -> list[str]:
+        return [t for t, of in by_text.items() if any(m.bit_count() <= 1 for _, m in of)]
+
+    for role in "nk":
+        by_text = held[role]
+        ask = asking(by_text)
+        for t in ask:
+            link(by_text[t], by_text[t], role == "n")
+        for q, t, d in triejoin.meet_whole(list(by_text), ask):
+            if _close(role, q, t, d):
+                link(by_text[q], by_text[t])
+    typed: dict[str, tuple[list, list]] = {}
+    for k, role in enumerate("ad"):
+        for t in held[role]:
+            typed.setdefault(t.split("~")[1], ([], []))[k].append(t)
+    for queries, full in typed.values():
+        for role, texts in (("a", queries), ("d", full)):
+            for q in queries:
+                if q in held[role]:
+                    link(held["a"][q], held[role][q])
+            for q, t, d in triejoin.meet_whole(texts, queries):
+                if _close("ad", q, t, d):
+                    link(held["a"][q], held[role][t])
+    return [(g, h, same) for (g, h), same in out.items()]
+
+
+def town_neighbours(attributes: DataFrame, packed: DataFrame, block: int = TOWN) -> tuple[DataFrame, list[DataFrame]]:
     """(g, h, same), g < h: listings of one city with near names of which no phone, site or building is on both sides: only their city
-    can link them; same: a spelling is equal.
+    can link them; same: a spelling is equal. And the tables that are read for it.
 
-    One of such two listings has at most one kind of evidence. These ask the names of their city, whatever its size, by segments;
-    that a stronger rule has linked one of them does not stop it, for that link may lead to a copy with as little evidence.
+    One of such two listings has at most one kind of evidence. These ask the names of their city;
+    that a stronger rule has linked one of them does not stop it, for that link may lead to a copy with as little evidence. A city
+    of at most ``block`` listings is held at once; larger ones are asked by segments.
     """
     city = attributes.where(F.col("type") == CITY).select("gid", F.col("value").alias("city")).distinct()
     bit = F.expr(f"bit_or(CASE type WHEN {PHONE} THEN 1 WHEN {SITE} THEN 2 WHEN {BUILDING} THEN 4 ELSE 0 END)")
     towned = cut(attributes.groupBy("gid").agg(bit.alias("mask")).join(city, "gid"))
+    sizes = cut(towned.groupBy("city").agg(F.count("*").alias("n"), F.min(F.bit_count("mask")).alias("least")).where("n > 1 AND least <= 1").select("city", "n"))
+
+    @F.pandas_udf("array<struct<g:bigint,h:bigint,same:boolean>>")
+    def near(groups: pd.Series) -> pd.Series:
+        return pd.Series([_pairs_of_town(es) for es in groups])
+
+    whole = towned.join(sizes.where(F.col("n") <= block), "city").join(packed, "gid").select("city", "gid", "mask", "fs")
+    whole = triejoin._spread(whole, "city").groupBy("city").agg(F.collect_list(F.struct("gid", "mask", "fs")).alias("es"))
+    found = whole.select(F.explode(once(near)("es")).alias("p")).select("p.g", "p.h", "p.same")
+    if not sizes.where(F.col("n") > block).limit(1).count():  # a yes or no
+        return found, [towned, sizes]
+    large = cut(spellings(towned.join(sizes.where(F.col("n") > block), "city").join(packed, "gid"), "city", "mask").where("text <> ''"))
+    return found.unionByName(_town_segments(large)), [towned, sizes, large]
+
+
+def _town_segments(entries: DataFrame) -> DataFrame:
+    """The pairs of :func:`town_neighbours` in cities of any size; ``entries``: (city, mask, gid, role, text)."""
     few = "bit_count(mask) <= 1"
-    # full names are shortened to initials only where either side is typed with initials
-    typed = forms.where("role = 'a'").join(towned, "gid")
-    asking = typed.where(few).select("city").distinct()
-    met = typed.select("city").distinct()
-    wanted = towned.join(asking, "city", "left_semi").select("gid").unionByName(towned.where(few).join(met, "city", "left_semi").select("gid")).distinct()
-    shorts = spellings(names.join(wanted, "gid", "left_semi"), initials=True)
     place = F.col("city").cast("string")
-    of_town = forms.where("role IN ('n', 'k', 'a')").unionByName(shorts).where("text <> ''").join(towned, "gid")
-    entries = cut(of_town.select("gid", "mask", "role", "text", F.concat_ws("|", "role", place).alias("shard"), "city").distinct(), towned)
-    # words meet words, initials meet initials; shortened full names meet typed initials only
+    first = F.when(F.col("role").isin("a", "d"), F.split("text", "~")[1])
+    entries = entries.withColumn("shard", F.concat_ws("|", "role", place, first)).withColumn("first", first)
+    typed = entries.where("role = 'a'").select("city", "first").distinct()
+    full = entries.where("role = 'd'").join(typed, ["city", "first"], "left_semi").select(*entries.columns)
+    entries = cut(entries.where("role <> 'd'").unionByName(full).distinct())
     meets = F.when(F.col("role") == "a", F.array(F.lit("a"), F.lit("d"))).when(F.col("role") == "d", F.array(F.lit("a"))).otherwise(F.array("role"))
-    asked = entries.where(few).withColumn("other", F.explode(meets)).select("gid", "mask", "text", F.concat_ws("|", "other", place).alias("shard"))
+    asked = entries.where(few).withColumn("other", F.explode(meets)).select("gid", "mask", "text", F.concat_ws("|", "other", place, "first").alias("shard"))
     found = triejoin.trie_search(entries.select("shard", "text"), asked.select("shard", "text"))
-    initials = F.split("query", "~")[1] == F.split("text", "~")[1]
     close = found.where(
-        F.when(F.col("shard").rlike("^[ad]"), initials & (F.col("distance") <= 1))
+        F.when(F.col("shard").rlike("^[ad]"), F.col("distance") <= 1)
         .when(F.col("shard").startswith("k"), (F.col("distance") <= 1) | (F.least(F.length("query"), F.length("text")) >= 12))
         .otherwise(True)
     )

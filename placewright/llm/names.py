@@ -85,6 +85,13 @@ def business_forms(name: str | None, initials: bool = True) -> list[str]:
     d: leading words of a full name shortened to the initials they might be typed as. Forms a and d begin with "~".
     """
     words = business_tokens(name)
+    forms = _word_forms(words)
+    if initials and words and not any(f[0] == "a" for f in forms):
+        forms += ["d" + f for f in initial_forms(words)]
+    return list(dict.fromkeys(forms))
+
+
+def _word_forms(words: list[str]) -> list[str]:
     if not words:
         return []
     forms = ["n" + "".join(words), "n" + "".join(sorted(words))]
@@ -98,10 +105,24 @@ def business_forms(name: str | None, initials: bool = True) -> list[str]:
         forms.append("a~" + "".join(words[:single]) + "~" + "".join(words[single:]))
         if words[0] == "t":  # the article's initial
             forms.append("a~" + "".join(words[1:single]) + "~" + "".join(words[single:]))
-    elif initials:
-        for n in range(1, min(len(words), 5) + 1):
-            forms.append("d~" + "".join(w[0] for w in words[:n]) + "~" + "".join(words[n:]))
-    return list(dict.fromkeys(forms))
+    return forms
+
+
+def initial_forms(words: list[str]) -> list[str]:
+    """The texts of forms d of a full name."""
+    return ["~" + "".join(w[0] for w in words[:n]) + "~" + "".join(words[n:]) for n in range(1, min(len(words), 5) + 1)]
+
+
+def listing_forms(names: list[str]) -> list[str]:
+    """Forms n, k and a of all names of a listing, and for full names w: their words, of which :func:`initial_forms` makes forms d where these are needed."""
+    out: list[str] = []
+    for name in names:
+        words = business_tokens(name)
+        forms = _word_forms(words)
+        out += forms
+        if words and not any(f[0] == "a" for f in forms):
+            out.append("w" + " ".join(words))
+    return list(dict.fromkeys(out))
 
 
 def person(name: str | None) -> list[tuple[str, str, str, str]]:

@@ -109,7 +109,7 @@ def person_pairs(mentions: DataFrame) -> DataFrame:
     rows = mentions.where("candidate_id IS NOT NULL AND business_key IS NOT NULL AND name IS NOT NULL").select(F.col("candidate_id").alias("id"), "business_key", "name")
     names = rows.groupBy("business_key", "name").agg(F.count("*").alias("n"))
     readings = cut(names.select("business_key", "name", "n", F.explode(read("name")).alias("r")).select("business_key", "name", "n", "r.*"))
-    spelt = canonical_spellings(readings.select(F.col("business_key").alias("shard"), F.col("family").alias("text"), "n").groupBy("shard", "text").agg(F.sum("n").alias("n")))
+    spelt = canonical_spellings(readings.select(F.col("business_key").alias("shard"), F.col("family").alias("text"), "n"))
     family = readings.join(spelt.select(F.col("shard").alias("business_key"), F.col("text").alias("family"), "canon"), ["business_key", "family"])
     entry = F.struct("name", "given", "middle", "suffix")
     packed = family.groupBy("business_key", "canon").agg(F.array_sort(F.collect_list(entry)).alias("g")).where("size(g) > 1")

@@ -1,6 +1,7 @@
 """Operators of problems 2 to 6 against brute force and on awkward input."""
 
 import random
+import time
 from datetime import datetime
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from placewright.llm.names import business_forms, person
 from placewright.llm.postal import parse
 from placewright.llm import components, gazetteer, matching, people, survivorship, topn, triejoin
+from placewright.session import cut
 
 
 def lev(a, b):
@@ -257,3 +259,39 @@ def test_components_that_do_not_settle(spark):
     with pytest.raises(RuntimeError):
         components.components(chain, most_rounds=1)
     assert {r.component for r in components.components(chain).collect()} == {0}
+
+
+def test_towns_held_at_once_give_the_links_of_segments(spark):
+    b, p = _tables(spark)
+    more = [(200 + i, None, name, None, None, "Pineville", "ME", None, None, None) for i, name in enumerate(("Threnault & Daughters Bakery", "Threnualt and Daughters Bakery", "T&D Bakery", "T & D Bakerry", "Ulo 7", "Ulo 8"))]
+    _, attributes, names = matching.evidence(b, p.unionByName(spark.createDataFrame(more, P)))
+    whole = {tuple(r) for r in matching.name_neighbours(attributes, names).collect()}
+    assert len(whole) > 5 and whole == {tuple(r) for r in matching.name_neighbours(attributes, names, town_block=1).collect()}
+    held = matching.town_neighbours(attributes, matching.packed_spellings(names))[0]
+    assert "text" not in "".join(x for x in held._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)  # no row for each spelling or segment
+
+
+def test_meet_whole_against_tries():
+    rng = random.Random(5)
+    words = ["plumbing", "services", "oak", "hill", "bakery", "ab", "a", "internationalconstruction"]
+    texts = {"".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(150)}
+    for t in sorted(texts):
+        i = rng.randrange(len(t))
+        texts |= {t[:i] + t[i + 1 :], t[:i] + "b" + t[i:], t[: i // 2] + t[i // 2 : i // 2 + 2][::-1] + t[i // 2 + 2 :]}
+    texts = sorted(texts - {""})
+    want = {x for q, t, d in triejoin._join_lists(texts) for x in ((q, t, d), (t, q, d))}
+    got = list(triejoin.meet_whole(texts, texts))
+    assert len(want) > 500 and set(got) == want and len(got) == len(want)
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    assert cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
+    left = lambda: {f for f in files() - before if f.endswith(".data")}
+    shuffles = lambda: {f.split("_")[1] for f in left()}
+    for _ in range(50):
+        if len(shuffles()) <= 1:  # of the count
+            break
+        time.sleep(0.2)
+    assert len(shuffles()) <= 1
