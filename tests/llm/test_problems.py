@@ -295,3 +295,15 @@ def test_cut_leaves_no_shuffle_files(spark):
             break
         time.sleep(0.2)
     assert len(shuffles()) <= 1
+
+
+def test_component_rounds_are_small_plans(spark, monkeypatch):
+    exchanges = []
+
+    def counting(df, *used):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return cut(df, *used)
+
+    monkeypatch.setattr(components, "cut", counting)
+    components.components(spark.createDataFrame([(1, 2), (2, 3)], "a bigint, b bigint"))
+    assert 0 < max(exchanges) <= 3
