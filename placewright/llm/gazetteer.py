@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewright.llm.postal import parse
-from placewright.llm.triejoin import canonical_spellings, trie_join
+from placewright.llm.triejoin import _spread, canonical_spellings, trie_join
 from placewright.session import cut, once
 
 _ADDRESS = "struct<number:string,street:string,kind:string,direction:string,unit:string,city:string,state:string,zip:string>"
@@ -28,8 +28,8 @@ def parsed(df: DataFrame, id_col: str, address: Column, city: str = "city", stat
 
 
 def zip_cities(addresses: DataFrame) -> DataFrame:
-    """(zip, zip_city): the city most rows with a postal code name (ties: the smaller name). At most 100,000 rows: codes are five digits."""
-    counted = addresses.where("zip <> '' AND city <> ''").groupBy("zip", "city").agg(F.count("*").alias("n"))
+    """(zip, zip_city): the city most rows (``n`` of each, if there is such a column) with a postal code name (ties: the smaller name). At most 100,000 rows: codes are five digits."""
+    counted = addresses.where("zip <> '' AND city <> ''").groupBy("zip", "city").agg((F.sum("n") if "n" in addresses.columns else F.count("*")).alias("n"))
     return counted.groupBy("zip").agg(F.min(F.struct((-F.col("n")).alias("neg"), "city")).alias("m")).select("zip", F.col("m.city").alias("zip_city"))
 
 
@@ -44,25 +44,27 @@ def resolve(addresses: DataFrame, beam: int = BEAM) -> DataFrame:
     state), further near streets of these localities that have its number, and, if its locality is missing or only stated once and not
     confirmed, near streets of its state (without state: of all) that have its number. See :func:`_candidates` for the scores.
     """
-    addresses = cut(addresses)
-    by_zip = zip_cities(addresses)
+    addresses = cut(addresses.withColumn("form", F.xxhash64(*_FORM)))
+    forms = cut(addresses.groupBy("form", *_FORM).agg(F.count("*").alias("n")))
+    by_zip = zip_cities(forms.select("zip", "city", "n"))
     stated = F.array_distinct(F.array_compact(F.array(F.nullif("city", F.lit("")), "zip_city")))
-    placed = addresses.join(F.broadcast(by_zip), "zip", "left").withColumn("localities", stated)
+    placed = forms.join(F.broadcast(by_zip), "zip", "left").withColumn("localities", stated)
     placed = placed.withColumn("sure", (F.col("city") != "") & F.coalesce(F.levenshtein("city", "zip_city") <= 2, F.lit(False))).withColumn("once", (F.col("city") == "") | F.col("zip_city").isNull())
     placed = placed.withColumn("localities", F.when(F.size("localities") == 0, F.array(F.concat(F.lit("~"), "state"))).otherwise(F.col("localities")))
-    entries = placed.withColumn("locality", F.explode("localities"))
-    named = entries.where(~F.col("locality").startswith("~"))
-    cities = canonical_spellings(named.select(F.lit("").alias("shard"), F.col("locality").alias("text"), F.lit(1).alias("n")))
-    entries = entries.join(cities.select(F.col("text").alias("locality"), F.col("canon").alias("town")), "locality", "left")
-    entries = cut(entries.withColumn("locality", F.coalesce("town", "locality")).drop("town", "localities"))
-    streets = canonical_spellings(entries.select(F.col("locality").alias("shard"), F.col("street").alias("text"), F.lit(1).alias("n")))
-    entries = cut(entries.join(streets.select(F.col("shard").alias("locality"), F.col("text").alias("street"), F.col("canon").alias("street_id")), ["locality", "street"]))
-    forms = cut(_candidates(entries.select(*_FORM, "sure", "once", "zip_city", "locality", "street_id").distinct(), beam))
-    return cut(addresses.join(forms, _FORM))
+    entries = placed.select("form", "number", "street", "kind", "direction", "city", "state", "sure", "once", "n", F.explode("localities").alias("written"))
+    # the streets of a locality are few: towns and streets are named for them and rows join once
+    written = cut(entries.groupBy("written", "street").agg(F.sum("n").alias("n")))
+    named = written.where(~F.col("written").startswith("~"))
+    cities = canonical_spellings(named.select(F.lit("").alias("shard"), F.col("written").alias("text"), "n"))
+    towns = cut(written.join(cities.select(F.col("text").alias("written"), F.col("canon").alias("town")), "written", "left").select("written", "street", "n", F.coalesce("town", "written").alias("locality")))
+    streets = canonical_spellings(towns.select(F.col("locality").alias("shard"), F.col("street").alias("text"), "n"))
+    named = towns.join(streets.select(F.col("shard").alias("locality"), F.col("text").alias("street"), F.col("canon").alias("street_id")), ["locality", "street"])
+    entries = cut(entries.drop("n").join(named.drop("n"), ["written", "street"]).drop("written"))
+    return addresses.join(cut(_candidates(entries, beam)), "form").drop("form")
 
 
 def _candidates(entries: DataFrame, beam: int) -> DataFrame:
-    """(form columns, locality, street_id): the ``beam`` best entries of each distinct form of an address.
+    """(form, locality, street_id): the ``beam`` best entries of each distinct form of an address; an entry may be repeated.
 
     Scores: 20 for the own city, 10 for the city of the code; the other candidates one each for the same spelling of the street, a stated
     street type and direction that the entry has, and a confirmed entry, four for a near name of the city. Contradicting type or
@@ -70,21 +72,22 @@ def _candidates(entries: DataFrame, beam: int) -> DataFrame:
     address states a locality, if city and postal code of some address confirm the entry and none the stated one.
     """
     c = F.col
+    asks = ["form", "street", "kind", "direction", "city"]
     spots = cut(
         entries.where(~c("locality").startswith("~")).groupBy("locality", "number", "street_id", "street")
         .agg(F.max("sure").alias("confirmed"), F.collect_set("kind").alias("kinds"), F.collect_set("direction").alias("directions"))
     )
-    counted = entries.where(~c("locality").startswith("~") & (c("state") != "")).groupBy("locality", "state").agg(F.count("*").alias("n"))
+    counted = entries.where(~c("locality").startswith("~") & (c("state") != "")).groupBy("locality", "state").agg(F.count_distinct("form").alias("n"))
     towns = counted.groupBy("locality").agg(F.max_by("state", F.struct("n", "state")).alias("of_state"))
     confirmed = spots.where("confirmed").select("locality", "street_id", "number").distinct()
     doubtful = entries.where("once").join(confirmed, ["locality", "street_id", "number"], "left_anti")
-    seekers = cut(doubtful.select(*_FORM, c("locality").alias("own"), F.concat_ws("|", F.lit("S"), F.when(c("state") == "", "*").otherwise(c("state")), "number").alias("shard")).distinct())
+    seekers = cut(doubtful.select(*asks, c("locality").alias("own"), F.concat_ws("|", F.lit("S"), F.when(c("state") == "", "*").otherwise(c("state")), "number").alias("shard")).distinct())
     crowded = spots.groupBy("locality", "number").agg(F.count_distinct("street_id").alias("streets")).where("streets > 1").select("locality", "number")
     local = lambda df: df.withColumn("shard", F.concat_ws("|", F.lit("L"), "locality", "number"))
     states = F.array(F.coalesce("of_state", F.lit("")), F.lit("*"))
     within_state = spots.join(towns, "locality", "left").withColumn("of", F.explode(states)).withColumn("shard", F.concat_ws("|", F.lit("S"), "of", "number")).drop("of", "of_state")
     held = cut(within_state.join(seekers.select("shard").distinct(), "shard", "left_semi").unionByName(local(spots.join(crowded, ["locality", "number"], "left_semi"))))
-    asked = cut(seekers.unionByName(local(entries.join(crowded, ["locality", "number"], "left_semi")).select(*_FORM, c("locality").alias("own"), "shard").distinct()))
+    asked = cut(seekers.unionByName(local(entries.join(crowded, ["locality", "number"], "left_semi")).select(*asks, c("locality").alias("own"), "shard").distinct()))
     texts = held.select("shard", c("street").alias("text")).unionByName(asked.select("shard", c("street").alias("text")))
     near = cut(trie_join(texts))
     both = near.select("shard", c("a").alias("street"), c("b").alias("other")).unionByName(near.select("shard", c("b").alias("street"), c("a").alias("other")))
@@ -94,15 +97,16 @@ def _candidates(entries: DataFrame, beam: int) -> DataFrame:
     has = lambda x, xs: ((c(x) != "") & F.array_contains(xs, c(x))).cast("int")
     nearly = F.when((c("city") != "") & (F.levenshtein("city", "locality") <= 2), 4).otherwise(0)
     score = (c("street") == c("other")).cast("int") + has("kind", "kinds") + has("direction", "directions") + c("confirmed").cast("int") + nearly
-    rated = met.where(fits("kind", "kinds") & fits("direction", "directions")).groupBy(*_FORM, "own", "locality", "street_id").agg(F.max(score).alias("score"), F.max("confirmed").alias("confirmed"))
-    inside = rated.where("own = locality").select(*_FORM, "locality", "street_id", "score")
+    rated = met.where(fits("kind", "kinds") & fits("direction", "directions")).groupBy("form", "own", "locality", "street_id").agg(F.max(score).alias("score"), F.max("confirmed").alias("confirmed"))
+    inside = rated.where("own = locality").select("form", "locality", "street_id", "score")
     away = rated.where((c("own") != c("locality")) & (c("own").startswith("~") | c("confirmed")))
-    best = away.withColumn("top", F.max("score").over(Window.partitionBy(*_FORM))).where("score = top")
-    alone = best.withColumn("ties", F.count("*").over(Window.partitionBy(*_FORM))).where("ties = 1").select(*_FORM, "locality", "street_id", "score")
-    given = entries.where("locality <> '~'").select(*_FORM, "locality", "street_id", F.when((c("city") != "") & (F.levenshtein("city", "locality") <= 3), 20).otherwise(10).alias("score"))
-    every = given.unionByName(inside).unionByName(alone).groupBy(*_FORM, "locality", "street_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy(*_FORM).orderBy(c("score").desc(), "locality", "street_id")
-    return every.withColumn("place", F.row_number().over(order)).where(c("place") <= beam).select(*_FORM, "locality", "street_id")
+    best = away.withColumn("top", F.max("score").over(Window.partitionBy("form"))).where("score = top")
+    alone = best.withColumn("ties", F.count("*").over(Window.partitionBy("form"))).where("ties = 1").select("form", "locality", "street_id", "score")
+    given = entries.where("locality <> '~'").select("form", "locality", "street_id", F.when((c("city") != "") & (F.levenshtein("city", "locality") <= 3), 20).otherwise(10).alias("score"))
+    # all of a form is in one place for both the groups and the order
+    every = _spread(given.unionByName(inside).unionByName(alone), "form").groupBy("form", "locality", "street_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("form").orderBy(c("score").desc(), "locality", "street_id")
+    return every.withColumn("place", F.row_number().over(order)).where(c("place") <= beam).select("form", "locality", "street_id")
 
 
 def agree(a: str, b: str) -> Column:
@@ -137,9 +141,9 @@ def address_frames(businesses: DataFrame, places: DataFrame | None = None) -> tu
     """Resolved addresses of both tables over one gazetteer; places use street, else address."""
     b = parsed(businesses, "business_id", F.col("address")).withColumn("side", F.lit("b"))
     if places is None:
-        return resolve(b).drop("side"), None
+        return cut(resolve(b).drop("side")), None
     p = parsed(places, "listing_id", F.coalesce(F.nullif(F.trim("street"), F.lit("")), F.col("address"))).withColumn("side", F.lit("p"))
-    both = resolve(b.unionByName(p))
+    both = cut(resolve(b.unionByName(p)))
     return both.where("side = 'b'").drop("side"), both.where("side = 'p'").drop("side")
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placewright.functions.contact import phone_digits, site_key
+from placewright.functions.contact import host_text, national_digits, unmarked_host, valid_host, valid_phone
 from placewright.llm.names import initial_forms, listing_forms
 from placewright.llm.postal import place_name, zip5
 from placewright.llm import triejoin
@@ -29,20 +29,24 @@ PHONE, SITE, BUILDING, CITY = 1, 2, 3, 4
 KINDS = {PHONE: "phone", SITE: "site", BUILDING: "building", CITY: "city"}
 
 
-def _listings(df: DataFrame, side: str, id_col: str, group: str, address) -> DataFrame:
+def _gid(side: str, id_col: str, group: str) -> Column:
     named = F.when(F.col(group).isNull(), F.concat(F.lit("#"), F.col(id_col).cast("string"))).otherwise(F.concat(F.lit(":"), F.col(group)))
-    gid = F.shiftleft(F.xxhash64(F.lit(side), named), 1) + (1 if side == "p" else 0)
-    return df.where(F.col(id_col).isNotNull()).select(
-        F.lit(side).alias("side"), F.col(id_col).alias("id"), gid.alias("gid"), "name", phone_digits("phone").alias("phone"), site_key("website").alias("site"), address.alias("address"), "city", "state", "postal_code"
-    )
+    return F.shiftleft(F.xxhash64(F.lit(side), named), 1) + (1 if side == "p" else 0)
+
+
+def _listings(df: DataFrame, side: str, id_col: str, group: str, address) -> DataFrame:
+    rest = ["name", address.alias("address"), "city", "state", "postal_code"]
+    # digits and hosts are columns before they are judged: an expression that is used twice is else run twice
+    read = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), _gid(side, id_col, group).alias("gid"), national_digits("phone").alias("phone"), host_text("website").alias("site"), *rest)
+    return read.select(F.lit(side).alias("side"), "id", "gid", "name", valid_phone("phone").alias("phone"), unmarked_host(valid_host("site")).alias("site"), "address", "city", "state", "postal_code")
 
 
 def packed_spellings(names: DataFrame) -> DataFrame:
-    """(gid, names, fs) of (gid, name): how many names a listing has and their :func:`listing_forms`, each with its role in the first letter. A name is taken apart once."""
+    """(gid, names, fs) of (gid, name): how many names a listing has and the lines of their :func:`listing_forms`, each with its role in the first letter. A name is taken apart once."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("string")
     def forms(names: pd.Series) -> pd.Series:
-        return names.map(listing_forms)
+        return names.map(lambda of: "\n".join(listing_forms(of)))
 
     held = names.groupBy("gid").agg(F.collect_list("name").alias("of"))
     return held.select("gid", F.size("of").alias("names"), once(forms)("of").alias("fs"))
@@ -63,7 +67,7 @@ def spellings(packed: DataFrame, *cols: str) -> DataFrame:
 
     @F.pandas_udf("array<string>")
     def written(forms: pd.Series) -> pd.Series:
-        return forms.map(lambda fs: list(dict.fromkeys(r + t for r, t in _roles(fs))))
+        return forms.map(lambda fs: list(dict.fromkeys(r + t for r, t in _roles(fs.split("\n") if fs else []))))
 
     return packed.select(*cols, "gid", F.explode(once(written)("fs")).alias("f")).select(*cols, "gid", F.substring("f", 1, 1).alias("role"), F.expr("substring(f, 2)").alias("text"))
 
@@ -90,32 +94,33 @@ def evidence(businesses: DataFrame, places: DataFrame | None = None) -> tuple[Da
     written = base.where("address IS NOT NULL").select("gid", "address", "city", "state", "postal_code").distinct()
     built = resolve(parsed(written, "gid", F.col("address")))
     building = F.when(F.col("number") != "", F.xxhash64("locality", "street_id", "number"))
-    located = built.select(F.col("id").alias("gid"), "locality", building.alias("building"), "kind", "direction").distinct()
-    contact = cut(base.select("gid", "phone", "site", "city", "postal_code").distinct().select("gid", "phone", "site", locality("city", "postal_code").alias("l")).select("gid", "phone", "site", "l.city", "l.zip"))
+    located = built.select(F.col("id").alias("gid"), "locality", building.alias("building"), "kind", "direction")
+    # the copies of a listing are in one place, so that what they share is one row before the shuffle of attributes
+    contact = cut(triejoin._spread(base.select("gid", "phone", "site", "city", "postal_code"), "gid").distinct().select("gid", "phone", "site", locality("city", "postal_code").alias("l")).select("gid", "phone", "site", "l.city", "l.zip"))
     by_zip = F.broadcast(zip_cities(contact))  # five digits: at most 100,000 rows
     blank = F.lit("")
     item = lambda t, v, k=blank, d=blank: F.when(v.isNotNull(), F.struct(F.lit(t).cast("tinyint").alias("type"), v.alias("value"), k.alias("kind"), d.alias("direction")))
-
-    def items(df: DataFrame, *cases) -> DataFrame:
-        return df.select("gid", F.explode(F.array_compact(F.array(*cases))).alias("i")).select("gid", "i.*")
-
     number = lambda c: F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.xxhash64(c))
     with_city = contact.join(by_zip, "zip", "left").withColumn("town", F.when(F.col("city") != "", F.col("city")).otherwise(F.coalesce("zip_city", blank)))
-    attributes = items(with_city, item(PHONE, number("phone")), item(SITE, number("site")), item(CITY, number("town"))).unionByName(
-        items(located, item(CITY, F.when(~F.col("locality").startswith("~"), number("locality"))), item(BUILDING, F.col("building"), F.col("kind"), F.col("direction")))
-    )
+    known = with_city.select("gid", number("phone").alias("phone"), number("site").alias("site"), number("town").alias("town"))
+    placed = located.select("gid", F.when(~F.col("locality").startswith("~"), number("locality")).alias("town"), "building", "kind", "direction")
+    # what a row says goes to its listing in one piece and is told apart and made distinct there
+    said = triejoin._spread(known.unionByName(placed, allowMissingColumns=True), "gid")
+    c = F.col
+    said = said.select("gid", F.explode(F.array_compact(F.array(item(PHONE, c("phone")), item(SITE, c("site")), item(CITY, c("town")), item(BUILDING, c("building"), c("kind"), c("direction"))))).alias("i"))
+    attributes = said.select("gid", "i.*")
     return base.select("side", "id", "gid"), cut(attributes.distinct()), names
 
 
 def _pairs_of_shard(entries) -> list[tuple[int, int]]:
     """Listings (gid, fs) of one shard with near names: words with words in one trie, initials with initials in another.
 
-    Equal spellings need no trie, and a trie is built only while some pair of listings is not linked yet. Full names are shortened to
+    Few spellings are compared one by one. Equal spellings need no trie, and a trie is built only while some pair of listings is not linked yet. Full names are shortened to
     initials only where some listing of the shard is written with initials.
     """
     held: dict[str, dict[str, list]] = {}
     listings = set()
-    entries = [(e["gid"], e["fs"]) for e in entries]
+    entries = [(e["gid"], e["fs"].split("\n") if e["fs"] else []) for e in entries]
     typed = any(f[0] == "a" for _, fs in entries for f in fs)
     for gid, fs in entries:
         listings.add(gid)
@@ -136,19 +141,30 @@ def _pairs_of_shard(entries) -> list[tuple[int, int]]:
                 link(same, same, roles)
     for roles in ("n", "k", "ad"):
         by_text = held.get(roles)
-        if not by_text or len(out) == every or (roles == "ad" and not any(r == "a" for h in by_text.values() for _, r in h)):
+        if not by_text or len(by_text) < 2 or len(out) == every or (roles == "ad" and not any(r == "a" for h in by_text.values() for _, r in h)):
             continue
         texts = sorted(by_text)
-        trie = triejoin.build_trie(texts)
-        for q in texts:
-            k = min(1, triejoin.reach(q)) if roles == "ad" else triejoin.reach(q)
-            for i, d in triejoin.neighbours(trie, q, k):
-                t = texts[i]
-                if t > q and _close(roles, q, t, d):
-                    link(by_text[q], by_text[t], roles)
+        if len(texts) <= triejoin.FEW:
+            few = triejoin.lettered(texts)
+            found = (x for i, q in enumerate(few) for x in triejoin.meet_few(few[i + 1 :], *q))
+        else:
+            found = _trie_pairs(texts, roles)
+        for q, t, d in found:
+            if _close(roles, q, t, d):
+                link(by_text[q], by_text[t], roles)
     return sorted(out)
 
 
+def _trie_pairs(texts: list[str], roles: str):
+    """(q, t, distance), q < t, of texts that a trie and the automaton find near."""
+    trie = triejoin.build_trie(texts)
+    for q in texts:
+        k = min(1, triejoin.reach(q)) if roles == "ad" else triejoin.reach(q)
+        for i, d in triejoin.neighbours(trie, q, k):
+            if texts[i] > q:
+                yield q, texts[i], d
+
+
 def _close(roles: str, a: str, b: str, d: int) -> bool:
     if roles == "ad":
         return d <= 1 and a.split("~")[1] == b.split("~")[1]
@@ -166,13 +182,14 @@ def name_neighbours(attributes: DataFrame, names: DataFrame, block: int = BLOCK,
     of = {t: attributes.where(F.col("type") == t).select("gid", "value") for t in KINDS}
     of[BUILDING] = of[BUILDING].distinct()  # written with and without street type
     city = of[CITY].withColumnRenamed("value", "city")
+    # a value of one listing links none
+    contact = attributes.where(F.col("type").isin(PHONE, SITE)).select("gid", "type", "value")
+    contact = cut(contact.join(contact.groupBy("type", "value").agg(F.count("*").alias("n")).where("n > 1").drop("n"), ["type", "value"]))
+    wide = contact.join(city, "gid").groupBy("type", "value").agg(F.count_distinct("city").alias("cities")).where(F.col("cities") > BRAND_CITIES)
+    marked = cut(contact.join(wide.select("type", "value", F.lit(True).alias("wide")), ["type", "value"], "left"), contact)
     shards = of[BUILDING].select("gid", F.xxhash64(F.lit(BUILDING), "value").alias("shard"))
-    wides = []
-    for t in (PHONE, SITE):
-        wides.append(cut(of[t].join(city, "gid").groupBy("value").agg(F.count_distinct("city").alias("cities")).where(F.col("cities") > BRAND_CITIES).select("value")))
-        shards = shards.unionByName(of[t].join(wides[-1], "value", "left_anti").select("gid", F.xxhash64(F.lit(t), "value").alias("shard")))
-        shards = shards.unionByName(of[t].join(wides[-1], "value", "left_semi").join(city, "gid").select("gid", F.xxhash64(F.lit(t), "value", "city").alias("shard")))
-    shards = cut(shards, *wides)
+    shards = shards.unionByName(marked.where("wide IS NULL").select("gid", F.xxhash64("type", "value").alias("shard")))
+    shards = cut(shards.unionByName(marked.where("wide").join(city, "gid").select("gid", F.xxhash64("type", "value", "city").alias("shard"))), marked)
     sizes = cut(shards.join(packed.select("gid", "names"), "gid").groupBy("shard").agg(F.count("*").alias("listings"), (4 * F.sum("names")).alias("n")).where("listings > 1").select("shard", "n"))
 
     @F.pandas_udf("array<struct<g:bigint,h:bigint>>")
@@ -209,7 +226,7 @@ def _segment_pairs(entries: DataFrame) -> DataFrame:
 def _pairs_of_town(entries) -> list[tuple[int, int, bool]]:
     """(g, h, same): the pairs of :func:`town_neighbours` of one city; ``entries``: (gid, mask, fs)."""
     held: dict[str, dict[str, list]] = {"n": {}, "k": {}, "a": {}, "d": {}}
-    entries = [(e["gid"], e["mask"], e["fs"]) for e in entries]
+    entries = [(e["gid"], e["mask"], e["fs"].split("\n") if e["fs"] else []) for e in entries]
     # words meet words, initials meet initials; shortened full names meet typed initials only
     started = {f[1:].split("~")[1] for _, _, fs in entries for f in fs if f[0] == "a"}
     for gid, mask, fs in entries:
@@ -259,7 +276,7 @@ def town_neighbours(attributes: DataFrame, packed: DataFrame, block: int = TOWN)
     that a stronger rule has linked one of them does not stop it, for that link may lead to a copy with as little evidence. A city
     of at most ``block`` listings is held at once; larger ones are asked by segments.
     """
-    city = attributes.where(F.col("type") == CITY).select("gid", F.col("value").alias("city")).distinct()
+    city = attributes.where(F.col("type") == CITY).select("gid", F.col("value").alias("city"))
     bit = F.expr(f"bit_or(CASE type WHEN {PHONE} THEN 1 WHEN {SITE} THEN 2 WHEN {BUILDING} THEN 4 ELSE 0 END)")
     towned = cut(attributes.groupBy("gid").agg(bit.alias("mask")).join(city, "gid"))
     sizes = cut(towned.groupBy("city").agg(F.count("*").alias("n"), F.min(F.bit_count("mask")).alias("least")).where("n > 1 AND least <= 1").select("city", "n"))
@@ -417,7 +434,9 @@ def matched_pairs(res: Resolution) -> DataFrame:
 
 def variant_pairs(res: Resolution, businesses: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows of one business with different key and differing names as stored."""
-    named = businesses.where("business_id IS NOT NULL AND name IS NOT NULL").select(F.col("business_id").alias("id"), "key", "name")
-    rows = res.rows.where("side = 'b'").join(res.clusters.withColumnRenamed("node", "gid"), "gid").join(named, "id").select("id", "key", "name", F.col("component").alias("business"))
+    # the key is known by the listing's number, the name by its hash
+    named = businesses.where("business_id IS NOT NULL AND name IS NOT NULL").select(F.col("business_id").alias("id"), _gid("b", "business_id", "key").alias("gid"), F.col("key").isNotNull().alias("keyed"), F.xxhash64("name").alias("name"))
+    rows = named.join(res.clusters.withColumnRenamed("node", "gid"), "gid").select("id", "gid", "keyed", "name", F.col("component").alias("business"))
     x, y = rows.alias("x"), rows.alias("y")
-    return x.join(y, (F.col("x.business") == F.col("y.business")) & (F.col("x.id") < F.col("y.id"))).where("NOT (x.key <=> y.key) AND x.name <> y.name").select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
+    differ = "x.gid <> y.gid AND (x.keyed OR y.keyed) AND x.name <> y.name"
+    return x.join(y, (F.col("x.business") == F.col("y.business")) & (F.col("x.id") < F.col("y.id"))).where(differ).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))

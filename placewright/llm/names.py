@@ -57,10 +57,10 @@ def business_tokens(name: str | None) -> list[str]:
     """Words of a business name in their usual order: advertising tails, store numbers, legal forms and the article dropped, abbreviations written out."""
     raw = name or ""
     raw = re.split(r"\s+[|•·*–—\-]\s+", raw)[0]
-    raw = re.sub(r"\([^)]*\)|\[[^\]]*\]", " ", raw)
+    raw = re.sub(r"\([^)]*\)|\[[^\]]*\]", " ", raw) if "(" in raw or "[" in raw else raw
     raw = re.sub(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ])", " ", raw) if not raw.isupper() else raw
     text = fold(raw).replace("’", "'")
-    text = re.sub(r"\b((?:[a-z]\.\s?){2,})", lambda m: m.group().replace(".", "").replace(" ", "") + " ", text) if re.search(r"\b(?:l\.\s?l\.\s?c|p\.\s?l\.\s?l\.\s?c|l\.\s?p|p\.\s?c|p\.\s?a|l\.\s?l\.\s?p)\.", text) else text
+    text = re.sub(r"\b((?:[a-z]\.\s?){2,})", lambda m: m.group().replace(".", "").replace(" ", "") + " ", text) if "." in text and re.search(r"\b(?:l\.\s?l\.\s?c|p\.\s?l\.\s?l\.\s?c|l\.\s?p|p\.\s?c|p\.\s?a|l\.\s?l\.\s?p)\.", text) else text
     text = re.sub(r"#\s*\d+|\b(?:no|store|unit)\.?\s*\d+\s*$", " ", text)
     text = text.replace("&", " and ").replace("+", " and ").replace("'", "")
     parts = [p.strip() for p in text.split(",") if p.strip()]
@@ -69,7 +69,7 @@ def business_tokens(name: str | None) -> list[str]:
         parts = parts[::-1]
     words = [SHORT.get(w, w) for p in parts for w in _words(p)]
     words = [NICKNAMES.get(w, NICKNAMES.get(w[:-1], "") + "s" if w.endswith("s") and w[:-1] in NICKNAMES else w) for w in words]
-    kept = [w for w in words if w not in LEGAL and w not in {"the", "and"} and not _nearly(w, "company")]
+    kept = [w for w in words if w not in LEGAL and w not in {"the", "and"} and not (w[0] == "c" and _nearly(w, "company"))]
     return kept or [w for w in words if w not in {"the", "and"}] or words
 
 

@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placewright.llm.names import person
-from placewright.llm.triejoin import canonical_spellings, swaps
-from placewright.session import cut
+from placewright.llm.triejoin import canonical_of, canonical_spellings, swaps
+from placewright.session import cut, once
+
+#: Mentions of one business that are sorted out at once; businesses with more go by tables.
+MENTIONS = 1000
 
 
 def _near_given(a: str, b: str) -> bool:
@@ -85,28 +88,77 @@ def people(names: list[tuple[str, str, str, str]]) -> list[int]:
     return number
 
 
-def person_pairs(mentions: DataFrame) -> DataFrame:
+def _readings(name: str) -> list[tuple[str, str, str, str]]:
+    """The readings of :func:`person`; a double family name is also looked up under each of its parts."""
+    found = person(name)
+    return found + [(g, m, part, s) for g, m, f, s in found if "-" in f and len(g) > 1 for part in f.split("-")]
+
+
+def _pairs_at_business(ids: list, names: list[str]) -> list[tuple]:
+    """(id_a, id_b), id_a < id_b, of the mentions (id, name) of one business, all of them."""
+    of: dict[str, list] = {}
+    for i, name in zip(ids, names):
+        of.setdefault(name, []).append(i)
+    if len(of) < 2:
+        return []
+    counted: dict[str, int] = {}
+    readings = [(r, name) for name in of for r in _readings(name)]
+    for (_, _, family, _), name in readings:
+        counted[family] = counted.get(family, 0) + len(of[name])
+    canon = canonical_of(counted)
+    families: dict[str, list] = {}
+    for (given, middle, family, suffix), name in readings:
+        families.setdefault(canon[family], []).append((name, given, middle, suffix))
+    out = set()
+    for group in families.values():
+        if len({g[0] for g in group}) < 2:
+            continue
+        group.sort()
+        persons: dict[int, set[str]] = {}
+        for k, g in zip(people(group), group):
+            persons.setdefault(k, set()).add(g[0])
+        for same in persons.values():
+            for x in same:
+                for y in same:
+                    if x < y:
+                        out.update((a, b) if a < b else (b, a) for a in of[x] for b in of[y] if a != b)
+    return list(out)
+
+
+def person_pairs(mentions: DataFrame, most: int = MENTIONS) -> DataFrame:
     """(id_a, id_b), id_a < id_b: mentions at one business_key with names that differ as stored and mean the same person.
 
     Family names of a business are clustered by the trie join; the distinct names of one family at one business are
     then sorted out together. Null keys and names and names without a person have no pairs; repeated mentions
-    all count.
+    all count. A business of at most ``most`` mentions is one row of one task; those with more go by tables.
     """
+    rows = mentions.where("candidate_id IS NOT NULL AND business_key IS NOT NULL AND name IS NOT NULL").select(F.col("candidate_id").alias("id"), "business_key", "name")
+    kind = rows.schema["id"].dataType.simpleString()
+
+    @F.pandas_udf(f"array<struct<id_a:{kind},id_b:{kind}>>")
+    def sort_out(ids: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([_pairs_at_business(i.tolist(), n.tolist()) for i, n in zip(ids, names)])
+
+    many = rows.groupBy("business_key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("business_key")
+    hot = many.limit(1).count() > 0  # a yes or no
+    many = cut(many) if hot else many
+    few = rows.join(many, "business_key", "left_anti") if hot else rows
+    held = few.groupBy("business_key").agg(F.collect_list("id").alias("ids"), F.collect_list("name").alias("names")).where("size(ids) > 1")
+    found = held.select(F.explode(once(sort_out)("ids", "names")).alias("p")).select("p.id_a", "p.id_b")
+    return (found.unionByName(_pairs_by_tables(rows.join(many, "business_key", "left_semi"))) if hot else found).distinct()
+
+
+def _pairs_by_tables(rows: DataFrame) -> DataFrame:
+    """The pairs of :func:`person_pairs` at businesses of any size; ``rows``: (id, business_key, name)."""
 
     @F.pandas_udf("array<struct<given:string,middle:string,family:string,suffix:string>>")
     def read(names: pd.Series) -> pd.Series:
-        out = []
-        for n in names:
-            found = person(n)
-            # a double family name is also looked up under each of its parts
-            out.append(found + [(g, m, part, s) for g, m, f, s in found if "-" in f and len(g) > 1 for part in f.split("-")])
-        return pd.Series(out)
+        return names.map(_readings)
 
     @F.pandas_udf("array<int>")
     def sort_out(groups: pd.Series) -> pd.Series:
         return pd.Series([people([(n["name"], n["given"], n["middle"], n["suffix"]) for n in g]) for g in groups])
 
-    rows = mentions.where("candidate_id IS NOT NULL AND business_key IS NOT NULL AND name IS NOT NULL").select(F.col("candidate_id").alias("id"), "business_key", "name")
     names = rows.groupBy("business_key", "name").agg(F.count("*").alias("n"))
     readings = cut(names.select("business_key", "name", "n", F.explode(read("name")).alias("r")).select("business_key", "name", "n", "r.*"))
     spelt = canonical_spellings(readings.select(F.col("business_key").alias("shard"), F.col("family").alias("text"), "n"))

@@ -29,6 +29,7 @@ STATES = {
     "rhode island": "ri", "south carolina": "sc", "south dakota": "sd", "tennessee": "tn", "texas": "tx", "utah": "ut", "vermont": "vt", "virginia": "va", "washington": "wa", "west virginia": "wv", "wisconsin": "wi", "wyoming": "wy",
 }
 _CODES = set(STATES.values())
+_DIGITS = set("0123456789")
 _ORDINALS = ("zeroth first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth").split()
 _TENS = {"twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
 _PLACEHOLDER = {"", "na", "n a", "none", "unknown", "tbd", "null", "address", "see website", "online", "coming soon", "various"}
@@ -77,7 +78,7 @@ def zip5(code: str | None) -> str:
 
 
 def ordinal(word: str) -> str:
-    m = re.fullmatch(r"(\d+)(?:st|nd|rd|th)", word)
+    m = word[:1] in _DIGITS and re.fullmatch(r"(\d+)(?:st|nd|rd|th)", word)
     if m:
         n = int(m.group(1))
         return _ORDINALS[n] if n < len(_ORDINALS) else f"{n}th"
@@ -104,9 +105,9 @@ def parse(address: str | None, city: str | None = None, state: str | None = None
         i += 1
     zipped = ""
     for j in range(len(rest) - 1, -1, -1):
-        m = re.fullmatch(r"(\d{5})(?:-\d{4})?", rest[j])
+        m = rest[j][0] in _DIGITS and re.fullmatch(r"(\d{5})(?:-\d{4})?", rest[j])
         if m and not (j + 1 < len(rest) and rest[j + 1] in HIGHWAY):
-            before = any(re.fullmatch(r"\d+[a-z]?", x) for x in rest[:j]) or any(re.fullmatch(r"\d+[a-z]?", x) for x in rest[j + 1 :])
+            before = any(x[0] in _DIGITS and re.fullmatch(r"\d+[a-z]?", x) for x in rest[:j]) or any(x[0] in _DIGITS and re.fullmatch(r"\d+[a-z]?", x) for x in rest[j + 1 :])
             if before:
                 zipped = m.group(1)
                 rest[j] = ","
@@ -114,7 +115,7 @@ def parse(address: str | None, city: str | None = None, state: str | None = None
     # the street starts at the house number: a number followed by a word on the same line segment
     start = None
     for j, t in enumerate(rest):
-        if re.fullmatch(r"\d+[a-z]?(?:-\d+)?", t) and j + 1 < len(rest) and re.match(r"[a-z]|\d+(?:st|nd|rd|th)$", rest[j + 1]) and not (j and rest[j - 1] in HIGHWAY):
+        if t[0] in _DIGITS and re.fullmatch(r"\d+[a-z]?(?:-\d+)?", t) and j + 1 < len(rest) and re.match(r"[a-z]|\d+(?:st|nd|rd|th)$", rest[j + 1]) and not (j and rest[j - 1] in HIGHWAY):
             start = j
             break
     if start is None:

@@ -307,3 +307,35 @@ def test_component_rounds_are_small_plans(spark, monkeypatch):
     monkeypatch.setattr(components, "cut", counting)
     components.components(spark.createDataFrame([(1, 2), (2, 3)], "a bigint, b bigint"))
     assert 0 < max(exchanges) <= 3
+
+
+def test_mentions_of_a_business_meet_at_once(spark):
+    names = ["Edward Wexsley", "Ed Wexsley", "Wexsley, E.", "Edward Wexsly", "José Halnagh", "Jose Halnagh Jr.", "Halnagh", "Priya Gringard-Kelkin", "Priya Kelkin", "Edward Wexsley", "Staff"]
+    rows = [(i, "a", n) for i, n in enumerate(names)] + [(20 + i, "b", n) for i, n in enumerate(names[2:9])] + [(40, "a", None), (41, None, "Ed Wexsley"), (42, "c", "Ed Wexsley"), (3, "b", "E. Wexsley")]
+    mentions = spark.createDataFrame(rows, "candidate_id bigint, business_key string, name string")
+    once_ = people.person_pairs(mentions)
+    plan = once_._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and "Join" not in plan
+    got = [tuple(r) for r in once_.collect()]
+    assert {(0, 1), (0, 3), (7, 8)} <= set(got) and len(got) == len(set(got))
+    assert set(got) == {tuple(r) for r in people.person_pairs(mentions, most=1).collect()}
+
+
+def test_names_and_forms_join_by_numbers(spark):
+    b, _ = _tables(spark)
+    joins = lambda df: [x.split("Join [")[1] for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [" in x]
+    pairs = joins(matching.variant_pairs(matching.Resolution(b), b))
+    assert pairs and not any(x.startswith("id#") for x in pairs)  # no join by row for its name
+    resolved = joins(gazetteer.resolve(gazetteer.parsed(b, "business_id", F.col("address"))))
+    assert resolved and all(x.startswith("form#") for x in resolved)
+
+
+def test_distance_of_one_text_is_the_tries():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
+    for _ in range(3000):
+        a, b, k = word(), word(), rng.randint(1, 3)
+        want = [d for _, d in triejoin.neighbours(triejoin.build_trie([b]), a, k)]
+        assert [triejoin.distance(triejoin._marks(a), len(a), b, k)] == (want or [-1])
+        plain = triejoin.distance(triejoin._marks(a), len(a), b, 3, swapped=False)
+        assert plain == (lev(a, b) if lev(a, b) <= 3 else -1)
